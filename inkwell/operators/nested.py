@@ -168,5 +168,6 @@ def variants(table: DataFrame, state: str, shape: str = "object") -> DataFrame:
 
 
 def found(records: DataFrame) -> DataFrame:
-    """Rows (raw_id, path, label) of all elements."""
-    return nodes(records, "raw_id", "payload").select(F.col("record_key").alias("raw_id"), "path", "label").distinct()
+    """Rows (raw_id, path, label) of all elements; distinct as raw_id is unique, so without a
+    shuffle."""
+    return nodes(records, "raw_id", "payload").select(F.col("record_key").alias("raw_id"), "path", "label")

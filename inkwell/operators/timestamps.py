@@ -319,6 +319,6 @@ def stacked(responses: DataFrame, claims: DataFrame) -> DataFrame:
 
 def found(responses: DataFrame, claims: DataFrame, feeds: DataFrame) -> DataFrame:
     """Rows (rec, rec_id, field, utc_key) of the values that are not canonical yet and denote
-    exactly one day or instant."""
+    exactly one day or instant; distinct as the ids are unique."""
     rows = normalise(stacked(responses, claims).filter(F.col("raw").isNotNull()), feeds)
-    return rows.filter(F.col("why") == "ok").select("rec", "rec_id", "field", "utc_key").distinct()
+    return rows.filter(F.col("why") == "ok").select("rec", "rec_id", "field", "utc_key")
