@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import confusables
+from inkwell.llm import confusables, language_id
 from inkwell.session import table
 
 
@@ -12,5 +12,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.found(table(spark, sf_dir, "lookup_responses"), table(spark, sf_dir, "party_names"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.found(
+        table(spark, sf_dir, "lookup_responses"), table(spark, sf_dir, "ocr_pages"), table(spark, sf_dir, "documents")
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found}
 ORACLE_SQL: dict[str, str] = {}
