@@ -42,11 +42,8 @@ GIVEN = (
     "Ulrich Ursula Uwe Vera Veronica Victor Viktor Vladimir Walter Werner Wilhelm William Wolfgang Yevgeny Yuki Yusuf Zoë Zoe"
 ).split()
 
-# Forms of address and cues before a name.
-TITLES = (
-    "mr mrs ms miss dr prof herr herrn frau mme mlle m. monsieur madame d. dª don doña sr. sra. señor señora "
-    "signor signora dipl.-ing. inventor inventora inventeur erfinder erfinderin representative applicant"
-).split()
+# Forms of address that stand before a name whose given name is unknown here.
+TITLES = "mr mr. mrs mrs. ms ms. miss herr herrn frau mme mlle madame monsieur señor señora signor signora".split()
 
 # Cues of identity numbers.
 IDENT_CUES = [
@@ -154,7 +151,6 @@ def _automaton():
         add(f"{chr(code)}.", "initial")
     for w in TITLES:
         add(f"{w} ", "title")
-        add(f"{w}. ", "title")
     automaton = ahocorasick.Automaton()
     for w, kinds in cues.items():
         automaton.add_word(w, (len(w), tuple(kinds)))
@@ -254,6 +250,10 @@ def pieces(text: str) -> list[tuple[str, int, int]]:
                 m = regex.compile(r"-\p{Lu}\p{L}+").match(text, b)
                 end = m.end() if m else b
                 found.update(("name", *x) for x in _given_at(text, start, end))
+            elif kind == "title" and text[a].isupper() and not (a and text[a - 1].isalnum()):
+                m = GIVEN_FIRST.match(text, b)
+                if m and _is_surname(m.group("surname")):
+                    found.add(("name", *m.span()))
             elif kind == "initial" and text[a].isupper() and not (a and (text[a - 1].isalnum() or text[a - 1] in ".-'’")):
                 start = a + 3 if SPANISH_TITLE.match(text, max(0, a - 5), a + 5) else a
                 m = regex.compile(_INITIAL).match(text, start)
