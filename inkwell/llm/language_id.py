@@ -74,31 +74,37 @@ def label_language(label: Column) -> Column:
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts' letters, each text between a mark (10) and spaces, and the
+    positions of the marks."""
+    cleaned = (_NO_LETTERS.sub(" ", t.lower()).strip() for t in texts)
+    codes = np.frombuffer("".join(f"\n {t} " if t else "\n" for t in cleaned).encode("utf-32-le"), np.uint32)
+    return codes, np.flatnonzero(codes == 10)
+
+
+def _hashed(codes: np.ndarray) -> list[np.ndarray]:
+    """Hashed 1-, 2- and 3-gram that begins at each position; those that reach over a mark or
+    hold nothing but a space get the number 2 ** BITS."""
+    out, key, bad = [], np.zeros(len(codes), np.uint32), np.zeros(len(codes), bool)
+    for n in range(3):
+        part = codes[n:]
+        key = key[: len(part)] * np.uint32(0x01000193) ^ part
+        bad = bad[: len(part)] | (part == 10)
+        mixed = (key ^ (key >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n)
+        ids = (mixed >> np.uint32(32 - BITS)).astype(np.int32)
+        ids[bad | (part == 32) if n == 0 else bad] = 2**BITS
+        out.append(ids)
+    return out
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(feature, index of the text) of every character 1- to 3-gram of the texts."""
-    cleaned = [_NO_LETTERS.sub(" ", t.lower()) for t in texts]
-    codes = np.frombuffer(" ".join(f"\n {t.strip()} " if t.strip() else "\n" for t in cleaned).encode("utf-32-le"), np.uint32)
-    owner = np.cumsum(codes == 10) - 1
-    c = codes.astype(np.uint64)
-    ids, rows = [], []
-    for n in (1, 2, 3):
-        if len(c) < n:
-            continue
-        key = np.full(len(c) - n + 1, n * 0x9E3779B9, np.uint64)
-        bad = np.zeros(len(key), bool)
-        for i in range(n):
-            part = c[i : i + len(key)]
-            key = (key ^ part) * np.uint64(0x100000001B3)
-            bad |= part == 10
-        if n == 1:
-            bad |= c == 32
-        key ^= key >> np.uint64(29)
-        key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-        ids.append(key[~bad].astype(np.int64))
-        rows.append(owner[: len(key)][~bad])
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(ids), np.concatenate(rows)
+    codes, marks = _codes(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.append(marks, len(codes))))
+    parts = [(ids, owner[: len(ids)]) for ids in _hashed(codes)]
+    ids, rows = np.concatenate([i for i, _ in parts]), np.concatenate([r for _, r in parts])
+    good = ids < 2**BITS
+    return ids[good].astype(np.int64), rows[good]
 
 
 @dataclass
@@ -111,11 +117,19 @@ class Model:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities (texts x languages) and the number of letters' n-grams."""
-        ids, rows = grams(texts)
-        total = np.bincount(rows, minlength=len(texts)).astype(float)
-        raw = np.empty((len(texts), len(LANGUAGES)))
-        for k in range(len(LANGUAGES)):
-            raw[:, k] = np.bincount(rows, weights=self.weights[ids, k], minlength=len(texts))
+        # The weights of the n-grams at a position are added up, then those of a text by
+        # sums between its marks: one gather of a row of weights for each n-gram.
+        if not texts:
+            return np.zeros((0, len(LANGUAGES))), np.zeros(0)
+        codes, marks = _codes(texts)
+        table = np.zeros((2**BITS + 1, len(LANGUAGES) + 1), np.float32)
+        table[:-1, :-1] = self.weights
+        table[:-1, -1] = 1
+        at = np.zeros((len(codes), len(LANGUAGES) + 1), np.float32)
+        for ids in _hashed(codes):
+            at[: len(ids)] += table[ids]
+        sums = np.add.reduceat(at, marks, axis=0, dtype=np.float64)
+        raw, total = sums[:, :-1], sums[:, -1]
         raw = (raw / np.sqrt(np.maximum(total, 1))[:, None] + self.bias) / self.temperature
         return _log_softmax(raw), total
 
@@ -202,9 +216,13 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         seen, n = np.zeros(2**BITS, np.int64), 0
         for batch in batches:
             part = [t for t in batch.column(0).to_pylist() if t]
-            for k in range(0, len(part), 200):
-                ids, rows = grams(part[k : k + 200])
-                np.add.at(seen, np.unique(ids * 256 + rows) // 256, 1)
+            for k in range(0, len(part), 64):
+                flags = np.zeros((64, 2**BITS + 1), np.bool_)
+                codes, marks = _codes(part[k : k + 64])
+                owner = np.repeat(np.arange(len(marks)), np.diff(np.append(marks, len(codes))))
+                for ids in _hashed(codes):
+                    flags[owner[: len(ids)], ids] = True
+                seen += flags[:, :-1].sum(axis=0, dtype=np.int64)
             n += len(part)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"feature": np.append(at, -1), "n": np.append(seen[at], n)})
