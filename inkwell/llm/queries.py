@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import confusables, language_id, pii
+from inkwell.llm import confusables, language_id, ocr, pii
 from inkwell.session import table
 
 
@@ -22,5 +22,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p3_found": p3_found, "p7_found": p7_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.found(table(spark, sf_dir, "ocr_pages"), table(spark, sf_dir, "part_drafts"))
+
+
+QUERIES = {"p4_found": p4_found, "p10_found": p10_found, "p3_found": p3_found, "p7_found": p7_found}
 ORACLE_SQL: dict[str, str] = {}
