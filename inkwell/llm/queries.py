@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import addresses, confusables, language_id, ocr, pii
+from inkwell.llm import addresses, confusables, language_id, names, ocr, pii
 from inkwell.session import table
 
 
@@ -30,5 +30,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.found(table(spark, sf_dir, "representatives"))
 
 
-QUERIES = {"p6_found": p6_found, "p4_found": p4_found, "p10_found": p10_found, "p3_found": p3_found, "p7_found": p7_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(table(spark, sf_dir, "party_names"))
+
+
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p4_found": p4_found, "p10_found": p10_found, "p3_found": p3_found, "p7_found": p7_found}
 ORACLE_SQL: dict[str, str] = {}
