@@ -24,7 +24,6 @@ _BIBLIO = (
     f"`publication-reference`:array<{_REFERENCE}>,`application-reference`:array<{_REFERENCE}>,"
     f"`priority-claims`:struct<`priority-claim`:array<struct<_kind:string,country:string,`doc-number`:string,date:string,`document-id`:array<{_ID}>,`priority-active-indicator`:string>>>,"
     f"parties:struct<applicants:array<{_NAMED('applicant')}>,inventors:array<{_NAMED('inventor')}>,agents:struct<agent:array<{_AGENT}>>,representatives:struct<representative:array<{_AGENT}>>>,"
-    "`invention-title`:array<struct<_lang:string,_VALUE:string>>,"
     "`classifications-ipcr`:struct<`classification-ipcr`:array<struct<text:string>>>,`classification-ipc`:struct<text:array<string>>,"
     "`patent-classifications`:struct<`patent-classification`:array<struct<text:string>>>,`designation-of-states`:string>"
 )
@@ -112,7 +111,13 @@ def _representatives(agents: Column, kind: str) -> Column:
     return F.array_distinct(F.filter(F.transform(agents, one), lambda r: (r["name"] != "") | (r["address"] != "")))
 
 
-def _biblio(b: Column) -> Column:
+def _title(xml: Column) -> Column:
+    """The English title, else the first; read from the text, as titles may hold mark-up."""
+    of = lambda attribute: F.nullif(F.regexp_extract(_clean(xml), rf"(?s)<invention-title\b{attribute}[^>]*>(.*?)</invention-title>", 1), F.lit(""))
+    return plain(F.coalesce(of(r"[^>]*\blang\s*=\s*[\"'](?i:en)[\"']"), of("")))
+
+
+def _biblio(b: Column, xml: Column) -> Column:
     publication = F.get(b["publication-reference"], F.lit(0))["document-id"]
     application = F.get(b["application-reference"], F.lit(0))["document-id"]
     claims = b["priority-claims"]["priority-claim"]
@@ -131,7 +136,7 @@ def _biblio(b: Column) -> Column:
     states = F.regexp_extract_all(b["designation-of-states"], F.lit(r"<country>\s*([A-Z]{2})\s*</country>"), F.lit(1))
     regions = F.regexp_extract_all(b["designation-of-states"], F.lit(r"<region>\s*(?:<country>)?\s*([A-Z]{2})"), F.lit(1))
     return F.struct(
-        plain(preferred(b["invention-title"])["_VALUE"]).alias("title"),
+        F.when(b.isNotNull(), _title(xml)).alias("title"),
         document_number(publication, ("docdb", "epodoc", "original")).alias("publication_number"),
         document_date(publication, ("docdb", "epodoc", "original")).alias("publication_date"),
         document_number(application, ("epodoc", "docdb", "original")).alias("application_number"),
@@ -156,14 +161,14 @@ def exchange_record(xml: Column) -> Column:
     abstract = preferred(doc["abstract"])
     return F.struct(
         doc["_country"].alias("country"), doc["_doc-number"].alias("doc_number"), doc["_kind"].alias("kind"),
-        F.array_join(F.transform(abstract["p"], plain), " ").alias("abstract"), _biblio(doc["bibliographic-data"]).alias("biblio"),
+        F.array_join(F.transform(abstract["p"], plain), " ").alias("abstract"), _biblio(doc["bibliographic-data"], xml).alias("biblio"),
     )
 
 
 def register_record(xml: Column) -> Column:
     """Struct of a register document: biblio."""
     doc = F.get(read_xml(xml, REGISTER)["register-search"]["register-documents"]["register-document"], F.lit(0))
-    return F.struct(_biblio(doc["bibliographic-data"]).alias("biblio"))
+    return F.struct(_biblio(doc["bibliographic-data"], xml).alias("biblio"))
 
 
 def family_record(xml: Column) -> Column:

@@ -107,11 +107,11 @@ def cover_parts(pages: DataFrame, text: str = "text") -> DataFrame:
     # Fixed value: the marker of an abstract on a cover.
     marker = r"(?i)(?:^|\n)\s*(?:\(?57\)?\s*)?(?:abstract|zusammenfassung|abr[eé]g[eé]|resumen|resumo|реферат|摘要|要約|초록|ملخص)\s*[:：]?\s*"
     pieces = F.split(F.col(text), marker)
-    body = F.transform(F.split(F.get(pieces, F.lit(1)), "\n"), F.trim)
+    body = F.transform(F.split(F.get(pieces, F.lit(1)), "\n"), lambda x: F.trim(x))
     stop = F.array_position(F.transform(body, lambda x: F.coalesce(tx.heading_part(x).isin("abstract_drawing", "description", "claims", "description_drawings"), F.lit(False))), True)
     kept = F.when(stop > 0, F.slice(body, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(body)
     abstract = F.array_join(F.filter(kept, lambda x: (x != "") & ~tx.is_running_line(x)), " ")
     region = F.element_at(F.split(F.get(pieces, F.lit(0)), r"(?m)^\s*\(?54\)?\b.*$"), -1)
-    figures = F.array_join(F.filter(F.transform(F.split(region, "\n"), F.trim), tx.figure_like), " ")
+    figures = F.array_join(F.filter(F.transform(F.split(region, "\n"), lambda x: F.trim(x)), tx.figure_like), " ")
     has = F.size(pieces) > 1
     return pages.withColumn("abstract", F.when(has, abstract).otherwise("")).withColumn("figure_text", F.when(has, figures).otherwise(""))

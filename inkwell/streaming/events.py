@@ -10,7 +10,9 @@ from inkwell.operators.store import latest, upserted
 
 
 def once(events: DataFrame, key: str = "event_id", at: str = "created_at", late: str = "30 days") -> DataFrame:
-    """Each event once, however often it is delivered within the watermark."""
+    """Each event once, however often it is delivered (on a stream: within the watermark)."""
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
