@@ -18,10 +18,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.session import cut
+
 # Letters of other scripts that look like a Latin letter, and that letter.
 LOOK_ALIKES = {
     # Cyrillic, upper and lower case
@@ -131,14 +133,13 @@ def same_look_pairs(values: DataFrame) -> DataFrame:
     text that stands in a third of all rows costs nothing unless it has a look-alike. Null and
     empty values are no case.
     """
-    rows = with_canonical(values.select("field", "id", "text").filter("text is not null"), "text", "look")
-    rows = rows.filter("look <> ''")
-    spellings = rows.select("field", "look", "text").distinct()
-    several = spellings.groupBy("field", "look").agg(F.count("*").alias("n")).filter("n > 1").select("field", "look")
-    spellings = spellings.join(several, ["field", "look"], "left_semi")
+    ids = values.select("field", "text", "id").filter("text is not null and text <> ''")
+    # Each distinct spelling is brought to its form once.
+    spellings = with_canonical(ids.select("field", "text").distinct(), "text", "look").filter("look <> ''")
+    several = F.count("*").over(Window.partitionBy("field", "look")) > 1
+    spellings = cut(spellings.withColumn("several", several).filter("several").select("field", "look", "text"))
     a, b = spellings.withColumnRenamed("text", "text_a"), spellings.withColumnRenamed("text", "text_b")
     pairs = a.join(b, ["field", "look"]).filter(F.col("text_a") < F.col("text_b"))
-    ids = rows.select("field", "text", "id")
     left = pairs.join(ids.toDF("field", "text_a", "id_1"), ["field", "text_a"])
     both = left.join(ids.toDF("field", "text_b", "id_2"), ["field", "text_b"])
     return both.filter("id_1 <> id_2").select("field", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).distinct()
