@@ -19,9 +19,9 @@ before); texts may be of any length; repeated rows give repeated results.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,14 +71,29 @@ def label_language(label: Column) -> Column:
     return F.coalesce(F.element_at(table, low), F.element_at(table, bare))
 
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+MARK = "\ue000"  # begins a text; a private character
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether a code point below 0xFFFF is a letter; all above count as letters."""
+    out = np.array([chr(c).isalnum() and not chr(c).isdecimal() for c in range(0xFFFF)] + [True])
+    out[0xE000:0xF900] = False
+    return out
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts' letters, each text between a mark (10) and spaces, and the
-    positions of the marks."""
-    cleaned = (_NO_LETTERS.sub(" ", t.lower()).strip() for t in texts)
-    codes = np.frombuffer("".join(f"\n {t} " if t else "\n" for t in cleaned).encode("utf-32-le"), np.uint32)
+    """Code points of the texts in lower case, each text between a mark (10) and spaces, with
+    anything between letters as one space; and the positions of the marks."""
+    bare = [t.replace(MARK, " ") if MARK in t else t for t in texts]
+    joined = f"{MARK} " + f" {MARK} ".join(bare) + " "
+    codes = np.frombuffer(joined.lower().encode("utf-32-le"), np.uint32)
+    letter = _letters()[np.minimum(codes, 0xFFFF)]
+    mark = codes == 0xE000
+    solid = letter | mark
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]  # a space after a letter or mark
+    codes = np.where(letter, codes, np.where(mark, np.uint32(10), np.uint32(32)))[keep]
     return codes, np.flatnonzero(codes == 10)
 
 
@@ -122,14 +137,17 @@ class Model:
         if not texts:
             return np.zeros((0, len(LANGUAGES))), np.zeros(0)
         codes, marks = _codes(texts)
-        table = np.zeros((2**BITS + 1, len(LANGUAGES) + 1), np.float32)
-        table[:-1, :-1] = self.weights
-        table[:-1, -1] = 1
-        at = np.zeros((len(codes), len(LANGUAGES) + 1), np.float32)
+        # Only differences of scores matter, so the last language is 0 and rows of the table
+        # are 32 bytes.
+        table = np.zeros((2**BITS + 1, len(LANGUAGES) - 1), np.float32)
+        table[:-1] = self.weights[:, :-1] - self.weights[:, -1:]
+        at = np.zeros((len(codes), len(LANGUAGES) - 1), np.float32)
+        row, total = np.empty_like(at), np.zeros(len(texts))
         for ids in _hashed(codes):
-            at[: len(ids)] += table[ids]
-        sums = np.add.reduceat(at, marks, axis=0, dtype=np.float64)
-        raw, total = sums[:, :-1], sums[:, -1]
+            at[: len(ids)] += np.take(table, ids, axis=0, out=row[: len(ids)], mode="clip")
+            total += np.add.reduceat(np.append(ids < 2**BITS, np.zeros(len(codes) - len(ids), bool)), marks, dtype=np.int64)
+        raw = np.zeros((len(texts), len(LANGUAGES)))
+        raw[:, :-1] = np.add.reduceat(at, marks, axis=0)
         raw = (raw / np.sqrt(np.maximum(total, 1))[:, None] + self.bias) / self.temperature
         return _log_softmax(raw), total
 
