@@ -50,13 +50,16 @@ MOJIBAKE = ["�", "Ã", "Â", "â€", "□", "�"]
 
 @cache
 def _nfkc_class() -> str:
-    """Regex class of the characters that NFKC changes or that may compose, by rule."""
+    """Regex class that holds all characters that NFKC changes or that may compose, by rule.
+    Neighbouring ranges above the Latin letters are joined, so it is short and holds a few
+    characters more, whose rows are merely looked at for nothing."""
     ranges: list[list[int]] = []
-    for code in range(sys.maxunicode + 1):
+    for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
         if 0xD800 <= code < 0xE000 or not (unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c or 0x1100 <= code < 0x1200):
             continue
-        if ranges and ranges[-1][1] == code - 1:
+        gap = 0 if code < 0x250 else 96 if code < 0x3000 else 24 if code < 0x10000 else 4096
+        if ranges and code - ranges[-1][1] <= gap + 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
@@ -70,7 +73,8 @@ def with_nfkc(df: DataFrame, column: str) -> DataFrame:
     def nfkc(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    touched = F.coalesce(F.col(column).rlike(_nfkc_class()), F.lit(False))
+    text = F.col(column)
+    touched = F.coalesce((F.octet_length(text) != F.length(text)) & text.rlike(_nfkc_class()), F.lit(False))
     return df.filter(~touched).unionByName(df.filter(touched).withColumn(column, nfkc(F.col(column))))
 
 
