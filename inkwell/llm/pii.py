@@ -113,6 +113,9 @@ SURNAME_FIRST = regex.compile(rf"(?P<surname>{_SURNAME}),[^\S\n]?(?P<given>\p{{L
 INITIAL_FIRST = regex.compile(rf"(?P<given>{_INITIAL})[^\S\n]?(?P<surname>{_SURNAME})")
 SURNAME_BEFORE = regex.compile(rf"(?<![\p{{L}}\d-])(?P<surname>{_SURNAME}),[^\S\n]?$")
 
+MIDDLE = regex.compile(_MIDDLE)
+INITIALS = regex.compile(_INITIAL)
+SECOND_GIVEN = regex.compile(r"-\p{Lu}\p{L}+")
 SPANISH_TITLE = regex.compile(r".*(?:por|con|a|de|y) D\. (?=\p{Lu}\.)", regex.DOTALL)  # don, not an initial
 
 # Words that make a capitalised pair a company or a place, and ends of letters.
@@ -216,8 +219,7 @@ def _given_at(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     line = max(text.rfind("\n", 0, a) + 1, a - 60)
     before = SURNAME_BEFORE.search(text, line, a)
     if before and _is_surname(before.group("surname")):
-        middle = regex.compile(rf"(?:\s{_INITIAL})?").match(text, b)
-        yield before.start("surname"), middle.end() if middle else b
+        yield before.start("surname"), MIDDLE.match(text, b).end()
         return
     m = GIVEN_FIRST.match(text, a) or INITIAL_FIRST.match(text, a)
     if m and _is_surname(m.group("surname")):
@@ -247,7 +249,7 @@ def pieces(text: str) -> list[tuple[str, int, int]]:
                     while start and text[start - 1].isalpha():
                         start -= 1
                 end = b
-                m = regex.compile(r"-\p{Lu}\p{L}+").match(text, b)
+                m = SECOND_GIVEN.match(text, b)
                 end = m.end() if m else b
                 found.update(("name", *x) for x in _given_at(text, start, end))
             elif kind == "title" and text[a].isupper() and not (a and text[a - 1].isalnum()):
@@ -256,7 +258,7 @@ def pieces(text: str) -> list[tuple[str, int, int]]:
                     found.add(("name", *m.span()))
             elif kind == "initial" and text[a].isupper() and not (a and (text[a - 1].isalnum() or text[a - 1] in ".-'’")):
                 start = a + 3 if SPANISH_TITLE.match(text, max(0, a - 5), a + 5) else a
-                m = regex.compile(_INITIAL).match(text, start)
+                m = INITIALS.match(text, start)
                 if m and not (a >= 2 and text[a - 2].isdigit() and text[a - 1] == " "):
                     found.update(("name", *x) for x in _given_at(text, start, m.end()))
     taken: list[tuple[int, int, str]] = []
