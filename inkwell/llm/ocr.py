@@ -232,7 +232,8 @@ def options(counted: DataFrame) -> DataFrame:
 
 
 def _emit(texts: DataFrame) -> DataFrame:
-    """Every token of every text: rec, rec_id, line_no, seq, kind, word, other, prev, next."""
+    """Every word of every text that may be corrected or is broken: rec, rec_id, line_no, seq,
+    kind, word, other, prev, next."""
     schema = "rec string, rec_id bigint, line_no int, seq int, kind string, word string, other string, prev string, next string"
     names = ["rec", "rec_id", "line_no", "seq", "kind", "word", "other", "prev", "next"]
     types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
@@ -243,9 +244,7 @@ def _emit(texts: DataFrame) -> DataFrame:
             for rec, key, text in zip(*(batch.column(c).to_pylist() for c in ("rec", "rec_id", "text"))):
                 if not text:
                     continue
-                found = tokens(text)
-                stream = [t for t in found if t[1] in ("word", "hyphen")]
-                rows += [(rec, key, t[0], 0, t[1], "", "", None, None) for t in found if t[1] in ("header", "pageno")]
+                stream = [t for t in tokens(text) if t[1] in ("word", "hyphen")]
                 forms = [lm_form(t[2]) for t in stream]
                 for k, (line, kind, word, other) in enumerate(stream):
                     if kind == "word" and not _correctable(word):
@@ -266,6 +265,19 @@ def _batch(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
+def running_lines(texts: DataFrame) -> DataFrame:
+    """rec, rec_id, line_no, kind of the running lines."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for rec, key, text in zip(*(batch.column(c).to_pylist() for c in ("rec", "rec_id", "text"))):
+                rows += [(rec, key, i, kind) for i, line in enumerate((text or "").split("\n")) if (kind := running(line))]
+            yield _batch(rows, [pa.string(), pa.int64(), pa.int32(), pa.string()], ["rec", "rec_id", "line_no", "kind"])
+
+    return texts.select("rec", "rec_id", "text").mapInArrow(read, "rec string, rec_id bigint, line_no int, kind string")
+
+
 def decode(line: list[dict]) -> list[str | None]:
     """The displayed form chosen for each token of a line (null: as it stands).
 
@@ -327,7 +339,6 @@ def findings(texts: DataFrame) -> DataFrame:
     # are shuffled and adaptive execution splits frequent words.
     few = opts.count() <= BROADCAST_ROWS
     flagged = emitted.join(F.broadcast(opts) if few else opts, ["word", "other"])
-    running_lines = emitted.filter("kind in ('header', 'pageno')")
     flagged = cut(flagged)
     # Bigrams of each option with its neighbours; a neighbour with options of its own stands
     # for all of them.
@@ -374,7 +385,8 @@ def findings(texts: DataFrame) -> DataFrame:
             yield _batch(rows, types, names)
 
     chosen = lines.mapInArrow(choose, "rec string, rec_id bigint, line_no int, seq int, kind string, word string, repaired string")
-    return running_lines.select(*key, "seq", "kind", "word", F.lit("").alias("repaired")).unionByName(chosen)
+    plain = running_lines(texts).select(*key, F.lit(0).alias("seq"), "kind", F.lit("").alias("word"), F.lit("").alias("repaired"))
+    return plain.unionByName(chosen)
 
 
 def stacked(pages: DataFrame, drafts: DataFrame) -> DataFrame:
