@@ -32,17 +32,17 @@ BEAM = 8
 
 # Countries and the ways they are written (folded).
 COUNTRIES = {
-    "AT": "at a aut austria osterreich oesterreich autriche",
-    "BE": "be b bel belgium belgique belgien belgie",
-    "CA": "ca can canada kanada",
-    "CH": "ch che switzerland schweiz suisse svizzera",
-    "DE": "de d deu ger germany deutschland allemagne alemania",
-    "ES": "es e esp spain espana spanien espagne",
-    "FR": "fr f fra france frankreich francia",
-    "GB": "gb uk gbr united kingdom|great britain|england|grossbritannien|vereinigtes konigreich",
-    "US": "us usa u s a|united states of america|united states|vereinigte staaten",
-    "IT": "it i ita italy italia italien",
-    "NL": "nl nld netherlands niederlande nederland",
+    "AT": "at|a|aut|austria|osterreich|oesterreich|autriche",
+    "BE": "be|b|bel|belgium|belgique|belgien|belgie",
+    "CA": "ca|can|canada|kanada",
+    "CH": "ch|che|switzerland|schweiz|suisse|svizzera",
+    "DE": "de|d|deu|ger|germany|deutschland|allemagne|alemania",
+    "ES": "es|e|esp|spain|espana|spanien|espagne",
+    "FR": "fr|f|fra|france|frankreich|francia",
+    "GB": "gb|uk|gbr|united kingdom|great britain|england|grossbritannien|vereinigtes konigreich",
+    "US": "us|usa|u s a|u s|united states of america|united states|vereinigte staaten",
+    "IT": "it|i|ita|italy|italia|italien",
+    "NL": "nl|nld|netherlands|niederlande|nederland",
 }
 # Street types and their short forms (folded); before the name, after it, or as
 # the end of a compound.
@@ -67,10 +67,7 @@ def _table(values: dict[str, str]) -> dict[str, str]:
 
 
 _BEFORE, _AFTER, _COMPOUND = _table(BEFORE), _table(AFTER), _table(COMPOUND)
-_COUNTRY = {w.strip(): k for k, words in COUNTRIES.items() for part in words.split("|") for w in ([part] if "|" in words and " " in part.strip() and part is not words.split("|")[0] else part.split())}
-_COUNTRY |= {"united kingdom": "GB", "u s a": "US"}
-for _stray in ("united", "kingdom", "s"):
-    _COUNTRY.pop(_stray, None)
+_COUNTRY = {w: k for k, words in COUNTRIES.items() for w in words.split("|")}
 
 # Remarks that name no building.
 REMARKS = re.compile(
@@ -208,11 +205,12 @@ def parse(address: str | None, country: str | None, before_first: bool = True) -
     for p in parts:
         words = p.split()
         for k in (4, 3, 2, 1):  # a country at the end that no separator sets off
-            c = _COUNTRY.get(re.sub(r"[^a-z]+", " ", " ".join(words[-k:])).strip()) if len(words) > k else None
-            if c:
+            c = _COUNTRY.get(re.sub(r"[^a-z]+", " ", " ".join(words[-k:])).strip()) if len(words) >= k else None
+            if c and (len(words) > k or len(words[0]) > 2):
                 out["country"], words = out["country"] or c, words[:-k]
                 break
-        named.append(" ".join(words))
+        if words:
+            named.append(" ".join(words))
     out["town"] = max(named, key=len, default="").replace(".", "")
     return out
 
