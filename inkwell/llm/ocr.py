@@ -34,12 +34,12 @@ from inkwell.session import cut
 CONFUSIONS = [
     ("c", "e"), ("1", "i"), ("1", "l"), ("f", "t"), ("o", "a"), ("0", "o"), ("5", "s"), ("9", "g"), ("cl", "d"), ("(", "c"),
     ("n", "u"), ("b", "h"), ("rn", "m"), ("m", "rn"), ("6", "b"), ("6", "é"), ("vv", "w"), ("11", "ll"), ("rm", "nn"), ("g", "q"), ("a", "ä"),
-    ("o", "ö"), ("u", "ü"), ("B", "ß"), ("e", "é"), ("e", "è"), ("l", "i"), ("i", "l"), ("u", "n"), ("ii", "n"), ("ri", "n"), ("li", "h"), ("h", "b"),
+    ("o", "ö"), ("u", "ü"), ("ii", "ü"), ("B", "ß"), ("e", "é"), ("e", "è"), ("l", "i"), ("i", "l"), ("u", "n"), ("ii", "n"), ("ri", "n"), ("li", "h"), ("h", "b"),
     ("0", "O"), ("1", "I"), ("l", "I"), ("5", "S"), ("8", "B"), ("6", "G"), ("G", "C"), ("e", "c"), ("t", "f"), ("y", "v"), ("vv", "W"), ("VV", "W"), ("D", "O"),
 ]
 
 RATE = 0.03  # misread words among all words; prior of the channel
-DOUBT = 8.0  # times the expected misreadings that a word's own count must exceed
+DOUBT = 20.0  # times the expected misreadings that a word's own count must exceed
 RATIO = 4  # times a word's count that an option must have
 SHORTEST = 4  # letters of the shortest word that is corrected
 SMOOTH = 5.0  # weight of the unigram in the bigram likelihood
