@@ -258,3 +258,48 @@ def answer_record(payload: Column) -> Column:
         F.array_join(F.flatten(F.transform(chosen["p"], lambda p: p["content"])), " ").alias("abstract"),
         F.transform(items, lambda i: F.concat_ws("", i["priority-claim"]["country"], i["priority-claim"]["doc-number"])).alias("priority_numbers"),
     )
+
+
+PAMPHLET = (
+    f"`bibliographic-data` struct<`publication-reference`:array<{_REFERENCE}>,`application-reference`:array<{_REFERENCE}>,"
+    f"parties:struct<applicants:array<{_NAMED('applicant')}>,inventors:array<{_NAMED('inventor')}>>,"
+    "`classifications-ipcr`:struct<`classification-ipcr`:array<struct<text:string>>>>,"
+    f"abstract {_ABSTRACT}, description struct<p:array<string>>, claims struct<claim:array<struct<`claim-text`:array<string>>>>, drawings struct<figure:array<struct<img:array<struct<_file:string>>>>>"
+)
+
+
+def pamphlet_record(xml: Column) -> Column:
+    """Struct of a published application of the international service: numbers, title,
+    parties, abstract, description and claims with their words, image files."""
+    r = read_xml(xml, PAMPHLET)
+    b = r["bibliographic-data"]
+    publication, application = (F.get(b[c], F.lit(0))["document-id"] for c in ("publication-reference", "application-reference"))
+    join = lambda parts: normalized(F.array_join(F.transform(parts, plain), " "))
+    claims = F.filter(F.transform(r["claims"]["claim"], lambda c: F.array_join(F.transform(c["claim-text"], plain), " ")), lambda t: t != "")
+    description = join(r["description"]["p"])
+    return F.struct(
+        document_number(publication, ("docdb", "epodoc", "original")).alias("publication_number"),
+        document_date(publication, ("docdb", "epodoc", "original")).alias("publication_date"),
+        document_number(application, ("epodoc", "docdb", "original")).alias("application_number"),
+        F.when(b.isNotNull(), _title(xml)).alias("title"), _names(b["parties"]["applicants"], "applicant").alias("applicants"),
+        _names(b["parties"]["inventors"], "inventor").alias("inventors"), _filled(F.transform(b["classifications-ipcr"]["classification-ipcr"], lambda c: F.trim(c["text"]))).alias("ipc"),
+        join(preferred(r["abstract"])["p"]).alias("abstract"), description.alias("description"), count_words(description).alias("description_words"),
+        F.size(claims).alias("claims_count"), count_words(F.array_join(claims, " ")).alias("claims_words"),
+        _filled(F.flatten(F.transform(r["drawings"]["figure"], lambda f: F.transform(f["img"], lambda i: i["_file"])))).alias("images"),
+    )
+
+
+def document_list(payload: Column) -> Column:
+    """Array of struct(document_id, document_code, pages) of a JSON list of documents; members
+    may be spelt documentId, document_id or id, and pages counted or listed."""
+    v = F.try_parse_json(payload)
+    items = F.coalesce(*(F.try_variant_get(v, p, "array<variant>") for p in ("$", "$.documents", "$['available-documents']", "$.items")))
+
+    def one(d: Column) -> Column:
+        get = lambda *names: F.coalesce(*(F.try_variant_get(d, f"$['{n}']", "string") for n in names))
+        return F.struct(
+            get("document_id", "documentId", "id").alias("document_id"), get("document_code", "documentCode", "code").alias("document_code"),
+            F.coalesce(F.try_variant_get(d, "$.pages", "int"), F.size(F.try_variant_get(d, "$.pages", "array<variant>"))).alias("pages"),
+        )
+
+    return F.filter(F.transform(items, one), lambda d: d["document_id"].isNotNull())
