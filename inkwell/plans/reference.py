@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import identifiers as ids
-from inkwell.functions import integrity, language
+from inkwell.functions import integrity, language, urls
 from inkwell.functions import text as tx
-from inkwell.operators import duplicates, sections, store
+from inkwell.operators import duplicates, resolution, sections, store
 from inkwell.session import table
 from inkwell.streaming import events as streams
 
@@ -260,6 +260,38 @@ def text_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", integrity.sha256(F.col("text")).alias("digest"))
 
 
+def lookup_paths(spark: SparkSession, d: str) -> DataFrame:
+    numbers = table(spark, d, "lookup_responses").select("normalized_number").distinct()
+    rows = numbers.select(F.col("normalized_number").alias("asked"), ids.normalized_number(F.col("normalized_number")).alias("r")).select("asked", "r.*").filter("error_code is null")
+    c = [F.col(x) for x in ("reference_type", "lookup_number", "country_code", "doc_number", "kind_code")]
+    return rows.select(
+        F.col("asked").alias("normalized_number"), F.array_join(urls.candidate_paths(*c), " ").alias("paths"), urls.publication_url("https://example.org/pub", *c[2:], "pdf").alias("link")
+    )
+
+
+def related_numbers(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "lookup_responses").select("response_id", "normalized_number", "display_number")
+    members = table(spark, d, "priority_claims").select("response_id", "number", "pos").join(own, "response_id")
+    out = resolution.related(members, "response_id", "number", ["normalized_number", "display_number"])
+    return out.select("response_id", F.size("related").cast("bigint").alias("n"), F.array_join(F.array_sort("related"), " | ").alias("related"))
+
+
+def answers_with_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The official answer of each number, the newest of another origin where it has no title."""
+    rows = table(spark, d, "lookup_responses").select("normalized_number", "answered_at", "response_id", "data_origin", "title")
+    official = F.coalesce(F.col("data_origin") == "official", F.lit(False))
+    outcome = F.when(F.coalesce("title", F.lit("")) == "", "no_result").otherwise("ok")
+    newest = lambda r: store.latest(r, ["normalized_number"], ["answered_at", "response_id"]).select("normalized_number", outcome.alias("outcome"), F.col("title").alias("payload"))
+    return resolution.with_fallback(newest(rows.filter(official)), newest(rows.filter(~official)), "normalized_number", ["no_result"])
+
+
+def picked_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Of each file's drafts the one whose part ranks first, as a publication document."""
+    codes = F.create_map(*[F.lit(x) for kv in {"claims": "PAMPH", "description": "PUB", "abstract": "A1"}.items() for x in kv])
+    rows = table(spark, d, "part_drafts").select("file_id", F.col("part").alias("document_id"), F.coalesce(F.element_at(codes, F.col("part")), F.lit("OTHER")).alias("document_code"), F.col("draft_id").alias("pos"))
+    return resolution.publication_documents(rows, "file_id")
+
+
 def receipts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nation").select("n_nationkey", "n_name")
     signed = rows.withColumn("receipt", integrity.signed(RECEIPT_KEY, "lookup", F.lit(1_700_000_000), F.struct("n_name", "n_nationkey")))
@@ -467,6 +499,33 @@ ORACLE_SQL: dict[str, str] = {
     "file_names": """
         SELECT DISTINCT filename, regexp_replace(regexp_replace(filename, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS safe,
           CASE WHEN trim(filename) <> '' AND NOT regexp_matches(trim(filename), '^[A-Za-z]:|[/\\\\]|^\\.{1,2}$') THEN trim(filename) END AS strict FROM part_drafts""",
+    "lookup_paths": f"""
+        SELECT normalized_number, array_to_string(list_distinct_ordered, ' ') AS paths,
+          CASE WHEN coalesce(country_code, '') <> '' AND coalesce(doc_number, '') <> '' AND coalesce(kind_code, '') <> ''
+            THEN 'https://example.org/pub/' || country_code || doc_number || 'NW' || kind_code || '/document.pdf' END AS link
+        FROM (SELECT *, list_filter([a, b, c, CASE WHEN e <> c THEN e END], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM (
+          SELECT *, '/published-data/' || reference_type || '/epodoc/' || lookup_number || '/biblio' AS a,
+            CASE WHEN coalesce(kind_code, '') <> '' THEN '/published-data/' || reference_type || '/docdb/' || country_code || '.' || doc_number || '.' || kind_code || '/biblio' END AS b,
+            '/published-data/search/biblio?q=pn%3D' || country_code || doc_number || coalesce(kind_code, '') AS c, '/published-data/search/biblio?q=pn%3D' || country_code || doc_number AS e
+          FROM (SELECT normalized_number, source, nn AS normal, display_number, country_code, doc_number, kind_code, lookup_number, reference_type, error_code
+            FROM (SELECT input AS normalized_number, source, normalized_number AS nn, display_number, country_code, doc_number, kind_code, lookup_number, reference_type, error_code
+              FROM ({_numbers_sql('input', '(SELECT normalized_number AS input FROM lookup_responses)')})) WHERE error_code IS NULL)))""",
+    "related_numbers": """
+        SELECT response_id, count(*) AS n, string_agg(number, ' | ' ORDER BY number) AS related FROM (
+          SELECT DISTINCT response_id, number FROM priority_claims JOIN lookup_responses USING (response_id) WHERE number IS NOT NULL
+            AND regexp_replace(upper(number), '[^\\p{L}\\p{N}]', '', 'g') <> coalesce(regexp_replace(upper(normalized_number), '[^\\p{L}\\p{N}]', '', 'g'), '')
+            AND regexp_replace(upper(number), '[^\\p{L}\\p{N}]', '', 'g') <> coalesce(regexp_replace(upper(display_number), '[^\\p{L}\\p{N}]', '', 'g'), '')) GROUP BY response_id""",
+    "answers_with_fallback": """
+        WITH r AS (SELECT *, coalesce(data_origin, '') = 'official' AS o, row_number() OVER (PARTITION BY normalized_number, coalesce(data_origin, '') = 'official' ORDER BY answered_at DESC, response_id DESC) AS k FROM lookup_responses),
+        f AS (SELECT normalized_number, title FROM r WHERE k = 1 AND NOT o AND coalesce(title, '') <> '')
+        SELECT p.normalized_number, CASE WHEN coalesce(p.title, '') <> '' OR f.title IS NOT NULL THEN 'ok' ELSE 'no_result' END AS outcome,
+          CASE WHEN coalesce(p.title, '') = '' AND f.title IS NOT NULL THEN f.title ELSE p.title END AS payload, CASE WHEN coalesce(p.title, '') = '' AND f.title IS NOT NULL THEN 2 ELSE 1 END AS source
+        FROM r p LEFT JOIN f USING (normalized_number) WHERE p.k = 1 AND p.o""",
+    "picked_documents": """
+        SELECT file_id, document_id, document_code, pos FROM (
+          SELECT file_id, part AS document_id, c AS document_code, max(draft_id) AS pos FROM (
+            SELECT *, CASE part WHEN 'claims' THEN 'PAMPH' WHEN 'description' THEN 'PUB' WHEN 'abstract' THEN 'A1' ELSE 'OTHER' END AS c FROM part_drafts) GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY CASE document_code WHEN 'PAMPH' THEN 0 WHEN 'APBDY' THEN 1 WHEN 'PUB' THEN 2 WHEN 'A1' THEN 3 WHEN 'A2' THEN 4 ELSE 5 END, pos) = 1""",
     "text_digests": "SELECT doc_id, sha256(text) AS digest FROM documents",
     "delivery_checks": """
         SELECT status, count(*) AS drafts, count(*) FILTER (sha256 IS NULL) AS unsigned, count(*) FILTER (coalesce(text, '') = '') AS empty,
@@ -480,6 +539,6 @@ QUERIES = {
         part_measures, file_words, type_rollup, comparable_texts, exact_duplicates, near_duplicates, page_containment, drawing_labels, normalized_numbers,
         national_numbers, first_aliases, two_tier_lookup, latest_answers, upserted_orders, events_once, linked_responses, unlinked_responses, new_customers,
         preferred_part, merged_answers, bytes_budget, expired_events, outcome_windows, earliest_dates, filled_representatives, class_differences, file_names,
-        text_digests, receipts, delivery_checks,
+        lookup_paths, related_numbers, answers_with_fallback, picked_documents, text_digests, receipts, delivery_checks,
     )
 }
