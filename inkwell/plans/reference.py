@@ -223,8 +223,8 @@ def bytes_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def expired_events(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "patent_lookup_events").select("event_id", "created_at")
-    now = rows.agg(F.max("created_at").alias("now"))
-    out = store.expired(rows.crossJoin(F.broadcast(now)), "created_at", F.col("now"), 90 * 86400)  # one row
+    now = rows.agg(F.max("created_at")).first()[0]
+    out = store.expired(rows, "created_at", F.lit(now).cast("timestamp"), 90 * 86400)
     return out.groupBy(F.date_trunc("month", "created_at").alias("month")).agg(F.count("*").alias("expired"))
 
 
