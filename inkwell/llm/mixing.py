@@ -93,8 +93,8 @@ def mixed(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int =
 def reached(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows source, target_share, actual_share, tokens, documents, most_uses."""
     per = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
-    total = per.agg(F.sum("tokens").alias("total"))
-    out = targets.select("source", "target_share").join(per, "source", "left").crossJoin(F.broadcast(total))
+    out = targets.select("source", "target_share").join(per, "source", "left")
+    out = out.withColumn("total", F.sum("tokens").over(Window.partitionBy()))  # one row a source
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return out.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("documents"), zero("most_uses"))
 

@@ -199,7 +199,7 @@ def options(counted: DataFrame) -> DataFrame:
     with options an array of struct(text, shown, n, chance), chance the probability of the
     confusion and 1 - RATE for the word as it stands."""
     vocabulary = counted.filter("prev is null and other is null").select("word", "n")
-    total = vocabulary.agg(F.sum("n").alias("total"))
+    total = vocabulary.agg(F.sum("n")).first()[0] or 0
     observed = counted.filter("prev is null").select("word", "other", "n")
 
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +227,8 @@ def options(counted: DataFrame) -> DataFrame:
         F.collect_list(F.struct("text", "shown", F.coalesce("n", F.lit(0)).alias("n"), "changed")).alias("options"),
         F.max("changed").alias("any"),
     )
-    grouped = grouped.filter(F.col("any") | F.col("other").isNotNull()).select("word", F.coalesce("other", F.lit("\u0001")).alias("other"), "options")
-    return grouped.crossJoin(F.broadcast(total))  # one row
+    grouped = grouped.filter(F.col("any") | F.col("other").isNotNull())
+    return grouped.select("word", F.coalesce("other", F.lit("\u0001")).alias("other"), F.lit(total).cast("bigint").alias("total"), "options")
 
 
 def _emit(texts: DataFrame) -> DataFrame:

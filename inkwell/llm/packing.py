@@ -83,11 +83,10 @@ def packed(sizes: DataFrame, bins: DataFrame) -> DataFrame:
     if not kinds:
         kinds = [("none", 1)]
         sizes = sizes.limit(0)
-    table = F.broadcast(spark.createDataFrame(kinds, "bin_kind string, capacity int"))
+    each_bin = F.explode(F.array(*(F.struct(F.lit(k).alias("bin_kind"), F.lit(c).alias("capacity")) for k, c in kinds)))
     pieces = F.ceil(F.col("tokens") / F.col("capacity")).cast("int")
-    items = sizes.crossJoin(table).select(
-        "bin_kind", "capacity", "doc_id", "tokens", F.posexplode(F.sequence(F.lit(1), pieces)).alias("piece", "nth")
-    )
+    items = sizes.select("doc_id", "tokens", each_bin.alias("b")).select("b.*", "doc_id", "tokens")
+    items = items.select("bin_kind", "capacity", "doc_id", "tokens", F.posexplode(F.sequence(F.lit(1), pieces)).alias("piece", "nth"))
     items = items.select("bin_kind", "capacity", "doc_id", "piece", F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("tokens"))
     # Bounded by the capacities: at most capacity rows for each kind of container.
     counted = items.groupBy("bin_kind", "tokens").agg(F.count("*").alias("n")).collect()
