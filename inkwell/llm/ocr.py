@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,7 @@ PAGENO = re.compile(
     r"^\s*(?:[-–—~=]{1,2}\s*\d{1,4}\s*[-–—~=]{1,2}|\[\s*\d{1,3}\s*\]|(?:(?:page|seite|p|s|pág|pag|página|blatt|sheet|feuille|hoja)\b\.?\s*)?\d{1,4}(?:\s*(?:/|of|von|de|sur|out of)\s*\d{1,4})?)\s*$",
     re.IGNORECASE,
 )
+_BREAKS = set("-‐‑\u00ad")
 BREAK = re.compile(r"[^\W\d_]([-‐‑­])\s*$")
 _TRIM = re.compile(r"^[^\w]+|[^\w]+$")
 _NO_WORD = re.compile(r"[\d(]")  # no right word holds these beside letters
@@ -72,6 +74,8 @@ def running(line: str) -> str | None:
 def core(chunk: str) -> str:
     """A chunk between spaces without surrounding punctuation; an opening bracket that is not
     closed and stands before letters may be a misread letter and stays."""
+    if chunk.isalpha():
+        return chunk
     word = _TRIM.sub("", chunk)
     at = chunk.find(word) if word else 0
     if word and at and chunk[at - 1] == "(" and ")" not in chunk and len(word) >= SHORTEST - 1 and word[0].islower():
@@ -96,7 +100,7 @@ def tokens(text: str) -> list[tuple[int, str, str, str]]:
         chunks = lines[i].split()
         first = 1 if i in taken else 0
         last = None
-        m = BREAK.search(lines[i])
+        m = BREAK.search(lines[i]) if lines[i].rstrip()[-1:] in _BREAKS else None
         if m and k + 1 < len(body) and len(chunks) > first:
             after = lines[body[k + 1]].split()
             head = _TRIM.sub("", after[0]) if after else ""
@@ -115,7 +119,7 @@ def tokens(text: str) -> list[tuple[int, str, str, str]]:
 
 def lm_form(word: str) -> str:
     """The word as the language model counts it: numerals are one word."""
-    return "#" if _NUMERAL.fullmatch(word) else word
+    return "#" if not word.isalpha() and _NUMERAL.fullmatch(word) else word
 
 
 def undone(word: str) -> dict[str, str]:
@@ -153,7 +157,9 @@ def ways(word: str) -> int:
 
 
 def _correctable(word: str) -> bool:
-    return len(word) >= SHORTEST - 1 and not _NUMERAL.fullmatch(word) and any(c.isalpha() for c in word)
+    if len(word) < SHORTEST - 1 or word.isalpha():
+        return len(word) >= SHORTEST - 1
+    return not _NUMERAL.fullmatch(word) and any(c.isalpha() for c in word)
 
 
 def counts(texts: DataFrame) -> DataFrame:
@@ -231,14 +237,15 @@ def options(counted: DataFrame) -> DataFrame:
     return grouped.select("word", F.coalesce("other", F.lit("\u0001")).alias("other"), F.lit(total).cast("bigint").alias("total"), "options")
 
 
-def _emit(texts: DataFrame) -> DataFrame:
+def _emit(texts: DataFrame, words: Broadcast | None) -> DataFrame:
     """Every word of every text that may be corrected or is broken: rec, rec_id, line_no, seq,
-    kind, word, other, prev, next."""
+    kind, word, other, prev, next. `words` has those that have options, if they are few."""
     schema = "rec string, rec_id bigint, line_no int, seq int, kind string, word string, other string, prev string, next string"
     names = ["rec", "rec_id", "line_no", "seq", "kind", "word", "other", "prev", "next"]
     types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = words.value if words is not None else None
         for batch in batches:
             rows = []
             for rec, key, text in zip(*(batch.column(c).to_pylist() for c in ("rec", "rec_id", "text"))):
@@ -247,7 +254,7 @@ def _emit(texts: DataFrame) -> DataFrame:
                 stream = [t for t in tokens(text) if t[1] in ("word", "hyphen")]
                 forms = [lm_form(t[2]) for t in stream]
                 for k, (line, kind, word, other) in enumerate(stream):
-                    if kind == "word" and not _correctable(word):
+                    if kind == "word" and not (_correctable(word) if wanted is None else word in wanted):
                         continue
                     rows.append(
                         (rec, key, line, k, kind, word, other if kind == "hyphen" else "\u0001", forms[k - 1] if k else None, forms[k + 1] if k + 1 < len(forms) else None)
@@ -334,11 +341,12 @@ def findings(texts: DataFrame) -> DataFrame:
     every running line, broken word and misread word."""
     counted = cut(counts(texts))
     opts = cut(options(counted))
-    emitted = _emit(texts)
-    # The distinct words with options are few against the tokens; beyond the bound both sides
-    # are shuffled and adaptive execution splits frequent words.
+    # The distinct words with options are few against the tokens, so up to a bound only tokens
+    # with options leave the workers; beyond it all of them meet the options by a shuffle, in
+    # which adaptive execution splits frequent words.
     few = opts.count() <= BROADCAST_ROWS
-    flagged = emitted.join(F.broadcast(opts) if few else opts, ["word", "other"])
+    words = texts.sparkSession.sparkContext.broadcast({r.word for r in opts.filter("other = '\u0001'").select("word").collect()}) if few else None
+    flagged = _emit(texts, words).join(F.broadcast(opts) if few else opts, ["word", "other"])
     flagged = cut(flagged)
     # Bigrams of each option with its neighbours; a neighbour with options of its own stands
     # for all of them.
