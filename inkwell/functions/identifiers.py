@@ -106,3 +106,10 @@ def full_number(country: Column, number: Column, kind: Column) -> Column:
 def without_country(number: Column, country: Column) -> Column:
     """A number without a country prefix that it repeats."""
     return F.when(number.startswith(country), F.substring(number, F.length(country) + 1, F.length(number))).otherwise(number)
+
+
+def rest_number(reference: Column) -> Column:
+    """Number under which the international service files a reference (struct of
+    normalized_number()): two-digit year for publications, as it is for applications."""
+    doc = reference["doc_number"]
+    return F.when(reference["country_code"] == "WO", F.concat(F.lit("WO"), F.substring(doc, 3, 20))).when(reference["country_code"] == "PCT", doc)
