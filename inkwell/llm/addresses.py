@@ -353,15 +353,15 @@ def resolved(records: DataFrame) -> DataFrame:
     tried = steps.withColumn("cut", F.explode(_deleted(F.col("street")))).join(entry_cuts, ["locality", "type", "cut"]).filter(_close(F.col("street"), F.col("street_c")))
     tried = tried.withColumn("cost", F.col("cost") + F.when(F.col("street") == F.col("street_c"), 0).otherwise(1))
     order = F.struct(-F.col("cost"), F.col("street_n"), -F.col("reading"), "street_id")
-    best = tried.groupBy("rep_id").agg(F.max_by(F.struct("street_id", "number", "unit", "cost"), order).alias("b")).select("rep_id", "b.*")
+    best = cut(tried.groupBy("rep_id").agg(F.max_by(F.struct("street_id", "number", "unit", "cost"), order).alias("b")).select("rep_id", "b.*"))
 
     # Addresses without a locality: a street name that the gazetteer has in one place only.
-    rest = readings.join(best, "rep_id", "left_anti")
+    rest = cut(readings.join(best, "rep_id", "left_anti"))
     single = gazetteer.groupBy("type", "street_c").agg(F.count("*").alias("k"), F.min("street_id").alias("street_id")).filter("k = 1")
     single = single.withColumn("cut", F.explode(_deleted(F.col("street_c"))))
     lone = rest.join(steps.select("rep_id").distinct(), "rep_id", "left_anti").withColumn("cut", F.explode(_deleted(F.col("street")))).join(single, ["type", "cut"]).filter(_close(F.col("street"), F.col("street_c")))
     lone = lone.groupBy("rep_id", "number", "unit").agg(F.min("street_id").alias("street_id"), F.countDistinct("street_id").alias("k")).filter("k = 1")
-    lone = lone.select("rep_id", "street_id", "number", "unit", F.lit(2).alias("cost"))
+    lone = cut(lone.select("rep_id", "street_id", "number", "unit", F.lit(2).alias("cost")))
     # What no entry fits stands for itself: equal writings still get the same identifier.
     own = rest.join(lone, "rep_id", "left_anti").filter("reading = 0")
     own = own.select("rep_id", F.xxhash64("postcode", "town", "type", "street").alias("street_id"), "number", "unit", F.lit(9).alias("cost"))
