@@ -25,22 +25,24 @@ from pyspark.sql import types as T
 
 KINDS = ["email", "address", "ident", "phone", "name"]
 
-# Given names in the languages of the corpus (with short forms).
-GIVEN = (
-    "Ada Adam Adrian Agnes Albert Aleksandr Alexander Alexandra Alexei Alice Amélie Ana Anamaria Andrea Andreas Andrew Anna Anne "
-    "Antoine Anton Antonio Barbara Beatriz Ben Benedikt Benjamin Bernard Bettina Björn Bob Brigitte Bruno Camille Carla Carlos "
-    "Carmen Caroline Catherine Charles Charlotte Chiara Christian Christine Christoph Claire Claudia Clara Daniel David Diego Dima "
-    "Dmitri Dominik Doro Dorothea Edward Elena Elisabeth Elizabeth Emil Emily Emma Eric Erik Eva Fabian Fatima Felix Fran Francesca "
-    "Francesco Francisco François Frank Fred Frederic Frédéric Friedrich Gabi Gabriel Gabriela Georg George Gerhard Giulia Giuseppe "
-    "Guadalupe Hans Heinrich Helena Hélène Helen Henri Henrietta Henry Hiroshi Hugo Ingrid Ioana Irina Isabel Ivan Jacques James Jan Jane "
-    "Javier Jean Jennifer Johann Johanna Johannes John Jonas Jörg Jose José Joseph Juan Julia Julie Jürgen Karl Karin Katharina "
-    "Kathi Kati Kenji Klaus Kurt Lars Laura Laurent Lea Leonardo Linda Lisa Louis Luc Lucas Lucía Luigi Luis Lukas Lupe Łukasz Magdalena "
-    "Manuel Marco Margaret Maria María Marie Mario Mark Markus Marta Martin Mary Matthias Maximilian Mehmet Michael Michel "
-    "Miguel Mikhail Mitya Monika Natalia Nathaniel Nicolas Nikolai Nina Oana Olga Oliver Olivier Omar Paco Patricia Patrick Paul Paula "
-    "Pavel Pedro Peter Philippe Pierre Priya Quentin Rachel Ralf Richard Rob Robert Roberto Ronnie Rosa Ruth Samuel Sandra Sanna Sara Sarah "
-    "Sebastian Sergei Simon Sofia Sophie Stefan Stephan Susan Sven Tadeusz Tatiana Terry Tess Thea Theresa Thomas Timo Tobias "
-    "Ulrich Ursula Uwe Vera Veronica Victor Viktor Vladimir Walter Werner Wilhelm William Wolfgang Yevgeny Yuki Yusuf Zoë Zoe"
-).split()
+# Given names in the languages of the corpus (with short forms); a parameter of
+# the functions below, so that a longer list can take their place.
+GIVEN = tuple(
+    (
+        "Ada Adrian Alexander Ana Anamaria Andrea Andreas Andrew Anna Anne Antoine Anton Barbara Beatriz Ben Benedikt Benjamin "
+        "Bernard Bettina Björn Bob Brigitte Carlos Carmen Catherine Charles Charlotte Chiara Christian Christine Christoph "
+        "Claire Daniel David Dima Dmitri Doro Dorothea Edward Elena Elisabeth Elizabeth Emil Emily Erik Fran Francesco "
+        "Francisco François Frank Fred Frederic Frédéric Friedrich Gabi Gabriel Gabriela Georg George Guadalupe Hans Heinrich "
+        "Hélène Helen Henri Henrietta Henry Hiroshi Ingrid Ioana Ivan James Jan Javier Jean Johann Johanna Johannes John Jonas "
+        "Jose José Joseph Juan Julia Julie Jürgen Karl Katharina Kathi Kati Kenji Klaus Kurt Laurent Leonardo Louis Luc Lucas "
+        "Luis Lupe Łukasz Marco Margaret Maria María Marie Mario Mark Markus Marta Martin Mary Matthias Maximilian Mehmet "
+        "Michael Michel Miguel Mikhail Mitya Monika Natalia Nathaniel Nicolas Nikolai Nina Oana Olga Oliver Olivier Omar Paco "
+        "Patricia Patrick Paul Paula Pavel Pedro Peter Philippe Pierre Priya Quentin Rachel Ralf Richard Rob Robert Roberto "
+        "Ronnie Rosa Ruth Samuel Sandra Sanna Sara Sarah Sebastian Sergei Simon Sofia Sophie Stefan Stephan Susan Sven Tadeusz "
+        "Tatiana Terry Tess Thea Theresa Thomas Timo Tobias Ulrich Ursula Uwe Vera Veronica Victor Viktor Vladimir Walter "
+        "Werner Wilhelm William Wolfgang Yevgeny Yuki Yusuf Zoë Zoe"
+    ).split()
+)
 
 # Forms of address that stand before a name whose given name is unknown here.
 TITLES = "mr mr. mrs mrs. ms ms. miss herr herrn frau mme mlle madame monsieur señor señora signor signora".split()
@@ -131,7 +133,7 @@ CLOSINGS = set(
 
 
 @cache
-def _automaton():
+def _automaton(given: tuple[str, ...]):
     import ahocorasick
 
     cues: dict[str, set[str]] = {}
@@ -148,7 +150,7 @@ def _automaton():
         add(w, "ident")
     for w in STREET_ANCHORS:
         add(w, "street")
-    for w in GIVEN:
+    for w in given:
         add(w, "given")
     for code in [*range(0x41, 0x5B), *range(0xC0, 0xDF), 0x141, 0x15A, 0x17B]:
         add(f"{chr(code)}.", "initial")
@@ -226,12 +228,12 @@ def _given_at(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
-def pieces(text: str) -> list[tuple[str, int, int]]:
+def pieces(text: str, given: tuple[str, ...] = GIVEN) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the personal data in `text`, by position, without overlaps."""
     if not text:
         return []
     low, found = _lower(text), set()
-    for last, (n, kinds) in _automaton().iter(low):
+    for last, (n, kinds) in _automaton(given).iter(low):
         a, b = last - n + 1, last + 1
         for kind in kinds:
             if kind == "email":
@@ -269,18 +271,18 @@ def pieces(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for a, b, kind in taken]
 
 
-def masked(text: str | None) -> str | None:
+def masked(text: str | None, given: tuple[str, ...] = GIVEN) -> str | None:
     """`text` with `[EMAIL]`, `[PHONE]`, `[IDENT]`, `[ADDRESS]`, `[NAME]` for its pieces."""
     if not text:
         return text
     out, at = [], 0
-    for kind, a, b in pieces(text):
+    for kind, a, b in pieces(text, given):
         out += [text[at:a], f"[{kind.upper()}]"]
         at = b
     return "".join([*out, text[at:]])
 
 
-def with_masked(df: DataFrame, column: str, name: str) -> DataFrame:
+def with_masked(df: DataFrame, column: str, name: str, given: tuple[str, ...] = GIVEN) -> DataFrame:
     """`df` with the text column `name`: `column` with placeholders."""
     df = df.drop(name) if name in df.columns and name != column else df
     keep = [c for c in df.columns if c != name]
@@ -288,19 +290,19 @@ def with_masked(df: DataFrame, column: str, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = pa.array([masked(t) for t in batch.column(column).to_pylist()], pa.string())
+            text = pa.array([masked(t, given) for t in batch.column(column).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), text], names=[*keep, name])
 
     return df.mapInArrow(run, schema)
 
 
-def found(documents: DataFrame) -> DataFrame:
+def found(documents: DataFrame, given: tuple[str, ...] = GIVEN) -> DataFrame:
     """Rows (doc_id, kind, start_pos, end_pos), one for each piece of personal data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (i, *p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in pieces(t)
+                (i, *p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in pieces(t, given)
             ]
             cols = list(zip(*rows)) if rows else [[]] * 4
             types = [pa.int64(), pa.string(), pa.int32(), pa.int32()]
