@@ -48,6 +48,11 @@ SEARCH_REPORT = r"(?i)international\s+search\s+report|european\s+search\s+report
 MOJIBAKE = ["�", "Ã", "Â", "â€", "□", "�"]
 
 
+# By block: how far apart ranges may lie to be joined; blocks of common letters and marks of
+# punctuation are kept apart.
+GAPS = [(0x250, 0), (0x530, 16), (0x2000, 1024), (0x2070, 0), (0x3000, 1024), (0x3400, 8), (0xAC00, 2048), (0x10000, 4096), (sys.maxunicode + 1, sys.maxunicode)]
+
+
 @cache
 def _nfkc_class() -> str:
     """Regex class that holds all characters that NFKC changes or that may compose, by rule.
@@ -58,7 +63,7 @@ def _nfkc_class() -> str:
         c = chr(code)
         if 0xD800 <= code < 0xE000 or not (unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c or 0x1100 <= code < 0x1200):
             continue
-        gap = 0 if code < 0x250 else 96 if code < 0x3000 else 24 if code < 0x10000 else 4096
+        gap = next(g for end, g in GAPS if code < end)
         if ranges and code - ranges[-1][1] <= gap + 1:
             ranges[-1][1] = code
         else:
@@ -67,7 +72,8 @@ def _nfkc_class() -> str:
 
 
 def with_nfkc(df: DataFrame, column: str) -> DataFrame:
-    """`df` with `column` in NFKC. Rows that it cannot change never leave the JVM."""
+    """`df` with `column` in NFKC. Texts that it cannot change never leave the JVM: Python gets
+    nulls in their places, and the table is read once."""
 
     @F.pandas_udf("string")
     def nfkc(texts: pd.Series) -> pd.Series:
@@ -75,7 +81,7 @@ def with_nfkc(df: DataFrame, column: str) -> DataFrame:
 
     text = F.col(column)
     touched = F.coalesce((F.octet_length(text) != F.length(text)) & text.rlike(_nfkc_class()), F.lit(False))
-    return df.filter(~touched).unionByName(df.filter(touched).withColumn(column, nfkc(F.col(column))))
+    return df.withColumn(column, F.coalesce(nfkc(F.when(touched, text)), text))
 
 
 def normalized(text: Column) -> Column:
