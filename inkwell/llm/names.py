@@ -8,10 +8,12 @@ tokens, permitting initials, nicknames and abbreviations. A class is linked to t
 class that it is aligned with, links are followed to their roots, and mentions of one root are
 one entity.
 
-Only the tokens of a name that are about as rare as its rarest are looked up, each together
-with the first letter of the name's other telling token, so neither common given names nor
-common words bring classes together and a frequent surname is split by given name. All steps
-are equi-joins on distinct classes; mentions join in only at the end.
+Every full token of a name is indexed, each together with the first letters of the name's other
+tokens; those that are about as rare as its rarest are telling and look up the tokens of all
+other names. So neither common given names nor common words bring classes together, while
+`E. Moll` meets `Emil Moll` however frequent Moll is. Names whose telling tokens are all
+initials in the other name don't meet (Ioana H. Moll and Ioana M. Haber are two people). All
+steps are equi-joins on distinct classes; mentions join in only at the end.
 
 Defined results: null and blank names are linked to none; equal spellings are always linked,
 whatever their field; a name of one token is linked to equal tokens only; repeated rows are
@@ -287,23 +289,22 @@ def entities(mentions: DataFrame) -> DataFrame:
     # How well a spelling is attested: its mentions together with that letter.
     attested = parts.groupBy("class_kind", "token", "letter").agg(F.sum("n").alias("attested"))
     parts = cut(parts.join(attested, ["class_kind", "token", "letter"]))
-    is_full = ~F.col("token").endswith(".")
-    sides = parts.groupBy("class", "class_kind").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token", "attested"))).alias("at"),
-        F.struct(F.sum(is_full.cast("int")).cast("int").alias("full"), F.max("n").alias("n"), F.first("class").alias("class")).alias("weight"),
-        F.min(F.when(is_full, F.col("token_n"))).alias("least"),
-        F.count("*").alias("size"),
-    )
-    sides = cut(sides.select("class", "weight", "least", "size", F.col("at.token").alias("tokens"), F.col("at.attested").alias("counts")))
-    telling = parts.filter(is_full).join(sides.select("class", "weight", "least", "size"), "class").filter((F.col("size") >= 2) & (F.col("token_n") <= RARE * F.col("least")))
-    index = telling.select("class", "class_kind", "weight", "letter", F.explode(F.array_union(_deleted(F.col("token")), _deleted(F.regexp_replace("token", "([aou])e", "$1")))).alias("cut"))
-    index = cut(index.distinct())
-
-    # Candidates: classes that share a form of a telling token and the letter; each pair once,
-    # from the lighter class to the weightier one.
-    a, b = index.select("class_kind", "letter", "cut", F.col("class").alias("a"), F.col("weight").alias("weight_a")), index.select("class_kind", "letter", "cut", F.col("class").alias("b"), F.col("weight").alias("weight_b"))
-    candidates = a.join(b, ["class_kind", "letter", "cut"]).filter(F.col("weight_b") > F.col("weight_a")).select("a", "b", "weight_b").distinct()
-    side = sides.select("class", "tokens", "counts")
+    side = parts.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "attested"))).alias("at"))
+    side = cut(side.select("class", F.col("at.token").alias("tokens"), F.col("at.attested").alias("counts")))
+
+    # Every full token with the first letter of each other token; telling or not.
+    letters = F.array_distinct(F.transform(others, lambda p: F.substring(p["token"], 1, 1)))
+    full = classes.filter(F.size("parts") >= 2).withColumn("full", F.filter("parts", lambda p: ~p["token"].endswith(".")))
+    full = full.withColumn("weight", F.struct(F.size("full").alias("full"), "n", "class")).withColumn("least", F.array_min("full.token_n")).withColumn("t", F.explode("full"))
+    index = full.select("class", "class_kind", "weight", "t.token", (F.col("t.token_n") <= RARE * F.col("least")).alias("telling"), F.explode(letters).alias("letter"))
+    index = index.withColumn("cut", F.explode(F.array_union(_deleted(F.col("token")), _deleted(F.regexp_replace("token", "([aou])e", "$1"))))).drop("token")
+    index = cut(index.groupBy("class", "class_kind", "weight", "letter", "cut").agg(F.max("telling").alias("telling")))
+
+    # Candidates: classes that share a form of a token that is telling in one of them, and the
+    # letter; each pair once, from the lighter class to the weightier one.
+    a, b = index.filter("telling").select("class_kind", "letter", "cut", F.col("weight").alias("x")), index.select("class_kind", "letter", "cut", F.col("weight").alias("y"))
+    met = a.join(b, ["class_kind", "letter", "cut"]).filter("x <> y").select(F.least("x", "y").alias("weight_a"), F.greatest("x", "y").alias("weight_b"))
+    candidates = met.select(F.col("weight_a.class").alias("a"), F.col("weight_b.class").alias("b"), "weight_b").distinct()
     candidates = candidates.join(side.toDF("a", "ta", "ca"), "a").join(side.toDF("b", "tb", "cb"), "b")
     links = _verified(candidates).groupBy("a").agg(F.max_by("b", "weight_b").alias("parent"))
     roots = _followed(cut(links))

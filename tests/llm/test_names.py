@@ -83,3 +83,15 @@ def test_persons_against_brute_force(spark):
     expected = {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}
     assert len(got & expected) / len(expected) > 0.97
     assert len(got & expected) / len(got) > 0.99
+
+
+def test_initials_of_a_frequent_surname(spark):
+    """A surname far more frequent than the given names is still met by the initial form."""
+    rare = [("Emil", "E."), ("Otto", "O."), ("Walter", "W.")]
+    others = ["Ingrid", "Mehmet", "Robert", "Veronica", "Katharina", "Francisco"]
+    rows = [f"{g} Hotname" for g in others for _ in range(20)] + [f"{g} Hotname" for g, _ in rare] + [f"{i} Hotname" for _, i in rare]
+    df = spark.createDataFrame([(k, "inventors", n) for k, n in enumerate(rows)], "mention_id bigint, field string, name string")
+    entity = {r.name: r.entity for r in names.entities(df).collect()}
+    for g, i in rare:
+        assert entity[f"{g} Hotname"] == entity[f"{i} Hotname"]
+    assert len(set(entity.values())) == len(others) + len(rare)
