@@ -70,7 +70,8 @@ PERSON_NOISE = set("prof dr dipl ing mr mrs ms miss herr herrn frau mme mlle phd
 
 COMMON = 20  # times a token's count that a frequent neighbour must have to take it over
 RARE = 4.0  # a token is telling if it is at most this many times as frequent as the rarest of its name
-SCARCE = 2  # mentions of a spelling up to which it may be a typing error of a similar one
+SCARCE = 2  # mentions of a spelling that say nothing against its being a typing error
+TIMES = 3.0  # times the mentions beyond SCARCE that a similar spelling must have to be the right one
 
 
 @cache
@@ -161,31 +162,38 @@ def classified(tokens: list[str], kind: str) -> tuple[str, list[str]]:
 _UMLAUT = re.compile(r"([aou])e")
 
 
-def aligned(a: list[str], b: list[str], counts: dict[str, int]) -> bool:
+def aligned(a: list[str], b: list[str], counts: dict[str, int], forms: dict[str, int] | None = None) -> bool:
     """Whether an optimal assignment of the tokens of two names leaves no full token over and
     needs at most one edit for a token, two in all. Initials stand for tokens that begin with
-    them and may stay over, as middle initials do; at least one full token must be met."""
+    them and may stay over, as middle initials do; at least one full token must be met. An edit
+    that the mentions (`counts`) leave in doubt is decided by the spellings of the names that
+    hold the token (`forms`), if another full token is equal."""
     full_a, full_b = [t for t in a if not t.endswith(".")], [t for t in b if not t.endswith(".")]
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if len(long) > 6:
         return sorted(a) == sorted(b)
     best = None
     for chosen in permutations(range(len(long)), len(short)):
-        cost, met = 0.0, False
+        cost, met, equal, doubt = 0.0, False, False, False
         for s, k in zip(short, chosen):
             c = _match(s, long[k], counts)
+            if c is None and forms and (c := _match(s, long[k], forms, TIMES)) is not None:
+                doubt = True
             if c is None:
                 break
             cost += c
             met |= not s.endswith(".") and not long[k].endswith(".")
+            equal |= s == long[k] and not s.endswith(".")
         else:
             left = [t for k, t in enumerate(long) if k not in chosen]
-            if met and not any(not t.endswith(".") for t in left) and (best is None or cost < best):
+            if met and (equal or not doubt) and not any(not t.endswith(".") for t in left) and (best is None or cost < best):
                 best = cost
     return best is not None and best <= 2 and bool(full_a) and bool(full_b)
 
 
-def _match(s: str, t: str, counts: dict[str, int]) -> float | None:
+def _match(s: str, t: str, counts: dict[str, int], times: float | None = None) -> float | None:
+    """The cost of taking `s` and `t` for one token, None if they are two. `times`: the plain
+    ratio of counts that tells a typing error, else TIMES beyond SCARCE."""
     if s == t:
         return 0.0
     if s.endswith(".") or t.endswith("."):
@@ -196,7 +204,8 @@ def _match(s: str, t: str, counts: dict[str, int]) -> float | None:
         return 0.25
     if len(s) >= 4 and len(t) >= 4 and (near(s, t) or near(plain_s, plain_t)):
         # Two spellings that are both well attested are two names.
-        if min(counts.get(s, 0), counts.get(t, 0)) <= SCARCE:
+        less, more = sorted((counts.get(s, 0), counts.get(t, 0)))
+        if more >= (times * less if times else TIMES * (less - SCARCE)):
             return 1.0
     return None
 
@@ -233,9 +242,9 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("ta", "tb", "ca", "cb")}
+            cols = [batch.column(c).to_pylist() for c in ("ta", "tb", "ca", "cb", "fa", "fb")]
             keep = [
-                aligned(ta, tb, {**dict(zip(ta, ca)), **dict(zip(tb, cb))}) for ta, tb, ca, cb in zip(cols["ta"], cols["tb"], cols["ca"], cols["cb"])
+                aligned(ta, tb, {**dict(zip(ta, ca)), **dict(zip(tb, cb))}, {**dict(zip(ta, fa)), **dict(zip(tb, fb))}) for ta, tb, ca, cb, fa, fb in zip(*cols)
             ]
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b"), kept.column("weight_b")], names=["a", "b", "weight_b"])
@@ -273,24 +282,25 @@ def entities(mentions: DataFrame) -> DataFrame:
     spelt = cut(_classes(mended.select("name", "kind", "n", "tokens")))
 
     # Classes, token counts within kind, telling tokens.
-    classes = spelt.groupBy("class", "class_kind").agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens"))
+    classes = spelt.groupBy("class", "class_kind").agg(F.sum("n").alias("n"), F.count("*").alias("forms"), F.first("tokens").alias("tokens"))
     tokens = classes.select("class_kind", "n", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("class_kind", "token").agg(F.sum("n").alias("token_n"))
     per_token = classes.select("class", "class_kind", F.posexplode("tokens").alias("pos", "token")).join(tokens, ["class_kind", "token"])
     described = per_token.groupBy("class", "class_kind").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "token_n"))).alias("parts"))
-    classes = classes.select("class", "n").join(described, "class")
-    classes = cut(classes.select("class", "class_kind", "n", "parts"))
+    classes = classes.select("class", "n", "forms").join(described, "class")
+    classes = cut(classes.select("class", "class_kind", "n", "forms", "parts"))
     # Each part with the first letter of the other telling part: in an organisation the rarest
     # other token, in a person the first other one, which is the given name or its initial.
     others = F.filter("parts", lambda p: p["pos"] != F.col("t.pos"))
     rarest = F.array_min(F.transform(others, lambda p: F.struct(p["token_n"], p["token"])))["token"]
     other = F.when(F.col("class_kind") == "O", rarest).otherwise(F.get(others, F.lit(0))["token"])
     parts = classes.withColumn("t", F.explode("parts")).withColumn("letter", F.coalesce(F.substring(other, 1, 1), F.lit("")))
-    parts = parts.select("class", "class_kind", "n", "t.pos", "t.token", "t.token_n", "letter")
-    # How well a spelling is attested: its mentions together with that letter.
-    attested = parts.groupBy("class_kind", "token", "letter").agg(F.sum("n").alias("attested"))
+    parts = parts.select("class", "class_kind", "n", "forms", "t.pos", "t.token", "letter")
+    # How well a spelling is attested: its mentions together with that letter, and the distinct
+    # names among them, which copies of one mention don't add to.
+    attested = parts.groupBy("class_kind", "token", "letter").agg(F.sum("n").alias("attested"), F.sum("forms").alias("among"))
     parts = cut(parts.join(attested, ["class_kind", "token", "letter"]))
-    side = parts.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "attested"))).alias("at"))
-    side = cut(side.select("class", F.col("at.token").alias("tokens"), F.col("at.attested").alias("counts")))
+    side = parts.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "attested", "among"))).alias("at"))
+    side = cut(side.select("class", F.col("at.token").alias("tokens"), F.col("at.attested").alias("counts"), F.col("at.among").alias("forms")))
 
     # Every full token with the first letter of each other token; telling or not.
     letters = F.array_distinct(F.transform(others, lambda p: F.substring(p["token"], 1, 1)))
@@ -305,7 +315,7 @@ def entities(mentions: DataFrame) -> DataFrame:
     a, b = index.filter("telling").select("class_kind", "letter", "cut", F.col("weight").alias("x")), index.select("class_kind", "letter", "cut", F.col("weight").alias("y"))
     met = a.join(b, ["class_kind", "letter", "cut"]).filter("x <> y").select(F.least("x", "y").alias("weight_a"), F.greatest("x", "y").alias("weight_b"))
     candidates = met.select(F.col("weight_a.class").alias("a"), F.col("weight_b.class").alias("b"), "weight_b").distinct()
-    candidates = candidates.join(side.toDF("a", "ta", "ca"), "a").join(side.toDF("b", "tb", "cb"), "b")
+    candidates = candidates.join(side.toDF("a", "ta", "ca", "fa"), "a").join(side.toDF("b", "tb", "cb", "fb"), "b")
     links = _verified(candidates).groupBy("a").agg(F.max_by("b", "weight_b").alias("parent"))
     roots = _followed(cut(links))
     return spelt.join(roots.toDF("class", "root"), "class", "left").select("name", "kind", F.xxhash64(F.coalesce("root", "class")).alias("entity"))

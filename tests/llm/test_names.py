@@ -95,3 +95,18 @@ def test_initials_of_a_frequent_surname(spark):
     for g, i in rare:
         assert entity[f"{g} Hotname"] == entity[f"{i} Hotname"]
     assert len(set(entity.values())) == len(others) + len(rare)
+
+
+def test_repeated_typing_errors(spark):
+    """An error that stands more than twice, and one in many copies, keep their links; two
+    surnames that both stand in many ways stay two."""
+    forms = ["{g} {s}", "{s}, {g}", "{S} {g}", "Dr. {g} {s}", "{g} {s} et al.", "Mr {g} {s}"]
+    written = lambda g, s, n: [f.format(g=g, s=s, S=s.upper()) for f in forms for _ in range(n)]
+    rows = written("Robert", "Grabitok", 2) + ["Robert Grabtok"] * 4
+    rows += written("Ingrid", "Sovurlent", 4) + ["Ingrid Sovurlnt"] * 25
+    rows += written("Mehmet", "Dabehost", 3) + written("Mehmet", "Dabehust", 3)
+    df = spark.createDataFrame([(k, "inventors", n) for k, n in enumerate(rows)], "mention_id bigint, field string, name string")
+    entity = {r.name: r.entity for r in names.entities(df).collect()}
+    assert entity["Robert Grabitok"] == entity["Robert Grabtok"]
+    assert entity["Ingrid Sovurlent"] == entity["Ingrid Sovurlnt"]
+    assert entity["Mehmet Dabehost"] != entity["Mehmet Dabehust"]
