@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import cut
+from inkwell.session import cut, spread
 
 # Characters as recognised, and what they stood for.
 CONFUSIONS = [
@@ -41,7 +41,7 @@ CONFUSIONS = [
 
 RATE = 0.03  # misread words among all words; prior of the channel
 DOUBT = 20.0  # times the expected misreadings that a word's own count must exceed
-RATIO = 4  # times a word's count that an option must have
+RATIO = 4  # times a word's count in distinct texts that an option must have, unless no right word looks like it
 SHORTEST = 4  # letters of the shortest word that is corrected
 SMOOTH = 5.0  # weight of the unigram in the bigram likelihood
 UNSEEN = 1e-9
@@ -163,41 +163,47 @@ def _correctable(word: str) -> bool:
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """(prev, word, other, n): words (prev null), bigrams (prev set) and broken words (other
-    set) of all texts, added up within each batch before the shuffle."""
+    """(prev, word, other, n, once): words (prev null), bigrams (prev set) and broken words
+    (other set) of all texts, added up within each batch before the shuffle; once counts those
+    of equal texts once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        once: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             keys = list(seen)
             arrays = [pa.array([k[j] for k in keys], pa.string()) for j in range(3)]
-            batch = pa.RecordBatch.from_arrays([*arrays, pa.array([seen[k] for k in keys], pa.int64())], names=["prev", "word", "other", "n"])
+            numbers = [pa.array([c[k] for k in keys], pa.int64()) for c in (seen, once)]
+            batch = pa.RecordBatch.from_arrays([*arrays, *numbers], names=["prev", "word", "other", "n", "once"])
             seen.clear()
+            once.clear()
             return batch
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text, copies in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist()):
                 if not text:
                     continue
                 prev = None
                 for _, kind, word, other in tokens(text):
                     if kind == "hyphen":
-                        seen[(None, word, other)] += 1
+                        seen[(None, word, other)] += copies
                         prev = word
                     elif kind == "word":
                         form = lm_form(word)
-                        seen[(None, form, None)] += 1
+                        seen[(None, form, None)] += copies
+                        once[(None, form, None)] += 1
                         if prev is not None:
-                            seen[(prev, form, None)] += 1
+                            seen[(prev, form, None)] += copies
                         prev = form
                 if len(seen) > 400_000:
                     yield flush()
         if seen:
             yield flush()
 
-    rows = texts.select("text").mapInArrow(count, "prev string, word string, other string, n long")
-    return rows.groupBy("prev", "word", "other").agg(F.sum("n").alias("n"))
+    distinct = spread(texts.groupBy("text").agg(F.count("*").alias("copies")))
+    rows = distinct.mapInArrow(count, "prev string, word string, other string, n long, once long")
+    return rows.groupBy("prev", "word", "other").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
 
 
 def options(counted: DataFrame) -> DataFrame:
@@ -206,7 +212,7 @@ def options(counted: DataFrame) -> DataFrame:
     confusion and 1 - RATE for the word as it stands."""
     vocabulary = counted.filter("prev is null and other is null").select("word", "n")
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
-    observed = counted.filter("prev is null").select("word", "other", "n")
+    observed = counted.filter("prev is null").select("word", "other", "once")
 
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +223,9 @@ def options(counted: DataFrame) -> DataFrame:
                     if other is not None:
                         rows.append((word, other, n, own, own, False))
                     if _correctable(own):
-                        rows += [(word, other, n, t, shown, True) for t, shown in undone(own).items()]
+                        # No count speaks for a word that can be no right one.
+                        least = 0 if _NO_WORD.search(own) else n
+                        rows += [(word, other, least, t, shown, True) for t, shown in undone(own).items()]
                 if other is None and _correctable(word):
                     rows.append((word, other, n, word, word, False))
             types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
@@ -227,7 +235,8 @@ def options(counted: DataFrame) -> DataFrame:
     tried = observed.mapInArrow(undo, "word string, other string, own_n long, text string, shown string, changed boolean")
     known = vocabulary.select(F.col("word").alias("text"), "n")
     hits = tried.join(known, "text", "left")
-    # An option that changes the word must be known and clearly more frequent than the word.
+    # An option that changes the word must be known and clearly more frequent than the word,
+    # copies of one text counted once; the decoder chooses.
     hits = hits.filter(~F.col("changed") | ((F.col("n") >= 2) & (F.col("n") >= RATIO * F.col("own_n"))))
     grouped = hits.groupBy("word", "other").agg(
         F.collect_list(F.struct("text", "shown", F.coalesce("n", F.lit(0)).alias("n"), "changed")).alias("options"),

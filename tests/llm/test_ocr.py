@@ -75,3 +75,17 @@ def test_planted_errors_are_found(spark):
         texts.append(" ".join(line))
     got = set(found(spark, *texts))
     assert len(got & truth) / len(truth) > 0.97 and len(got & truth) / len(got) > 0.97
+
+
+def test_misread_words_of_copies(spark):
+    """A misread word is repaired in every copy of a page, however many there are."""
+    page = "the coo1ing channel carries the winding core"
+    got = found(spark, *[page] * 20)
+    assert got == [(i, 0, "misread", "cooling") for i in range(20)]
+
+
+def test_copies_count_once_for_options(spark):
+    """Copies of a misreading that could be a word don't take its options away."""
+    df = pages(spark, *["the cooling charmel carries the winding core"] * 20)
+    options = {r.word: {o.text for o in r.options} for r in ocr.options(ocr.counts(df)).collect()}
+    assert options["charmel"] == {"charmel", "channel"}
