@@ -66,12 +66,25 @@ TYPE_AFTER = (
     r"|way|place|pl\.?|gardens|gdns\.?|close|crescent|parkway|pkwy\.?)"
 )
 TYPE_END = r"(?:straße|strasse|str\.?|weg|wg\.?|allee|platz|pl\.|gasse|ring|damm|ufer)"
-_SHORT_AFTER = "st dr la ln rd ave av blvd ct sq pl gdns pkwy street drive lane road gardens court square terrace close crescent way parkway".split()
+
+
+def _spelt(pattern: str) -> list[str]:
+    """The words of a pattern of alternatives, with and without an optional letter, without
+    final dots."""
+    out = []
+    for word in regex.sub(r"^\(\?:|\)$", "", regex.sub(r"\(\?-i:(.*?)\)", r"\1", pattern)).split("|"):
+        word = word.replace("\\.?", "").replace("\\.", "")
+        out += [word.replace("?", ""), regex.sub(r".\?", "", word)]
+    return list(dict.fromkeys(out))
+
+
 STREET_ANCHORS = [
     *"rue |r. |c. |avenue|ave |ave. |av. |av |boulevard|boul|blvd|bd |bd. |place |plaza|pza|pl. |calle|c/|avda|avenida|paseo|piazza".split("|"),
     *"straße|strasse|str. |str |weg |wg. |wg |allee|platz|gasse".split("|"),
-    *(f" {w}{end}" for w in _SHORT_AFTER for end in (" ", ".", ",", "\n")),
+    *(f" {w}{end}" for w in _spelt(TYPE_AFTER) for end in (" ", ".", ",", "\n")),
 ]
+# Every type that stands before a name or a number; shorter ones are anchors above.
+TYPE_ANCHORS = [w for w in dict.fromkeys(_spelt(TYPE_BEFORE) + _spelt(TYPE_END)) if len(w) >= 3]
 
 _CAP = r"\p{Lu}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*"
 _NO = r"\d{1,4}(?:\s?[A-Za-z](?![\p{L}\d]))?"
@@ -88,6 +101,7 @@ _STREET = (
     rf"|(?P<d>(?i:{TYPE_BEFORE}){_GAP}?{_CAP}(?:{_GAP}{_CAP})?,?{_GAP}(?:No\.|Nr\.|#|n\.?º)?{_GAP}?{_NO}))"
 )
 _PLACE = rf"(?:{_ZIP_BEFORE}\s{_TOWN}|{_TOWN}(?:,?\s{_ZIP_AFTER}\b)?|{_ZIP_AFTER}\b|{_ZIP_BEFORE}\b)"
+TYPE_NEXT = regex.compile(rf"\.?{_GAP}?(?:\p{{Lu}}|,?{_GAP}?(?:No\.|Nr\.|#)?{_GAP}?\d)")  # what may follow an anchor of a type
 ADDRESS = regex.compile(rf"(?<![\p{{L}}\d]){_STREET}{_SEP}{_PLACE}")
 
 _AT = r"(?:@|\s?[(\[]\s?(?:at|AT)\s?[)\]]\s?)"
@@ -150,6 +164,8 @@ def _automaton(given: tuple[str, ...]):
         add(w, "ident")
     for w in STREET_ANCHORS:
         add(w, "street")
+    for w in TYPE_ANCHORS:
+        add(w, "type")
     for w in given:
         add(w, "given")
     for code in [*range(0x41, 0x5B), *range(0xC0, 0xDF), 0x141, 0x15A, 0x17B]:
@@ -242,6 +258,9 @@ def pieces(text: str, given: tuple[str, ...] = GIVEN) -> list[tuple[str, int, in
                 found.update(("phone", *x) for x in _phone(text, a, b))
             elif kind == "ident" and not (a and text[a - 1].isalpha()):
                 found.update(("ident", *x) for x in _ident(text, b))
+            elif kind == "type":
+                if TYPE_NEXT.match(text, b):
+                    found.update(("address", *x) for x in _address(text, a, b))
             elif kind == "street":
                 found.update(("address", *x) for x in _address(text, a + (low[a] == " "), b))
             elif kind == "given" and text[a].isupper() and _word(text, a, b):

@@ -42,3 +42,8 @@ def test_pieces_never_overlap():
     text = " ".join(t for _, t, _ in CASES)
     spans = [(a, b) for _, a, b in pii.pieces(text)]
     assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("street", ["12 chemin Stihol", "12 quai Stihol", "12, impasse Stihol", "12 route Stihol", "12 cours Stihol", "12 allée Stihol", "Camino Habrart 79", "Via Habrart 79", "Viale Habrart, 79", "Rua Habrart 79", "Praça Habrart 79", "Stipenring 17", "Stipendamm 17", "Stipen-Ufer 17", "Stipenweg, 17"])
+def test_every_street_type_is_an_anchor(street):
+    assert pii.pieces(f"lives at {street}, 29429 Totax.") == [("address", 9, 9 + len(f"{street}, 29429 Totax"))]
