@@ -171,7 +171,7 @@ def aligned(a: list[str], b: list[str], counts: dict[str, int], forms: dict[str,
     full_a, full_b = [t for t in a if not t.endswith(".")], [t for t in b if not t.endswith(".")]
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if len(long) > 6:
-        return sorted(a) == sorted(b)
+        return sorted(a) == sorted(b) or _assigned(short, long, counts, forms)
     best = None
     for chosen in permutations(range(len(long)), len(short)):
         cost, met, equal, doubt = 0.0, False, False, False
@@ -191,6 +191,51 @@ def aligned(a: list[str], b: list[str], counts: dict[str, int], forms: dict[str,
     return best is not None and best <= 2 and bool(full_a) and bool(full_b)
 
 
+def _assigned(short: list[str], long: list[str], counts: dict[str, int], forms: dict[str, int] | None) -> bool:
+    """`aligned` for many tokens: a cheapest assignment with one pair of full tokens given."""
+    never = 1e6
+    sure = [[_match(s, t, counts) for t in long] for s in short]
+    doubt = [[c if c is not None or not forms else _match(s, t, forms, TIMES) for t, c in zip(long, row)] for s, row in zip(short, sure)]
+    spare = [[0.0 if t.endswith(".") else never for t in long] for _ in range(len(long) - len(short))]
+    for costs, exact in ((sure, False), (doubt, True)):
+        rows = [[never if c is None else c for c in row] for row in costs]
+        if sum(min(row) for row in rows) > 2 or _cheapest(rows + spare) > 2:
+            continue
+        pairs = [(c, i, j) for i, row in enumerate(rows) for j, c in enumerate(row) if c <= 2 and not short[i].endswith(".") and not long[j].endswith(".")]
+        for c, i, j in sorted(pairs):
+            if (not exact or short[i] == long[j]) and _cheapest([[x if k == j else never for k, x in enumerate(row)] if r == i else row for r, row in enumerate(rows)] + spare) <= 2:
+                return True
+    return False
+
+
+def _cheapest(costs: list[list[float]]) -> float:
+    """The cost of the cheapest assignment of a square matrix (Hungarian method)."""
+    n = len(costs)
+    u, v, held = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        held[0], j, least, back, used = i, 0, [float("inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while held[j]:
+            used[j], row, step, after = True, held[j], float("inf"), 0
+            for k in range(1, n + 1):
+                if not used[k]:
+                    c = costs[row - 1][k - 1] - u[row] - v[k]
+                    if c < least[k]:
+                        least[k], back[k] = c, j
+                    if least[k] < step:
+                        step, after = least[k], k
+            for k in range(n + 1):
+                if used[k]:
+                    u[held[k]] += step
+                    v[k] -= step
+                else:
+                    least[k] -= step
+            j = after
+        while j:
+            held[j] = held[back[j]]
+            j = back[j]
+    return sum(costs[held[k] - 1][k - 1] for k in range(1, n + 1))
+
+
 def _match(s: str, t: str, counts: dict[str, int], times: float | None = None) -> float | None:
     """The cost of taking `s` and `t` for one token, None if they are two. `times`: the plain
     ratio of counts that tells a typing error, else TIMES beyond SCARCE."""

@@ -110,3 +110,24 @@ def test_repeated_typing_errors(spark):
     assert entity["Robert Grabitok"] == entity["Robert Grabtok"]
     assert entity["Ingrid Sovurlent"] == entity["Ingrid Sovurlnt"]
     assert entity["Mehmet Dabehost"] != entity["Mehmet Dabehust"]
+
+
+def test_long_names_are_aligned():
+    long = ["maria", "teresa", "dolores", "carmen", "pilar", "grabitok", "sovurlent"]
+    counts = {**dict.fromkeys(long, 9), "sovurlnt": 1}
+    assert names.aligned(long, long[:-1] + ["sovurlnt"], counts)
+    assert names.aligned(long, ["sovurlent", "m."] + long[1:-1], counts)
+    assert names.aligned(long, [*long, "k."], counts)
+    assert not names.aligned(long, long[:-1], counts)
+    assert not names.aligned(long, long[:-1] + ["dabehost"], counts)
+
+
+def test_assignment_is_that_of_all_permutations():
+    import random
+
+    rng, words = random.Random(3), ["robert", "robrt", "r.", "rita", "pulotes", "plotes", "p.", "k."]
+    for _ in range(400):
+        a, b = ([rng.choice(words) for _ in range(rng.randrange(1, 5))] for _ in range(2))
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        counts, forms = ({w: rng.choice([1, 3, 9, 30]) for w in words} for _ in range(2))
+        assert names._assigned(short, long, counts, forms) == names.aligned(a, b, counts, forms)
