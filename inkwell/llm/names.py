@@ -16,8 +16,8 @@ initials in the other name don't meet (Ioana H. Moll and Ioana M. Haber are two
 steps are equi-joins on distinct classes; mentions join in only at the end.
 
 Defined results: null and blank names are linked to none; equal spellings are always linked,
-whatever their field; a name of one token is linked to equal tokens only; repeated rows are
-linked to each other; extra columns are ignored.
+whatever their field; a person's name of one token is linked to equal tokens only; repeated
+rows are linked to each other; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import permutations
+from math import lgamma, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,8 +70,8 @@ PERSON_NOISE = set("prof dr dipl ing mr mrs ms miss herr herrn frau mme mlle phd
 
 COMMON = 20  # times a token's count that a frequent neighbour must have to take it over
 RARE = 4.0  # a token is telling if it is at most this many times as frequent as the rarest of its name
-SCARCE = 2  # mentions of a spelling that say nothing against its being a typing error
-TIMES = 3.0  # times the mentions beyond SCARCE that a similar spelling must have to be the right one
+TYPING = 0.15  # share of the mentions of a name that may be spelt with a given typing error
+ODDS = 0.2  # likelihood of one mistyped name against that of two names from which they are one
 
 
 @cache
@@ -168,38 +168,13 @@ def aligned(a: list[str], b: list[str], counts: dict[str, int], forms: dict[str,
     them and may stay over, as middle initials do; at least one full token must be met. An edit
     that the mentions (`counts`) leave in doubt is decided by the spellings of the names that
     hold the token (`forms`), if another full token is equal."""
-    full_a, full_b = [t for t in a if not t.endswith(".")], [t for t in b if not t.endswith(".")]
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if len(long) > 6:
-        return sorted(a) == sorted(b) or _assigned(short, long, counts, forms)
-    best = None
-    for chosen in permutations(range(len(long)), len(short)):
-        cost, met, equal, doubt = 0.0, False, False, False
-        for s, k in zip(short, chosen):
-            c = _match(s, long[k], counts)
-            if c is None and forms and (c := _match(s, long[k], forms, TIMES)) is not None:
-                doubt = True
-            if c is None:
-                break
-            cost += c
-            met |= not s.endswith(".") and not long[k].endswith(".")
-            equal |= s == long[k] and not s.endswith(".")
-        else:
-            left = [t for k, t in enumerate(long) if k not in chosen]
-            if met and (equal or not doubt) and not any(not t.endswith(".") for t in left) and (best is None or cost < best):
-                best = cost
-    return best is not None and best <= 2 and bool(full_a) and bool(full_b)
-
-
-def _assigned(short: list[str], long: list[str], counts: dict[str, int], forms: dict[str, int] | None) -> bool:
-    """`aligned` for many tokens: a cheapest assignment with one pair of full tokens given."""
     never = 1e6
-    sure = [[_match(s, t, counts) for t in long] for s in short]
-    doubt = [[c if c is not None or not forms else _match(s, t, forms, TIMES) for t, c in zip(long, row)] for s, row in zip(short, sure)]
     spare = [[0.0 if t.endswith(".") else never for t in long] for _ in range(len(long) - len(short))]
-    for costs, exact in ((sure, False), (doubt, True)):
+    for exact in (False, True) if forms else (False,):
+        costs = [[_match(s, t, counts, forms if exact else None) for t in long] for s in short]
         rows = [[never if c is None else c for c in row] for row in costs]
-        if sum(min(row) for row in rows) > 2 or _cheapest(rows + spare) > 2:
+        if sum(min(row, default=0) for row in rows) > 2 or _cheapest(rows + spare) > 2:
             continue
         pairs = [(c, i, j) for i, row in enumerate(rows) for j, c in enumerate(row) if c <= 2 and not short[i].endswith(".") and not long[j].endswith(".")]
         for c, i, j in sorted(pairs):
@@ -236,9 +211,23 @@ def _cheapest(costs: list[list[float]]) -> float:
     return sum(costs[held[k] - 1][k - 1] for k in range(1, n + 1))
 
 
-def _match(s: str, t: str, counts: dict[str, int], times: float | None = None) -> float | None:
-    """The cost of taking `s` and `t` for one token, None if they are two. `times`: the plain
-    ratio of counts that tells a typing error, else TIMES beyond SCARCE."""
+def misspelt(less: int, more: int, odds: float = ODDS) -> bool:
+    """Whether `less` mentions beside `more` read as typing errors of one name: the likelihood
+    of that split if each mention is mistyped with probability TYPING, against that of two
+    names of any two frequencies. No count is large or small by itself: a share of errors below
+    TYPING is one name at any size, and the more mentions there are, the less a larger share
+    passes for chance."""
+    n = less + more
+    if less <= TYPING * n:
+        return True
+    one = lgamma(n + 1) - lgamma(less + 1) - lgamma(more + 1) + less * log(TYPING) + more * log(1 - TYPING)
+    return one + log(n + 1) >= log(odds)
+
+
+def _match(s: str, t: str, counts: dict[str, int], forms: dict[str, int] | None) -> float | None:
+    """The cost of taking `s` and `t` for one token, None if they are two. What the mentions
+    deny, the distinct spellings may still show, if they speak for one name and not just
+    don't speak against it."""
     if s == t:
         return 0.0
     if s.endswith(".") or t.endswith("."):
@@ -249,8 +238,8 @@ def _match(s: str, t: str, counts: dict[str, int], times: float | None = None) -
         return 0.25
     if len(s) >= 4 and len(t) >= 4 and (near(s, t) or near(plain_s, plain_t)):
         # Two spellings that are both well attested are two names.
-        less, more = sorted((counts.get(s, 0), counts.get(t, 0)))
-        if more >= (times * less if times else TIMES * (less - SCARCE)):
+        split = lambda n: sorted((n.get(s, 0), n.get(t, 0)))
+        if misspelt(*split(counts)) or forms and misspelt(*split(forms), odds=1.0):
             return 1.0
     return None
 
@@ -348,8 +337,8 @@ def entities(mentions: DataFrame) -> DataFrame:
     side = cut(side.select("class", F.col("at.token").alias("tokens"), F.col("at.attested").alias("counts"), F.col("at.among").alias("forms")))
 
     # Every full token with the first letter of each other token; telling or not.
-    letters = F.array_distinct(F.transform(others, lambda p: F.substring(p["token"], 1, 1)))
-    full = classes.filter(F.size("parts") >= 2).withColumn("full", F.filter("parts", lambda p: ~p["token"].endswith(".")))
+    letters = F.when(F.size("parts") > 1, F.array_distinct(F.transform(others, lambda p: F.substring(p["token"], 1, 1)))).otherwise(F.array(F.lit("")))
+    full = classes.filter((F.size("parts") >= 2) | (F.col("class_kind") == "O")).withColumn("full", F.filter("parts", lambda p: ~p["token"].endswith(".")))
     full = full.withColumn("weight", F.struct(F.size("full").alias("full"), "n", "class")).withColumn("least", F.array_min("full.token_n")).withColumn("t", F.explode("full"))
     index = full.select("class", "class_kind", "weight", "t.token", (F.col("t.token_n") <= RARE * F.col("least")).alias("telling"), F.explode(letters).alias("letter"))
     index = index.withColumn("cut", F.explode(F.array_union(_deleted(F.col("token")), _deleted(F.regexp_replace("token", "([aou])e", "$1"))))).drop("token")

@@ -124,10 +124,50 @@ def test_long_names_are_aligned():
 
 def test_assignment_is_that_of_all_permutations():
     import random
+    from itertools import permutations
+
+    def brute(short, long, counts, forms):
+        for exact in (False, True):
+            for chosen in permutations(range(len(long)), len(short)):
+                pairs = [(s, long[k]) for s, k in zip(short, chosen)]
+                costs = [names._match(s, t, counts, forms if exact else None) for s, t in pairs]
+                left = [t for k, t in enumerate(long) if k not in chosen]
+                met = any(not s.endswith(".") and not t.endswith(".") and (not exact or s == t) for s, t in pairs)
+                if met and None not in costs and sum(costs) <= 2 and all(t.endswith(".") for t in left):
+                    return True
+        return False
 
     rng, words = random.Random(3), ["robert", "robrt", "r.", "rita", "pulotes", "plotes", "p.", "k."]
     for _ in range(400):
         a, b = ([rng.choice(words) for _ in range(rng.randrange(1, 5))] for _ in range(2))
         short, long = (a, b) if len(a) <= len(b) else (b, a)
         counts, forms = ({w: rng.choice([1, 3, 9, 30]) for w in words} for _ in range(2))
-        assert names._assigned(short, long, counts, forms) == names.aligned(a, b, counts, forms)
+        assert names.aligned(a, b, counts, forms) == brute(short, long, counts, forms)
+
+
+def test_typing_errors_are_told_alike_at_every_size():
+    for size in (1, 10, 1000, 100_000):
+        assert names.misspelt(size, 10 * size)
+    assert names.misspelt(1, 1) and names.misspelt(21, 400) and names.misspelt(20, 200)
+    assert not names.misspelt(9, 9) and not names.misspelt(3000, 9000) and not names.misspelt(40, 60)
+
+
+def test_frequent_errors_and_long_firms(spark):
+    """Errors that stand fifty times, and organisations of eight tokens with one error."""
+    rows = ["Peter Walder"] * 300 + ["Peter Walter"] * 30 + ["Maria Brandt"] * 400 + ["Maria Brandl"] * 50
+    long = "Zenasor Kromutis Nejojon Trufekrum Rivijalz Pulotes Grabitok Sovurlent"
+    rows += [long] * 3 + [long.replace("Pulotes", "Plotes")]
+    df = spark.createDataFrame([(k, "applicants", n) for k, n in enumerate(rows)], "mention_id bigint, field string, name string")
+    entity = {r.name: r.entity for r in names.entities(df).collect()}
+    assert entity["Peter Walder"] == entity["Peter Walter"] and entity["Maria Brandt"] == entity["Maria Brandl"]
+    assert entity[long] == entity[long.replace("Pulotes", "Plotes")]
+    assert len(set(entity.values())) == 3
+
+
+def test_names_of_one_token(spark):
+    """An organisation of one word is linked to its typing errors, a lone surname is not."""
+    rows = [("representative_organization", n) for n in ["Siemozens AG"] * 5 + ["Siemozns GmbH", "Kromutis Siemozens"]] + [("inventors", n) for n in ["Grabitok"] * 5 + ["Grabtok"]]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "mention_id bigint, field string, name string")
+    entity = {r.name: r.entity for r in names.entities(df).collect()}
+    assert entity["Siemozens AG"] == entity["Siemozns GmbH"] != entity["Kromutis Siemozens"]
+    assert entity["Grabitok"] != entity["Grabtok"]
