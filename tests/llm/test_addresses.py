@@ -50,3 +50,38 @@ def test_deletions_meet_within_one_edit():
         k = rng.randrange(len(w))
         for other in (w[:k] + w[k + 1 :], w[:k] + "a" + w[k:], w[:k] + "b" + w[k + 1 :]):
             assert set(addresses.deletions(w)) & set(addresses.deletions(other))
+
+
+WIDER = {
+    "four digits": [("1600 Main Street, Springfield, IL 62701", "US"), ("1600 Main St., Springfield 62701", "USA"), ("1600 MAIN STREET, SPRINGFIELD", "US")],
+    "another number": [("1602 Main Street, Springfield, IL 62701", "US")],
+    "words": [("5 rue de la Paix, 75002 Paris", "FR"), ("5 R. de la Paix; 75002 Paris", ""), ("75002 Paris, rue de la Paix 5", "France"), ("5 rue de la Paix Paris", "FR")],
+    "other words": [("5 rue de Rivoli, 75002 Paris", "FR")],
+    "hill": [("7 Park Hill Road, Leeds LS1 4DY", "GB"), ("7 Park Hill Rd, Leeds", "UK")],
+    "other hill": [("7 Oak Hill Road, Leeds LS1 4DY", "GB")],
+    "untyped": [("Unter den Linden 77, 10117 Berlin", "DE"), ("Unter den Linden Nr. 77\n10117 Berlin", "D")],
+    "range": [("Bahnhofstrasse 12-14, 8001 Zentrum", "CH"), ("Bahnhofstr. 12/14, CH-8001 Zentrum", "")],
+    "upper": [("Obere Bahnhofstrasse 12-14, 8001 Zentrum", "CH")],
+    "austria": [("Ringstrasse 5, 1010 Neustadt", "AT"), ("Ringstr. 5, A-1010 Neustadt", None)],
+    "switzerland": [("Ringstrasse 5, 1010 Neustadt", "CH"), ("Ringstr. 5, Neustadt", "Schweiz")],
+    "unread": [("Tor 9 Werk Nord", "Wakanda"), ("Tor 9, Werk Nord", "Wakanda")],
+}
+
+
+def test_writings_beyond_one_word_and_three_digits(spark):
+    rows, truth = [], {}
+    for building, writings in WIDER.items():
+        for address, country in writings:
+            truth[len(rows)] = building
+            rows.append((len(rows), address, country))
+    df = spark.createDataFrame(rows, "rep_id bigint, address string, country string")
+    got = {tuple(r) for r in addresses.found(df).collect()}
+    assert got == {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}
+    one = {r.rep_id: (r.building, r.records) for r in addresses.buildings(df).collect()}
+    assert set(one) == set(truth) and all(n == sum(truth[k] == truth[i] for k in truth) for i, (_, n) in one.items())
+
+
+def test_a_missing_country_is_that_of_the_gazetteer(spark):
+    rows = [("Ringstrasse 5, 1010 Neustadt", "AT")] * 3 + [("Ringstrasse 5, 1010 Neustadt", "")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "rep_id bigint, address string, country string")
+    assert {r.building for r in addresses.buildings(df).collect()} == {0}
