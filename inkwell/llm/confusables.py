@@ -34,6 +34,11 @@ LOOK_ALIKES = {
     # Greek, upper and lower case
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ϲ": "c", "Ϲ": "C", "ϳ": "j",
+    "α": "a", "γ": "y", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ϝ": "f", "Ϝ": "F", "Ϳ": "J",
+    # Armenian and Cherokee
+    "Օ": "O", "օ": "o", "Ս": "U", "ս": "u", "Տ": "S", "Լ": "L", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "ա": "w", "յ": "j",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4", "Ꮟ": "b",
+    "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
     # Latin letters of another shape or use
     "ı": "i", "ɑ": "a", "ɡ": "g",
 }
@@ -51,11 +56,11 @@ HYPHENS = r"[\x{2010}-\x{2013}\x{2043}\x{2212}\x{FE58}\x{FE63}\x{FF0D}]"
 def _compatibility() -> tuple[dict[str, str], dict[str, str]]:
     """From the character database: compatibility forms of one and of several characters."""
     single, several = {}, {}
-    for code in range(0x80, 0x10000):
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]:
         c = chr(code)
         tag = unicodedata.decomposition(c).partition(" ")[0]
         letter = unicodedata.category(c)[0] in "LN"
-        if tag in ("<wide>", "<narrow>") or (tag in ("<compat>", "<font>") and letter and code < 0xFC00):
+        if tag in ("<wide>", "<narrow>") or (tag in ("<compat>", "<font>") and letter and not 0xFC00 <= code < 0x10000):
             to = unicodedata.normalize("NFKC", c)
             if unicodedata.category(c) == "Zs" or not to.strip():
                 continue
@@ -145,8 +150,22 @@ def same_look_pairs(values: DataFrame) -> DataFrame:
     return both.filter("id_1 <> id_2").select("field", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).distinct()
 
 
+def looks(values: DataFrame) -> DataFrame:
+    """`values` has field, id, text. field, id, look_id (smallest id with that look), spellings
+    (distinct texts of the look): one row for each value that looks like anything."""
+    ids = values.select("field", "text", "id").filter("text is not null and text <> ''")
+    forms = with_canonical(ids.groupBy("field", "text").agg(F.min("id").alias("first")), "text", "look").filter("look <> ''")
+    forms = cut(forms)
+    groups = forms.groupBy("field", "look").agg(F.min("first").alias("look_id"), F.count("*").alias("spellings"))
+    named = forms.join(groups, ["field", "look"]).select("field", "text", "look_id", "spellings")
+    return ids.join(named, ["field", "text"]).select("field", "id", "look_id", "spellings").distinct()
+
+
+def stacked(responses: DataFrame, mentions: DataFrame) -> DataFrame:
+    titles = responses.select(F.lit("title").alias("field"), F.col("response_id").alias("id"), F.col("title").alias("text"))
+    return titles.unionByName(mentions.filter("field = 'applicants'").select("field", F.col("mention_id").alias("id"), F.col("name").alias("text")))
+
+
 def found(responses: DataFrame, mentions: DataFrame) -> DataFrame:
     """Pairs of titles (by response_id) and of applicants (by mention_id) that look the same."""
-    titles = responses.select(F.lit("title").alias("field"), F.col("response_id").alias("id"), F.col("title").alias("text"))
-    names = mentions.filter("field = 'applicants'").select("field", F.col("mention_id").alias("id"), F.col("name").alias("text"))
-    return same_look_pairs(titles.unionByName(names))
+    return same_look_pairs(stacked(responses, mentions))

@@ -352,7 +352,7 @@ def entities(mentions: DataFrame) -> DataFrame:
     candidates = candidates.join(side.toDF("a", "ta", "ca", "fa"), "a").join(side.toDF("b", "tb", "cb", "fb"), "b")
     links = _verified(candidates).groupBy("a").agg(F.max_by("b", "weight_b").alias("parent"))
     roots = _followed(cut(links))
-    return spelt.join(roots.toDF("class", "root"), "class", "left").select("name", "kind", F.xxhash64(F.coalesce("root", "class")).alias("entity"))
+    return spelt.join(roots.toDF("class", "root"), "class", "left").select("name", "kind", F.coalesce("root", "class").alias("entity"))
 
 
 def _followed(links: DataFrame) -> DataFrame:
@@ -368,10 +368,18 @@ def _followed(links: DataFrame) -> DataFrame:
     return at
 
 
-def found(mentions: DataFrame) -> DataFrame:
-    """Pairs (mention_id_a, mention_id_b) of the mentions of one entity."""
+def linked(mentions: DataFrame) -> DataFrame:
+    """mention_id, entity_id (smallest mention_id of the entity), mentions (of the entity): one
+    row for each mention with a name."""
     field_kind = F.when(F.col("field").isin("inventors", "representative_name"), "P").when(F.col("field") == "representative_organization", "O").otherwise("?")
     rows = mentions.filter("name is not null").select("mention_id", "name", field_kind.alias("kind"))
     rows = cut(rows.join(entities(mentions), ["name", "kind"]).select("mention_id", "entity"))
-    a, b = rows.toDF("mention_id_a", "entity"), rows.toDF("mention_id_b", "entity")
-    return a.join(b, "entity").filter("mention_id_a < mention_id_b").select("mention_id_a", "mention_id_b")
+    groups = rows.groupBy("entity").agg(F.min("mention_id").alias("entity_id"), F.count("*").alias("mentions"))
+    return rows.join(groups, "entity").select("mention_id", "entity_id", "mentions")
+
+
+def found(mentions: DataFrame) -> DataFrame:
+    """Pairs (mention_id_a, mention_id_b) of the mentions of one entity."""
+    rows = cut(linked(mentions).filter("mentions > 1").select("mention_id", "entity_id"))
+    a, b = rows.toDF("mention_id_a", "entity_id"), rows.toDF("mention_id_b", "entity_id")
+    return a.join(b, "entity_id").filter("mention_id_a < mention_id_b").select("mention_id_a", "mention_id_b")

@@ -12,6 +12,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.found(table(spark, sf_dir, "lookup_responses"), table(spark, sf_dir, "party_names"))
 
 
+def p3_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusables.looks(confusables.stacked(table(spark, sf_dir, "lookup_responses"), table(spark, sf_dir, "party_names")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.found(
         table(spark, sf_dir, "lookup_responses"), table(spark, sf_dir, "ocr_pages"), table(spark, sf_dir, "documents")
@@ -34,6 +38,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.found(table(spark, sf_dir, "party_names"))
 
 
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked(table(spark, sf_dir, "party_names"))
+
+
+def p6_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.buildings(table(spark, sf_dir, "representatives"))
+
+
 def p8_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_bins"))
 
@@ -60,6 +72,6 @@ def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p3_found, p4_found, p4_texts, p6_found, p7_found, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_masked)
+    for f in (p2_found, p2_entities, p3_found, p3_looks, p4_found, p4_texts, p6_found, p6_buildings, p7_found, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_masked)
 }
 ORACLE_SQL: dict[str, str] = {}

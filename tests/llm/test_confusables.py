@@ -3,12 +3,14 @@ from __future__ import annotations
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import confusables
 
 SAME = [
     ("Ｆｕｌｌ　ｗｉｄｔｈ", "Full width"), ("Café", "Café"), ("a​b­c﻿", "abc"), ("a b", "a b"), ("a‑b", "a-b"), ("Сору", "Copy"),
     ("ﬁne", "fine"), ("ёлка", "ëлкa"), ("Α-1", "A-1"), ("각", unicodedata.normalize("NFD", "각")), ("ﾊﾞ", "バ"), ("µ", "μ"),
+    ("\U0001d400\U0001d41b", "Ab"), ("\U0001d7d8\U0001d5b7", "0X"), ("νανe ρατh", "vave path"), ("κυτ", "kut"), ("Տօս", "Sou"), ("ᏀᎪᎢᎬ"[:2], "GA"),
 ]
 DIFFERENT = [("Cafe", "Café"), ("abc", "ABC"), ("abc", "abc."), ("ab", "a b")]
 
@@ -37,6 +39,13 @@ def test_pairs(spark, copies):
     assert confusables.same_look_pairs(df.limit(0)).count() == 0
 
 
+def test_looks(spark):
+    rows = [("title", 4, "Valve"), ("title", 2, "Vаlve"), ("title", 3, "Valve"), ("title", 9, "Vent"), ("applicants", 1, "Valve"), ("title", 5, None), ("title", 6, "\u200b")]
+    df = spark.createDataFrame(rows, "field string, id bigint, text string").withColumn("look", F.lit("x"))
+    assert {tuple(r) for r in confusables.looks(df).collect()} == {("title", 4, 2, 2), ("title", 2, 2, 2), ("title", 3, 2, 2), ("title", 9, 9, 1), ("applicants", 1, 1, 1)}
+    assert confusables.looks(df.limit(0)).count() == 0
+
+
 def test_pairs_against_brute_force(spark):
     import random
 

@@ -171,3 +171,9 @@ def test_names_of_one_token(spark):
     entity = {r.name: r.entity for r in names.entities(df).collect()}
     assert entity["Siemozens AG"] == entity["Siemozns GmbH"] != entity["Kromutis Siemozens"]
     assert entity["Grabitok"] != entity["Grabtok"]
+
+
+def test_entities_of_mentions(spark):
+    rows = [(5, "inventors", "Ingrid Pulotes"), (3, "applicants", "Pulotes, Ingrid"), (9, "inventors", "Robert Pulotes"), (4, "inventors", None), (1, "inventors", "")]
+    got = {tuple(r) for r in names.linked(spark.createDataFrame(rows, "mention_id bigint, field string, name string")).collect()}
+    assert got == {(5, 3, 2), (3, 3, 2), (9, 9, 1)}
