@@ -7,14 +7,21 @@ the corpus is undone by the inverse confusions of `CONFUSIONS`, what hits a word
 that is more frequent becomes an option, and a Viterbi pass over the options of a line picks
 the sequence with the highest product of confusion probability and corpus bigram likelihood.
 
+The probability of each confusion is estimated from the corpus by expectation maximisation:
+the misreadings a confusion would cause among the words of the corpus are matched against the
+words as read, over the occurrences of the character it needs.
+
 Counts cover all texts. They are taken with the noise in them, so a word's own counts are
 first reduced by what misreadings of its options would explain (`DOUBT` times the expected
 number); a word that is nothing but a misreading keeps no likelihood of its own, while a right
 word keeps that of the contexts its look-alikes don't have.
 
-Two passes over the texts (count, then emit tokens), both in Arrow batches. Only the tokens
-that have options are shuffled further. Defined results: null and empty texts give no rows;
-a text without line breaks is one line; repeated rows give repeated results.
+Two passes over the texts in Arrow batches: one counts, one emits the running lines and the
+runs of neighbouring words that may be corrected. Which words have options is told to the
+workers by a bit table of fixed size (`TABLE_BITS`); a word that it lets through without
+options drops out at the join. Runs then meet their options, their bigrams and the decoder as
+one row each. Defined results: null and empty texts give no rows; a text without line breaks is
+one line; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +47,16 @@ CONFUSIONS = [
     ("0", "O"), ("1", "I"), ("l", "I"), ("5", "S"), ("8", "B"), ("6", "G"), ("G", "C"), ("e", "c"), ("t", "f"), ("y", "v"), ("vv", "W"), ("VV", "W"), ("D", "O"),
 ]
 
-RATE = 0.03  # misread words among all words; prior of the channel
+RATE = 0.03  # misread words among all words
+PRIOR = 0.003  # probability of a confusion at one place before the corpus is looked at
+PRIOR_PLACES = 1000  # places in the corpus that weigh as much as that prior
+ROUNDS = 12  # of the estimation of the confusions
 DOUBT = 20.0  # times the expected misreadings that a word's own count must exceed
 RATIO = 4  # times a word's count in distinct texts that an option must have, unless no right word looks like it
-SHORTEST = 4  # letters of the shortest word that is corrected
+SHORTEST = 2  # letters of the shortest right word
 SMOOTH = 5.0  # weight of the unigram in the bigram likelihood
 UNSEEN = 1e-9
-BROADCAST_ROWS = 200_000  # distinct words with options up to which they are broadcast
+TABLE_BITS = 26  # of the table that says which words have options: 8 MB
 
 _D = r"[0-9OoIl]"
 _PUB = rf"(?:[A-Z]{{2}}\s?[/-]?\s?{_D}{{1,4}}(?:[\s./,-]{{0,2}}{_D}){{2,14}}(?:\s?[ABCTU]{_D}?)?)"
@@ -122,40 +133,37 @@ def lm_form(word: str) -> str:
     return "#" if not word.isalpha() and _NUMERAL.fullmatch(word) else word
 
 
-def undone(word: str) -> dict[str, str]:
+def undone(word: str) -> dict[str, tuple[str, tuple[int, ...]]]:
     """Words that one inverse confusion makes of `word` (two, where it holds a sign no word
-    has), each with its displayed form: the case of the first letter is kept."""
+    has), each with its displayed form (the case of the first letter is kept) and the numbers
+    of the confusions."""
     starts = [(word, False)]
     if word[:1].isupper() and word[1:2].islower():
         starts.append((word[0].lower() + word[1:], True))
-    out: dict[str, str] = {}
+    out: dict[str, tuple[str, tuple[int, ...]]] = {}
     for start, lowered in starts:
-        once = _once(start)
-        found = set(once)
+        found = {w: (k,) for w, k in _once(start).items()}
         if _NO_WORD.search(start):
-            for w in once:
-                found |= _once(w)
-        for w in found - {start, word}:
-            if len(w) >= SHORTEST and not _NO_WORD.search(w):
-                out.setdefault(w, w[0].upper() + w[1:] if lowered else w)
+            for first, (k,) in list(found.items()):
+                for w, j in _once(first).items():
+                    found.setdefault(w, (k, j))
+        for w, path in found.items():
+            if w not in (start, word) and len(w) >= SHORTEST and not _NO_WORD.search(w):
+                out.setdefault(w, (w[0].upper() + w[1:] if lowered else w, path))
     return out
 
 
-def _once(word: str) -> set[str]:
-    out = set()
-    for seen, meant in CONFUSIONS:
+def _once(word: str) -> dict[str, int]:
+    """Words that one inverse confusion makes of `word`, and its number."""
+    out: dict[str, int] = {}
+    for k, (seen, meant) in enumerate(CONFUSIONS):
         i = word.find(seen)
         while i >= 0:
-            out.add(word[:i] + meant + word[i + len(seen) :])
+            out.setdefault(word[:i] + meant + word[i + len(seen) :], k)
             i = word.find(seen, i + 1)
     return out
 
 
-def ways(word: str) -> int:
-    """In how many ways one confusion can misread `word`."""
-    return max(1, sum(len(re.findall(f"(?={re.escape(meant)})", word)) for _, meant in CONFUSIONS))
-
-
 def _correctable(word: str) -> bool:
     if len(word) < SHORTEST - 1 or word.isalpha():
         return len(word) >= SHORTEST - 1
@@ -206,71 +214,157 @@ def counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("prev", "word", "other").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
 
 
-def options(counted: DataFrame) -> DataFrame:
-    """For each distinct word or broken word that has options: (word, other, total, options)
-    with options an array of struct(text, shown, n, chance), chance the probability of the
-    confusion and 1 - RATE for the word as it stands."""
-    vocabulary = counted.filter("prev is null and other is null").select("word", "n")
-    total = vocabulary.agg(F.sum("n")).first()[0] or 0
+def _tried(counted: DataFrame) -> DataFrame:
+    """Every option of every distinct word (also of broken words): word, other, own_n (0 where
+    nothing speaks for the word), text, shown, path (numbers of confusions, empty for the word
+    as it stands), n (count of text in the corpus); own_once and known_once count distinct
+    texts."""
     observed = counted.filter("prev is null").select("word", "other", "once")
 
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for word, other, n in zip(*(c.to_pylist() for c in batch.columns)):
-                n = 0 if other is not None else n
+            for word, other, once in zip(*(c.to_pylist() for c in batch.columns)):
+                once = 0 if other is not None else once
                 for own in dict.fromkeys(x for x in (word, other) if x):
                     if other is not None:
-                        rows.append((word, other, n, own, own, False))
+                        rows.append((word, other, 0, 0, own, own, []))
                     if _correctable(own):
                         # No count speaks for a word that can be no right one.
-                        least = 0 if _NO_WORD.search(own) else n
-                        rows += [(word, other, least, t, shown, True) for t, shown in undone(own).items()]
+                        least = 0 if _NO_WORD.search(own) else once
+                        rows += [(word, other, least, once, t, shown, list(path)) for t, (shown, path) in undone(own).items()]
                 if other is None and _correctable(word):
-                    rows.append((word, other, n, word, word, False))
-            types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["word", "other", "own_n", "text", "shown", "changed"])
-
-    tried = observed.mapInArrow(undo, "word string, other string, own_n long, text string, shown string, changed boolean")
-    known = vocabulary.select(F.col("word").alias("text"), "n")
-    hits = tried.join(known, "text", "left")
+                    rows.append((word, other, once, once, word, word, []))
+            yield _batch(rows, types, names)
+
+    names = ["word", "other", "own_n", "own_once", "text", "shown", "path"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+    tried = observed.mapInArrow(undo, "word string, other string, own_n long, own_once long, text string, shown string, path array<int>")
+    known = counted.filter("prev is null and other is null").select(F.col("word").alias("text"), "n", F.col("once").alias("known_once"))
+    return tried.join(known, "text", "left")
+
+
+def confusion_rates(counted: DataFrame, hits: DataFrame) -> list[float]:
+    """Probability of each confusion at a place where its character stands, by expectation
+    maximisation over the distinct words, equal texts counted once.
+
+    A word as read is a misreading altogether, then its count is geometric about what the
+    confusions would cause among its right words (their rates differ from word to word), or a
+    word of its own, then any count will do (1 / (n + 1)(n + 2)); the share of the former is
+    estimated as well, and a word that holds a sign no word has is one of them. The misreadings
+    are shared out by what each confusion would cause."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * len(CONFUSIONS)
+        for batch in batches:
+            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, (_, meant) in enumerate(CONFUSIONS):
+                    if meant in word:
+                        total[k] += n * word.count(meant)
+        yield _batch(list(enumerate(total)), [pa.int32(), pa.int64()], ["k", "n"])
+
+    vocabulary = counted.filter("prev is null and other is null").select("word", "once")
+    # One row for each confusion.
+    at = {r.k: r.n for r in vocabulary.mapInArrow(places, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    words = hits.filter(f"other is null and size(path) = 1 and known_once >= {RATIO} * own_once").groupBy("word").agg(
+        F.max("own_once").alias("own"), F.collect_list(F.struct(F.col("path")[0].alias("k"), F.col("known_once").alias("n"))).alias("ways")
+    )
+    words = cut(words.filter("own > 0"))
+    rates, share = [PRIOR] * len(CONFUSIONS), 0.5
+    for _ in range(ROUNDS):
+        rate = F.array(*(F.lit(r) for r in rates))
+        caused = F.transform("ways", lambda w: F.struct(w["k"].alias("k"), (w["n"] * F.get(rate, w["k"])).alias("n")))
+        rows = words.select("word", "own", caused.alias("c")).withColumn("all", F.aggregate("c", F.lit(0.0), lambda s, x: s + x["n"]))
+        own, every = F.col("own"), F.col("all")
+        odds = F.exp(own * F.log(every / (1 + every)) - F.log(1 + every) + F.log((own + 1) * (own + 2))) * share / (1 - share)
+        rows = rows.withColumn("misread", F.when(F.col("word").rlike(_NO_WORD.pattern), 1.0).when(odds > 1e9, 1.0).otherwise(odds / (1 + odds)))
+        parts = rows.select("misread", F.explode("c").alias("c"), (own * F.col("misread") / every).alias("part"), (1 / F.size("c")).alias("w"))
+        seen = {r.k: r for r in parts.groupBy("c.k").agg(F.sum(F.col("c.n") * F.col("part")).alias("n"), F.sum(F.col("misread") * F.col("w")).alias("m"), F.sum("w").alias("w")).collect()}
+        share = min(0.999, max(0.001, sum(r.m for r in seen.values()) / max(1.0, sum(r.w for r in seen.values()))))
+        rates = [((seen[k].n if k in seen else 0.0) + PRIOR * PRIOR_PLACES) / (at.get(k, 0) + PRIOR_PLACES) for k in range(len(CONFUSIONS))]
+    return rates
+
+
+def options(counted: DataFrame) -> DataFrame:
+    """For each distinct word or broken word that has options: (word, other, total, options)
+    with options an array of struct(text, shown, n, changed, chance), chance the probability
+    that text is read as the word."""
+    total = counted.filter("prev is null and other is null").agg(F.sum("n")).first()[0] or 0
+    hits = cut(_tried(counted))
+    rate = F.array(*(F.lit(r) for r in confusion_rates(counted, hits)))
+    chance = F.aggregate("path", F.lit(1.0), lambda p, k: p * F.get(rate, k))
+    changed = F.size("path") > 0
     # An option that changes the word must be known and clearly more frequent than the word,
     # copies of one text counted once; the decoder chooses.
-    hits = hits.filter(~F.col("changed") | ((F.col("n") >= 2) & (F.col("n") >= RATIO * F.col("own_n"))))
+    hits = hits.filter(~changed | ((F.col("n") >= 2) & (F.col("n") >= RATIO * F.col("own_n"))))
     grouped = hits.groupBy("word", "other").agg(
-        F.collect_list(F.struct("text", "shown", F.coalesce("n", F.lit(0)).alias("n"), "changed")).alias("options"),
-        F.max("changed").alias("any"),
+        F.collect_list(F.struct("text", "shown", F.coalesce("n", F.lit(0)).alias("n"), changed.alias("changed"), chance.alias("chance"))).alias("options"),
+        F.max(changed).alias("any"),
     )
     grouped = grouped.filter(F.col("any") | F.col("other").isNotNull())
     return grouped.select("word", F.coalesce("other", F.lit("\u0001")).alias("other"), F.lit(total).cast("bigint").alias("total"), "options")
 
 
-def _emit(texts: DataFrame, words: Broadcast | None) -> DataFrame:
-    """Every word of every text that may be corrected or is broken: rec, rec_id, line_no, seq,
-    kind, word, other, prev, next. `words` has those that have options, if they are few."""
-    schema = "rec string, rec_id bigint, line_no int, seq int, kind string, word string, other string, prev string, next string"
-    names = ["rec", "rec_id", "line_no", "seq", "kind", "word", "other", "prev", "next"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
+def _bit_table(words: DataFrame, bits: int = TABLE_BITS) -> bytes:
+    """Bits at two hashes of every word; 2 ** bits of them, however many words."""
+    h, size = F.xxhash64("word"), F.lit(2**bits)
+    at = words.select(F.explode(F.array(F.pmod(h, size), F.pmod(F.shiftrightunsigned(h, 32), size))).alias("at"))
+    parts = at.groupBy((F.col("at") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    table = bytearray(2**bits // 8)
+    for r in parts.collect():  # 2 ** bits / 32768 rows at most
+        table[r.part * 4096 : (r.part + 1) * 4096] = r.bits
+    return bytes(table)
+
+
+def _in_table(table: bytes, word: str) -> bool:
+    h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+    for at in (h % (len(table) * 8), (h >> 32) % (len(table) * 8)):
+        if not table[at >> 3] >> (at & 7) & 1:
+            return False
+    return True
+
+
+def _emit(texts: DataFrame, table: Broadcast) -> DataFrame:
+    """Running lines and runs of all texts: rec, rec_id, line_no, seq, kind (`header`,
+    `pageno`, `run`), prev, next, run. A run holds neighbouring words of a line that may have
+    options or are broken, seq is the place of its first one."""
+    schema = "rec string, rec_id bigint, line_no int, seq int, kind string, prev string, next string, run array<struct<word:string,other:string>>"
+    names = ["rec", "rec_id", "line_no", "seq", "kind", "prev", "next", "run"]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("word", pa.string()), ("other", pa.string())]))]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = words.value if words is not None else None
+        bits, known = table.value, {}
         for batch in batches:
             rows = []
             for rec, key, text in zip(*(batch.column(c).to_pylist() for c in ("rec", "rec_id", "text"))):
                 if not text:
                     continue
-                stream = [t for t in tokens(text) if t[1] in ("word", "hyphen")]
+                stream = []
+                for t in tokens(text):
+                    if t[1] in ("word", "hyphen"):
+                        stream.append(t)
+                    else:
+                        rows.append((rec, key, t[0], 0, t[1], None, None, None))
                 forms = [lm_form(t[2]) for t in stream]
+                run: list[dict] = []
                 for k, (line, kind, word, other) in enumerate(stream):
-                    if kind == "word" and not (_correctable(word) if wanted is None else word in wanted):
-                        continue
-                    rows.append(
-                        (rec, key, line, k, kind, word, other if kind == "hyphen" else "\u0001", forms[k - 1] if k else None, forms[k + 1] if k + 1 < len(forms) else None)
-                    )
+                    may = kind == "hyphen"
+                    if not may:
+                        may = known.get(word)
+                        if may is None:
+                            may = known[word] = _in_table(bits, word)
+                    if may:
+                        run.append({"word": word, "other": other if kind == "hyphen" else "\u0001"})
+                    if run and (not may or k + 1 == len(stream) or stream[k + 1][0] != line):
+                        end = k if may else k - 1
+                        start = end - len(run) + 1
+                        rows.append((rec, key, stream[end][0], start, "run", forms[start - 1] if start else None, forms[end + 1] if end + 1 < len(forms) else None, run))
+                        run = []
                 if len(rows) > 50_000:
                     yield _batch(rows, types, names)
                     rows = []
+            if len(known) > 1_000_000:
+                known.clear()
             yield _batch(rows, types, names)
 
     return texts.select("rec", "rec_id", "text").mapInArrow(emit, schema)
@@ -281,30 +375,43 @@ def _batch(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def running_lines(texts: DataFrame) -> DataFrame:
-    """rec, rec_id, line_no, kind of the running lines."""
+def _chains(r: dict) -> Iterator[list[dict]]:
+    """The neighbouring tokens of a run that have options, each chain with the words around it;
+    seq counts within the run."""
+    chain: list[dict] = []
+    for i, t in enumerate(r["tokens"]):
+        if t["options"] is None:
+            if chain:
+                chain[-1]["next"] = lm_form(t["word"])
+                yield chain
+            chain = []
+            continue
+        chain.append({**t, "seq": i, "prev": (lm_form(r["tokens"][i - 1]["word"]) if i else r["prev"]) if not chain else None, "next": None})
+    if chain:
+        chain[-1]["next"] = r["next"]
+        yield chain
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for rec, key, text in zip(*(batch.column(c).to_pylist() for c in ("rec", "rec_id", "text"))):
-                rows += [(rec, key, i, kind) for i, line in enumerate((text or "").split("\n")) if (kind := running(line))]
-            yield _batch(rows, [pa.string(), pa.int64(), pa.int32(), pa.string()], ["rec", "rec_id", "line_no", "kind"])
 
-    return texts.select("rec", "rec_id", "text").mapInArrow(read, "rec string, rec_id bigint, line_no int, kind string")
+def _asked(chain: list[dict]) -> set[tuple[str, str]]:
+    """The bigrams that decoding a chain needs."""
+    out = set()
+    for i, t in enumerate(chain):
+        texts = [o["text"] for o in t["options"]]
+        for before in [o["text"] for o in chain[i - 1]["options"]] if i else [t["prev"]]:
+            out.update((before, x) for x in texts if before is not None)
+    out.update((x["text"], chain[-1]["next"]) for x in chain[-1]["options"] if chain[-1]["next"] is not None)
+    return out
 
 
-def decode(line: list[dict]) -> list[str | None]:
-    """The displayed form chosen for each token of a line (null: as it stands).
+def decode(chain: list[dict], pairs: dict[tuple[str, str], int]) -> list[str | None]:
+    """The displayed form chosen for each token of a chain (null: as it stands), by Viterbi.
 
-    `line` is ordered by seq; a token has seq, word, other, total, options (text, shown, n,
-    changed), left and right: counts of the option's text after the option of the token before
-    (by the texts of both) and before the word that follows."""
+    A token has word, other, total, options (text, shown, n, changed, chance); the first one
+    prev and the last one next, the words around the chain. `pairs` counts bigrams."""
     best: list[list[tuple[float, int]]] = []
-    for i, token in enumerate(line):
+    for i, token in enumerate(chain):
         opts, total = token["options"], max(token["total"], 1)
-        chained = bool(i and line[i - 1]["seq"] == token["seq"] - 1)
-        share = {o["text"]: RATE / ways(o["text"]) for o in opts if o["changed"]}
+        share = {o["text"]: o["chance"] for o in opts if o["changed"]}
         broken = token["other"] != "\u0001"
 
         def own(o: dict, mine: float, of: dict[str, float], loo: int) -> float:
@@ -318,30 +425,31 @@ def decode(line: list[dict]) -> list[str | None]:
             return max(0.0, mine - (0 if broken else loo) - explained)
 
         unigram = {o["text"]: o["n"] for o in opts}
-        before = line[i - 1]["options"] if chained else [None]
+        before = chain[i - 1]["options"] if i else [None]
+        last = i + 1 == len(chain) and token["next"] is not None
         row = []
         for o in opts:
             p = own(o, o["n"], unigram, 1) / total + UNSEEN
-            after = {t: token["right"].get(t, 0) for t in unigram}
-            tail = (own(o, after[o["text"]], after, 1) + SMOOTH * 1e-4) / (o["n"] + SMOOTH) if token["next"] is not None and not token["chained_next"] else 1.0
+            after = {t: pairs.get((t, token["next"]), 0) for t in unigram} if last else {}
+            tail = (own(o, after[o["text"]], after, 1) + SMOOTH * 1e-4) / (o["n"] + SMOOTH) if last else 1.0
             chance = share[o["text"]] if o["changed"] else 1 - RATE
             here, scored = math.log(chance) + math.log(tail), []
             for j, b in enumerate(before):
                 key = b["text"] if b else token["prev"]
-                pair = {t: token["left"].get((key, t), 0) for t in unigram}
+                pair = {t: pairs.get((key, t), 0) for t in unigram}
                 size = SMOOTH + (b["n"] if b else 0)
                 like = math.log((own(o, pair[o["text"]], pair, 1) + SMOOTH * p) / size)
-                scored.append((like + here + (best[-1][j][0] if b else (max(x for x, _ in best[-1]) if best else 0.0)), j))
+                scored.append((like + here + (best[-1][j][0] if b else 0.0), j))
             row.append(max(scored, key=lambda x: (x[0], -x[1])))
         best.append(row)
-    out: list[str | None] = [None] * len(line)
+    out: list[str | None] = [None] * len(chain)
     at = None
-    for i in range(len(line) - 1, -1, -1):
-        row = best[i]
-        k = at if at is not None else max(range(len(row)), key=lambda x: (row[x][0], not line[i]["options"][x]["changed"], -x))
-        o = line[i]["options"][k]
-        out[i] = o["shown"] if o["changed"] or line[i]["other"] != "\u0001" else None
-        at = row[k][1] if i and line[i - 1]["seq"] == line[i]["seq"] - 1 else None
+    for i in range(len(chain) - 1, -1, -1):
+        row, opts = best[i], chain[i]["options"]
+        k = at if at is not None else max(range(len(row)), key=lambda x: (row[x][0], not opts[x]["changed"], -x))
+        o = opts[k]
+        out[i] = o["shown"] if o["changed"] or chain[i]["other"] != "\u0001" else None
+        at = row[k][1] if i else None
     return out
 
 
@@ -350,59 +458,42 @@ def findings(texts: DataFrame) -> DataFrame:
     every running line, broken word and misread word."""
     counted = cut(counts(texts))
     opts = cut(options(counted))
-    # The distinct words with options are few against the tokens, so up to a bound only tokens
-    # with options leave the workers; beyond it all of them meet the options by a shuffle, in
-    # which adaptive execution splits frequent words.
-    few = opts.count() <= BROADCAST_ROWS
-    words = texts.sparkSession.sparkContext.broadcast({r.word for r in opts.filter("other = '\u0001'").select("word").collect()}) if few else None
-    flagged = _emit(texts, words).join(F.broadcast(opts) if few else opts, ["word", "other"])
-    flagged = cut(flagged)
-    # Bigrams of each option with its neighbours; a neighbour with options of its own stands
-    # for all of them.
-    key = ["rec", "rec_id", "line_no"]
-    near = flagged.select(*key, F.col("seq").alias("near_seq"), F.col("options.text").alias("near_texts"))
-    left = flagged.join(near.withColumn("seq", F.col("near_seq") + 1), [*key, "seq"], "left").withColumnRenamed("near_texts", "before").drop("near_seq")
-    both = left.join(near.select(*key, (F.col("near_seq") - 1).alias("seq"), F.lit(True).alias("chained_next")), [*key, "seq"], "left")
-    both = both.withColumn("chained_next", F.coalesce("chained_next", F.lit(False)))
-    asked = both.select(
-        *key, "seq",
-        F.explode(
-            F.concat(
-                F.flatten(F.transform(F.coalesce("before", F.array("prev")), lambda p: F.transform("options", lambda o: F.struct(p.alias("prev"), o["text"].alias("word"), F.lit(True).alias("is_left"))))),
-                F.when(F.col("chained_next"), F.array().cast("array<struct<prev:string,word:string,is_left:boolean>>")).otherwise(
-                    F.transform("options", lambda o: F.struct(o["text"].alias("prev"), F.col("next").alias("word"), F.lit(False).alias("is_left")))
-                ),
-            )
-        ).alias("q"),
-    ).select(*key, "seq", "q.*")
+    table = texts.sparkSession.sparkContext.broadcast(_bit_table(opts.filter("other = '\u0001'").select("word")))
+    emitted = cut(_emit(texts, table).withColumn("uid", F.monotonically_increasing_id()))
+    at = F.struct("rec", "rec_id", "line_no", "seq", "prev", "next").alias("at")
+    words = emitted.filter("kind = 'run'").select("uid", at, F.posexplode("run").alias("i", "t")).select("uid", "at", "i", "t.word", "t.other")
+    # A skewed word (a misreading in a third of all rows) is split by adaptive execution.
+    with_options = words.join(opts, ["word", "other"], "left")
+    runs = with_options.groupBy("uid").agg(F.any_value("at").alias("at"), F.array_sort(F.collect_list(F.struct("i", "word", "other", "total", "options"))).alias("tokens"))
+    runs = cut(runs.filter(F.exists("tokens", lambda t: t["options"].isNotNull())).select("uid", "at.*", "tokens"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                rows += [(r["uid"], *q) for chain in _chains(r) for q in _asked(chain)]
+            yield _batch(rows, [pa.int64(), pa.string(), pa.string()], ["uid", "prev", "word"])
+
+    asked = runs.select("uid", "prev", "next", "tokens").mapInArrow(ask, "uid long, prev string, word string")
     bigrams = counted.filter("prev is not null").select("prev", "word", "n")
-    answered = asked.filter("prev is not null and word is not null").join(bigrams, ["prev", "word"]).groupBy(*key, "seq").agg(
-        F.collect_list(F.struct("prev", "word", "is_left", "n")).alias("pairs")
-    )
-    ready = both.join(answered, [*key, "seq"], "left")
-    lines = ready.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "kind", "word", "other", "prev", "next", "total", "chained_next", "options", "pairs"))).alias("line")
-    )
+    answered = asked.join(bigrams, ["prev", "word"]).groupBy("uid").agg(F.collect_list(F.struct("prev", "word", "n")).alias("pairs"))
 
-    names = [*key, "seq", "kind", "word", "repaired"]
+    names = ["rec", "rec_id", "line_no", "seq", "kind", "word", "repaired"]
     types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                for t in r["line"]:
-                    pairs = t["pairs"] or []
-                    t["left"] = {(p["prev"], p["word"]): p["n"] for p in pairs if p["is_left"]}
-                    t["right"] = {p["prev"]: p["n"] for p in pairs if not p["is_left"]}
-                for t, shown in zip(r["line"], decode(r["line"])):
-                    if shown is not None:
-                        kind = "hyphen" if t["kind"] == "hyphen" else "misread"
-                        rows.append((r["rec"], r["rec_id"], r["line_no"], t["seq"], kind, t["word"], shown))
+                pairs = {(p["prev"], p["word"]): p["n"] for p in r["pairs"] or []}
+                for chain in _chains(r):
+                    for t, shown in zip(chain, decode(chain, pairs)):
+                        if shown is not None:
+                            rows.append((r["rec"], r["rec_id"], r["line_no"], r["seq"] + t["seq"], "misread" if t["other"] == "\u0001" else "hyphen", t["word"], shown))
             yield _batch(rows, types, names)
 
-    chosen = lines.mapInArrow(choose, "rec string, rec_id bigint, line_no int, seq int, kind string, word string, repaired string")
-    plain = running_lines(texts).select(*key, F.lit(0).alias("seq"), "kind", F.lit("").alias("word"), F.lit("").alias("repaired"))
+    chosen = runs.join(answered, "uid", "left").mapInArrow(choose, "rec string, rec_id bigint, line_no int, seq int, kind string, word string, repaired string")
+    plain = emitted.filter("kind <> 'run'").select("rec", "rec_id", "line_no", "seq", "kind", F.lit("").alias("word"), F.lit("").alias("repaired"))
     return plain.unionByName(chosen)
 
 

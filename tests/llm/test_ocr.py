@@ -89,3 +89,35 @@ def test_copies_count_once_for_options(spark):
     df = pages(spark, *["the cooling charmel carries the winding core"] * 20)
     options = {r.word: {o.text for o in r.options} for r in ocr.options(ocr.counts(df)).collect()}
     assert options["charmel"] == {"charmel", "channel"}
+
+
+def test_short_words(spark):
+    assert found(spark, "tbe sealing ring aud the winding core ot the membrane") == [(0, 0, "misread", "and"), (0, 0, "misread", "of"), (0, 0, "misread", "the")]
+
+
+def test_bit_table_lets_all_its_words_through(spark):
+    words = [f"wörd{i}" for i in range(500)]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for bits, most in ((26, 0), (15, 60)):
+        table = ocr._bit_table(df, bits)
+        assert all(ocr._in_table(table, w) for w in words)
+        assert sum(ocr._in_table(table, f"other{i}") for i in range(2000)) <= most
+
+
+def test_a_full_bit_table_changes_nothing(spark, monkeypatch):
+    """Words that the table lets through without options only split the runs."""
+    text = "WO 2020/123456\nthe coo1ing charmel engages with the seal-\n- 7 -\ning ring in a form-\nfitting manner and the botlom\nthe winclin9 core"
+    expected = found(spark, text)
+    monkeypatch.setattr(ocr, "_bit_table", lambda words: b"\xff" * 4096)
+    assert found(spark, text) == expected
+
+
+def test_confusions_are_estimated(spark):
+    """A confusion that the corpus shows often gets the rate at which it stands there."""
+    texts = [GOOD.replace("membrane", "rnembrane") if i % 10 == 0 else GOOD for i in range(200)]
+    df = spark.createDataFrame([("page", i, f"{t} {i}") for i, t in enumerate(texts)], "rec string, rec_id bigint, text string")
+    counted = ocr.cut(ocr.counts(df))
+    rates = dict(zip(ocr.CONFUSIONS, ocr.confusion_rates(counted, ocr.cut(ocr._tried(counted)))))
+    at_m = sum(GOOD.count("m") for _ in texts)
+    assert 0.5 < rates["rn", "m"] / (20 / at_m) < 2
+    assert rates["cl", "d"] < ocr.PRIOR
