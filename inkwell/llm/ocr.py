@@ -49,8 +49,9 @@ CONFUSIONS = [
 
 RATE = 0.03  # misread words among all words
 PRIOR = 0.003  # probability of a confusion at one place before the corpus is looked at
+START = 0.03  # and from which the estimation sets out: too high a rate comes down, too low a one may not rise
 PRIOR_PLACES = 1000  # places in the corpus that weigh as much as that prior
-ROUNDS = 12  # of the estimation of the confusions
+ROUNDS = 8  # of the estimation of the confusions
 DOUBT = 20.0  # times the expected misreadings that a word's own count must exceed
 RATIO = 4  # times a word's count in distinct texts that an option must have, unless no right word looks like it
 SHORTEST = 2  # letters of the shortest right word
@@ -270,7 +271,7 @@ def confusion_rates(counted: DataFrame, hits: DataFrame) -> list[float]:
         F.max("own_once").alias("own"), F.collect_list(F.struct(F.col("path")[0].alias("k"), F.col("known_once").alias("n"))).alias("ways")
     )
     words = cut(words.filter("own > 0"))
-    rates, share = [PRIOR] * len(CONFUSIONS), 0.5
+    rates, share = [START] * len(CONFUSIONS), 0.5
     for _ in range(ROUNDS):
         rate = F.array(*(F.lit(r) for r in rates))
         caused = F.transform("ways", lambda w: F.struct(w["k"].alias("k"), (w["n"] * F.get(rate, w["k"])).alias("n")))

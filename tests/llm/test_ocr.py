@@ -114,10 +114,13 @@ def test_a_full_bit_table_changes_nothing(spark, monkeypatch):
 
 def test_confusions_are_estimated(spark):
     """A confusion that the corpus shows often gets the rate at which it stands there."""
-    texts = [GOOD.replace("membrane", "rnembrane") if i % 10 == 0 else GOOD for i in range(200)]
+    wrong = ["rnanner", "mernbrane", "forrn-fitting", "bottorn-side"]
+    texts = [GOOD] * 200
+    for i in range(40):
+        word = wrong[i % 4]
+        texts[i] = GOOD.replace(word.replace("rn", "m"), word)
     df = spark.createDataFrame([("page", i, f"{t} {i}") for i, t in enumerate(texts)], "rec string, rec_id bigint, text string")
     counted = ocr.cut(ocr.counts(df))
     rates = dict(zip(ocr.CONFUSIONS, ocr.confusion_rates(counted, ocr.cut(ocr._tried(counted)))))
-    at_m = sum(GOOD.count("m") for _ in texts)
-    assert 0.5 < rates["rn", "m"] / (20 / at_m) < 2
+    assert 0.5 < rates["rn", "m"] / (40 / (GOOD.count("m") * 200)) < 2
     assert rates["cl", "d"] < ocr.PRIOR
