@@ -1,10 +1,18 @@
 """Personal data in free text: found, typed and replaced by placeholders.
 
 Anchor expansion: one pass of an Aho-Corasick automaton over the text finds anchors (at-signs
-and their written forms, dial prefixes, cues of identity numbers, street types, given names,
-initials and forms of address). At each anchor a local parser expands to the left and to the
-right within a bounded window, validates what it read and fixes its boundaries. Text without
-anchors is never parsed. Whole texts are processed in Arrow batches without a shuffle.
+and their written forms, schemes, dial prefixes, cues of identity numbers and accounts, street
+types, given names, initials, forms of address and roles). At each anchor a local parser expands
+to the left and to the right as far as its grammar reaches (characters of an address, digits of
+a number, words of a street or name), never to a number of characters, validates what it read
+and fixes its boundaries. Text without anchors is never parsed. Whole texts are processed in
+Arrow batches without a shuffle.
+
+Names are found by a list of given names (a parameter), by initials, by forms of address and
+roles before them, and by the email addresses of the same text: a capitalised pair whose surname
+and given name or initial stand in a local part. International account numbers need no cue, their length
+and check digits (mod 97) tell them and their end; behind a cue a number is taken as written,
+whatever its check digits, as a mistyped number is personal data as well.
 
 Where pieces overlap, the kind that comes first in `KINDS` wins, then the longer piece.
 Positions count characters (code points) from 0; the end is the one after the last. Defined
@@ -45,7 +53,9 @@ GIVEN = tuple(
 )
 
 # Forms of address that stand before a name whose given name is unknown here.
-TITLES = "mr mr. mrs mrs. ms ms. miss herr herrn frau mme mlle madame monsieur señor señora signor signora".split()
+TITLES = "mr mr. mrs mrs. ms ms. miss dr dr. prof prof. herr herrn frau mme mlle madame monsieur señor señora signor signora".split()
+# Roles and phrases that a name follows.
+ROLES = "inventor|inventors|erfinder|erfinderin|inventeur|inventrice|inventora|signed by|handed over by|paid by|presented by|contact|attention|z. hd.|represented by|named".split("|")
 
 # Cues of identity numbers.
 IDENT_CUES = [
@@ -53,9 +63,18 @@ IDENT_CUES = [
     "national id", "insurance number", "ausweisnummer", "ausweis-nr", "personalausweis", "reisepass", "steuer-id", "steuernummer",
     "steueridentifikationsnummer", "sozialversicherungsnummer", "numéro d'identité", "numero d'identite", "numéro d’identité",
     "carte d'identité", "passeport", "numéro fiscal", "sécurité sociale", "documento de identidad", "pasaporte", "dni", "nif", "nie",
-    "número de identidad", "número fiscal", "iban", "ssn", "id no", "id number",
+    "número de identidad", "número fiscal", "iban", "ssn", "id no", "id number", "account number", "account no", "kontonummer", "konto-nr", "numéro de compte",
+    "número de cuenta",
 ]
 
+# Countries of international account numbers and how long theirs are.
+IBAN = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20,
+    "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27,
+    "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
+
 # Street types as words before or after the name, and as ends of a compound.
 TYPE_BEFORE = (
     r"(?:rue|(?-i:r\.)|avenue|aven?\.?|av\.?|boulevard|boul\.?|blvd\.?|bd\.?|place|pl\.|allée|chemin|quai|impasse|route|cours"
@@ -87,7 +106,9 @@ STREET_ANCHORS = [
 TYPE_ANCHORS = [w for w in dict.fromkeys(_spelt(TYPE_BEFORE) + _spelt(TYPE_END)) if len(w) >= 3]
 
 _CAP = r"\p{Lu}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*"
-_NO = r"\d{1,4}(?:\s?[A-Za-z](?![\p{L}\d]))?"
+_NO = r"\d{1,5}(?:[-/]\d{1,5})?(?:\s?[A-Za-z](?![\p{L}\d]))?"
+_LINK = r"(?:(?:de la|de los|de las|de l['’]|de|du|des|del|della|di|do|da|dos|das|la|le|les|d['’]|l['’])[^\S\n]?)"
+_NAMED = rf"{_LINK}?{_CAP}(?:[^\S\n]{_LINK}?{_CAP}){{0,3}}"
 _SIDE = r"(?:(?:N|S|E|W|North|South|East|West)\.?\s)?"
 _TOWN = r"(?:(?:San|Santa|St\.|Saint|Bad|Los|Las|La|Le|New)\s)?\p{Lu}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*(?:\s(?:Falls|Springs|Heights|City|Beach|Hills|Park|Grove)|\s(?:del|de la|de)\s\p{Lu}\p{L}+|\s(?:am|an der|im)\s\p{Lu}\p{L}+)?"
 _ZIP_BEFORE = r"(?:[A-Z]{1,2}-)?\d{4,5}"
@@ -95,10 +116,10 @@ _ZIP_AFTER = r"(?:[A-Z]\d[A-Z] ?\d[A-Z]\d|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}|\d{5}
 _SEP = r"(?:\s*[,;]\s*|\s*\n\s*|\s+-\s+|\s)"
 _GAP = r"[^\S\n]"
 _STREET = (
-    rf"(?:(?P<a>{_NO},?{_GAP}(?i:{TYPE_BEFORE}){_GAP}?{_CAP})"
-    rf"|(?P<b>{_NO},?{_GAP}{_SIDE}{_CAP}(?:{_GAP}{_CAP})?{_GAP}(?i:{TYPE_AFTER})(?![\p{{L}}]))"
+    rf"(?:(?P<a>{_NO},?{_GAP}(?i:{TYPE_BEFORE}){_GAP}?{_LINK}?{_CAP}(?:{_GAP}{_LINK}{_CAP}|{_GAP}{_CAP}(?={_GAP}{_CAP}|\s*[,;\n]))*)"
+    rf"|(?P<b>{_NO},?{_GAP}{_SIDE}{_CAP}(?:{_GAP}{_CAP}){{0,3}}{_GAP}(?i:{TYPE_AFTER})(?![\p{{L}}]))"
     rf"|(?P<c>(?:{_CAP}(?:-|{_GAP})(?i:{TYPE_END})|\p{{Lu}}[\p{{L}}'’-]*(?i:{TYPE_END})){_GAP}?,?{_GAP}?(?:No\.|Nr\.|#)?{_GAP}?{_NO})"
-    rf"|(?P<d>(?i:{TYPE_BEFORE}){_GAP}?{_CAP}(?:{_GAP}{_CAP})?,?{_GAP}(?:No\.|Nr\.|#|n\.?º)?{_GAP}?{_NO}))"
+    rf"|(?P<d>(?i:{TYPE_BEFORE}){_GAP}?{_NAMED},?{_GAP}(?:No\.|Nr\.|#|n\.?º)?{_GAP}?{_NO}))"
 )
 _PLACE = rf"(?:{_ZIP_BEFORE}\s{_TOWN}|{_TOWN}(?:,?\s{_ZIP_AFTER}\b)?|{_ZIP_AFTER}\b|{_ZIP_BEFORE}\b)"
 TYPE_NEXT = regex.compile(rf"\.?{_GAP}?(?:\p{{Lu}}|,?{_GAP}?(?:No\.|Nr\.|#)?{_GAP}?\d)")  # what may follow an anchor of a type
@@ -119,7 +140,7 @@ PHONE = regex.compile(
     rf"){_END}"
 )
 DATE_LIKE = regex.compile(r"\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})")
-IDENT = regex.compile(r"[\s:.,#°º(]*(?:(?:no|nr|number|nº|n°)\b[.:\s]*)?(?P<id>(?=[A-Z\d -]*\d)[A-Z\d]{1,14}(?:[ .-](?=[A-Z]*\d|[A-Z](?![\p{L}\d]))[A-Z\d]{1,8}){0,8})(?![\p{L}\d])")
+IDENT = regex.compile(r"[\s:.,#°º(]*(?:(?:no|nr|number|nº|n°)\b[.:\s]*)?(?:(?:is|lautet|ist|est|es)\b[:\s]*|=\s*)?(?P<id>(?=[A-Z\d -]*\d)[A-Z\d]{1,34}(?:[ .-](?=[A-Z]*\d|[A-Z](?![\p{L}\d]))[A-Z\d]{1,8}){0,8})(?![\p{L}\d])")
 
 _SURNAME = r"(?:(?:von|van|de|der|den|di|da|del|le|la)\s){0,2}\p{Lu}['’]?\p{L}+(?:[-'’]\p{Lu}\p{L}+)*"
 _INITIAL = r"\p{Lu}\.(?:[-\s]?\p{Lu}\.)*"
@@ -172,6 +193,12 @@ def _automaton(given: tuple[str, ...]):
         add(f"{chr(code)}.", "initial")
     for w in TITLES:
         add(f"{w} ", "title")
+    for w in ROLES:
+        add(f"{w} ", "role")
+    add("://", "scheme")
+    for country in IBAN:
+        for digit in range(10):
+            add(f"{country}{digit}", "account")
     automaton = ahocorasick.Automaton()
     for w, kinds in cues.items():
         automaton.add_word(w, (len(w), tuple(kinds)))
@@ -188,20 +215,40 @@ def _word(text: str, a: int, b: int) -> bool:
     return not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
 
 
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+%'-")
+USERINFO = regex.compile(r"://(?P<info>[^\s/@?#]+)@")
+WORD = regex.compile(r"\S+")
+
+
 def _email(text: str, at: int) -> Iterator[tuple[int, int]]:
-    low = max(0, at - 80)
-    for m in EMAIL.finditer(text, low, min(len(text), at + 120)):
-        if m.start() <= at < m.end():
-            yield m.span()
+    low = at - 1 if at and text[at] in "([" and text[at - 1].isspace() else at
+    while low and text[low - 1] in _LOCAL:
+        low -= 1
+    while low < at and not text[low].isalnum():
+        low += 1
+    m = EMAIL.match(text, low)
+    if m and m.start() <= at < m.end():
+        yield m.span()
+
+
+def _userinfo(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """User and password of an address with a scheme."""
+    m = USERINFO.match(text, at)
+    if m:
+        yield m.span("info")
 
 
 def _phone(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
     if not (end < len(text) and (text[end].isdigit() or text[end] in " (")):
         return
-    low = at
-    while low and at - low < 25 and (text[low - 1].isdigit() or text[low - 1] in "+()/. -"):
+    low, digits = at, 0
+    while low and digits <= 15 and (text[low - 1].isdigit() or text[low - 1] in "+()/. -"):  # no number has more
         low -= 1
-    for m in PHONE.finditer(text, low, min(len(text), at + 40)):
+        digits += text[low].isdigit()
+    # The longest form of the pattern is shorter than this, so no match is cut.
+    for m in PHONE.finditer(text, low, min(len(text), at + 100)):
+        if m.start() > at:
+            break
         if m.start() <= at < m.end():
             digits = sum(c.isdigit() for c in m.group())
             if 9 <= digits <= 15 and not DATE_LIKE.fullmatch(m.group()):
@@ -209,18 +256,57 @@ def _phone(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
 
 
 def _ident(text: str, end: int) -> Iterator[tuple[int, int]]:
-    m = IDENT.match(text, end, min(len(text), end + 60))
+    m = IDENT.match(text, end)
     if m:
+        account = list(_account(text, m.start("id")))
+        if account:
+            yield from account
+            return
         value = m.group("id")
         if sum(c.isdigit() for c in value) >= 5 and 7 <= sum(c.isalnum() for c in value) <= 34:
             yield m.span("id")
 
 
+def _account(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """An international account number at `at`: as long as its country has it, in groups or in
+    one, with right check digits."""
+    want = IBAN.get(text[at : at + 2])
+    if want is None or (at and text[at - 1].isalnum()):
+        return
+    end, value = at, ""
+    while end < len(text) and len(value) < want:
+        c = text[end]
+        if "A" <= c <= "Z" or "0" <= c <= "9":
+            value += c
+        elif c not in " -" or not value or text[end - 1] in " -":
+            return
+        end += 1
+    whole = len(value) == want and value[2:4].isdigit() and not (end < len(text) and text[end].isalnum())
+    if whole and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+        yield at, end
+
+
+def _reach(text: str, at: int, words: int, step: int) -> int:
+    """The place that many words before (step -1) or after (1) `at`, at a boundary of words."""
+    i, n = at, len(text)
+    for _ in range(words):
+        if step < 0:
+            while i and text[i - 1].isspace():
+                i -= 1
+            while i and not text[i - 1].isspace():
+                i -= 1
+        else:
+            while i < n and text[i].isspace():
+                i += 1
+            while i < n and not text[i].isspace():
+                i += 1
+    return i
+
+
 def _address(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
-    low = max(0, at - 60)
-    while low and low < at and text[low - 1].isalnum():  # never begin inside a word
-        low += 1
-    for m in ADDRESS.finditer(text, low, min(len(text), end + 90)):
+    # Number, side and four words of a name before the type; name, number, postcode and town after.
+    low = max(_reach(text, at, 7, -1), text.rfind("\n", 0, at) + 1)
+    for m in ADDRESS.finditer(text, low, _reach(text, end, 16, 1)):
         if m.start() <= at < m.end():
             yield m.span()
         if m.start() > at:
@@ -234,7 +320,7 @@ def _is_surname(word: str) -> bool:
 
 def _given_at(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     """Names around a given name or initials at [a, b)."""
-    line = max(text.rfind("\n", 0, a) + 1, a - 60)
+    line = max(text.rfind("\n", 0, a) + 1, _reach(text, a, 5, -1))
     before = SURNAME_BEFORE.search(text, line, a)
     if before and _is_surname(before.group("surname")):
         yield before.start("surname"), MIDDLE.match(text, b).end()
@@ -244,6 +330,33 @@ def _given_at(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
+def _after(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """A name after a form of address or a role, if no company or place follows from it."""
+    m = GIVEN_FIRST.match(text, at) or INITIAL_FIRST.match(text, at)
+    if m and _is_surname(m.group("surname")) and m.group("given").lower() not in TITLES and m.group("given").lower() not in NOT_SURNAME:
+        follows = WORD.match(text, m.end() + 1)
+        if not (follows and text[m.end()] == " " and follows.group().strip(".,;:").lower() in NOT_SURNAME):
+            yield m.span()
+
+
+def _named_by_mail(text: str, low: str, mails: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Capitalised pairs whose surname and given name or initial stand in the local part of an
+    email address of the text."""
+    parts = [[w for w in regex.split(r"[^a-z]+", low[a:b].partition("@")[0].partition("(")[0].partition("[")[0]) if w] for a, b in mails]
+    for word in {w for p in parts for w in p if len(w) >= 3}:
+        at = low.find(word)
+        while at >= 0:
+            if text[at].isupper() and _word(text, at, at + len(word)):
+                low_at = _reach(text, at, 1, -1)
+                for start in (at, low_at):
+                    m = GIVEN_FIRST.match(text, start)
+                    if m and start <= at < m.end() and not (start and text[start - 1].isalnum()):
+                        given, surname = m.group("given").lower(), m.group("surname").lower().split()[-1]
+                        if word == surname and any(word in p and any(x != word and (given == x or x == given[0]) for x in p) for p in parts) and _is_surname(m.group("surname")):
+                            yield m.span()
+            at = low.find(word, at + 1)
+
+
 def pieces(text: str, given: tuple[str, ...] = GIVEN) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the personal data in `text`, by position, without overlaps."""
     if not text:
@@ -254,10 +367,14 @@ def pieces(text: str, given: tuple[str, ...] = GIVEN) -> list[tuple[str, int, in
         for kind in kinds:
             if kind == "email":
                 found.update(("email", *x) for x in _email(text, a))
+            elif kind == "scheme":
+                found.update(("ident", *x) for x in _userinfo(text, a))
             elif kind == "phone":
                 found.update(("phone", *x) for x in _phone(text, a, b))
             elif kind == "ident" and not (a and text[a - 1].isalpha()):
                 found.update(("ident", *x) for x in _ident(text, b))
+            elif kind == "account":
+                found.update(("ident", *x) for x in _account(text, a))
             elif kind == "type":
                 if TYPE_NEXT.match(text, b):
                     found.update(("address", *x) for x in _address(text, a, b))
@@ -274,14 +391,22 @@ def pieces(text: str, given: tuple[str, ...] = GIVEN) -> list[tuple[str, int, in
                 end = m.end() if m else b
                 found.update(("name", *x) for x in _given_at(text, start, end))
             elif kind == "title" and text[a].isupper() and not (a and text[a - 1].isalnum()):
-                m = GIVEN_FIRST.match(text, b)
-                if m and _is_surname(m.group("surname")):
-                    found.add(("name", *m.span()))
+                # Behind a capitalised word `Dr` is a street.
+                before = text[_reach(text, a, 1, -1) : a].strip() if low[a] == "d" else ""
+                if not (before[:1].isupper() and before.isalpha()):
+                    found.update(("name", *x) for x in _after(text, b))
+            elif kind == "role" and not (a and text[a - 1].isalnum()):
+                found.update(("name", *x) for x in _after(text, b))
             elif kind == "initial" and text[a].isupper() and not (a and (text[a - 1].isalnum() or text[a - 1] in ".-'’")):
                 start = a + 3 if SPANISH_TITLE.match(text, max(0, a - 5), a + 5) else a
                 m = INITIALS.match(text, start)
                 if m and not (a >= 2 and text[a - 2].isdigit() and text[a - 1] == " "):
                     found.update(("name", *x) for x in _given_at(text, start, m.end()))
+    logins = [(a, b) for kind, a, b in found if kind == "ident" and text[b : b + 1] == "@"]
+    found = {x for x in found if x[0] != "email" or not any(a < x[2] and x[1] <= b for a, b in logins)}
+    mails = [(a, b) for kind, a, b in found if kind == "email"]
+    if mails:
+        found.update(("name", *x) for x in _named_by_mail(text, low, mails))
     taken: list[tuple[int, int, str]] = []
     for kind, a, b in sorted(found, key=lambda x: (KINDS.index(x[0]), x[1] - x[2], x[1])):
         i = bisect.bisect_left(taken, (a,))

@@ -18,6 +18,12 @@ CASES = [
     ("spanish", "reside en Calle Habrart 79, 96007 Vazolz del Río.", [("address", "Calle Habrart 79, 96007 Vazolz del Río")]),
     ("names", "Wie Frau Vegrir, Henrietta und Herrn Q. Sistolz schrieb Jean-Luc K. Kihelz-Moor.", [("name", "Vegrir, Henrietta"), ("name", "Q. Sistolz"), ("name", "Jean-Luc K. Kihelz-Moor")]),
     ("don", "presentado por D. L. Kejalz.", [("name", "L. Kejalz")]),
+    ("iban", "IBAN DE89370400440532013000; IBAN: GB29 NWBK 6016 1331 9268 19 here", [("ident", "DE89370400440532013000"), ("ident", "GB29 NWBK 6016 1331 9268 19")]),
+    ("account", "paid to DE89370400440532013000, not DE89370400440532013001; account number is 12345678", [("ident", "DE89370400440532013000"), ("ident", "12345678")]),
+    ("login", "see http://user:secret@host.example/a", [("ident", "user:secret")]),
+    ("words", "5 rue de la Paix, 75002 Paris; 1600 Pennsylvania Avenue, Washington 20500; 12-14 Park Hill Road, Leeds LS1 4DY", [("address", "5 rue de la Paix, 75002 Paris"), ("address", "1600 Pennsylvania Avenue, Washington 20500"), ("address", "12-14 Park Hill Road, Leeds LS1 4DY")]),
+    ("unlisted", "Dr. Kwame Nkrumah came, inventor Xiaoming Wang too, and Priyanka Chopra (p.chopra@firm.example).", [("name", "Kwame Nkrumah"), ("name", "Xiaoming Wang"), ("name", "Priyanka Chopra"), ("email", "p.chopra@firm.example")]),
+    ("firms", "contact Kromutis Nejojon LLP, inventor Dinus Manufacturing", []),
     ("company", "filed by Dinus Manufacturing B.V. and Krubex Chemicals Corp.", []),
     ("letter", "Yours sincerely,\nDrofit, Emil\nDrefikallee 218B, 37053 Rudendburg\n", [("name", "Drofit, Emil"), ("address", "Drefikallee 218B, 37053 Rudendburg")]),
 ]
@@ -47,3 +53,22 @@ def test_pieces_never_overlap():
 @pytest.mark.parametrize("street", ["12 chemin Stihol", "12 quai Stihol", "12, impasse Stihol", "12 route Stihol", "12 cours Stihol", "12 allée Stihol", "Camino Habrart 79", "Via Habrart 79", "Viale Habrart, 79", "Rua Habrart 79", "Praça Habrart 79", "Stipenring 17", "Stipendamm 17", "Stipen-Ufer 17", "Stipenweg, 17"])
 def test_every_street_type_is_an_anchor(street):
     assert pii.pieces(f"lives at {street}, 29429 Totax.") == [("address", 9, 9 + len(f"{street}, 29429 Totax"))]
+
+
+@pytest.mark.parametrize("n", [10, 100, 200, 5000])
+def test_no_window_cuts_a_piece(n):
+    mail = "a" * n + ".b@" + "c" * min(n, 60) + ".example.com"
+    assert [(k, a, b) for k, a, b in pii.pieces(f"to {mail} now")] == [("email", 3, 3 + len(mail))]
+    street = f"12 {'L' + 'o' * n} Street, {'T' + 'o' * n} 29429"
+    assert [(k, a, b) for k, a, b in pii.pieces(f"lives at {street}.")] == [("address", 9, 9 + len(street))]
+    name = f"Robert {'M' + 'o' * n}"
+    assert [(k, a, b) for k, a, b in pii.pieces(f"by {name}, too")] == [("name", 3, 3 + len(name))]
+
+
+def test_long_runs_end_in_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("1 2 3 " * 20_000, "a." * 50_000 + "@", "@" * 50_000, "Robert " * 20_000, "12 St. " * 20_000, "+1 " * 30_000):
+        pii.pieces(text)
+    assert time.perf_counter() - began < 60
