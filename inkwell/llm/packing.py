@@ -4,7 +4,11 @@ Shortest-pack-first over the length histogram: lengths are placed longest first,
 into the pack that holds least so far, a new pack only where none has room. The plan works on
 counts (patterns of lengths and how often each is used), so its cost depends on the capacity
 and not on the number of items. Items are then ranked within their length and joined to the
-patterns by rank.
+patterns by rank: an as-of search in the sorted first ranks of the places, one row in, one out.
+
+The places are sent to all workers. There are no more than a pattern can add: a length opens,
+splits or finishes at most one pattern for each room that packs have left, so `capacity` ** 2 / 2
+in all; in practice far fewer, see the README for figures.
 
 Ranks are taken in shards of bounded size, so a length that a third of all items share is
 never gathered in one task. An item larger than the capacity is split into full pieces and a
@@ -16,7 +20,10 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,10 +97,8 @@ def packed(sizes: DataFrame, bins: DataFrame) -> DataFrame:
     items = items.select("bin_kind", "capacity", "doc_id", "piece", F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("tokens"))
     # Bounded by the capacities: at most capacity rows for each kind of container.
     counted = items.groupBy("bin_kind", "tokens").agg(F.count("*").alias("n")).collect()
-    rows = []
-    for kind, capacity in kinds:
-        rows += [(kind, *s) for s in slots(plan({r.tokens: r.n for r in counted if r.bin_kind == kind}, capacity))]
-    places = spark.createDataFrame(rows, "bin_kind string, tokens int, first_rank long, end_rank long, first_pack long, place int, offset int")
+    places = _Places(kinds, {kind: slots(plan({r.tokens: r.n for r in counted if r.bin_kind == kind}, capacity)) for kind, capacity in kinds})
+    places = spark.sparkContext.broadcast(places)
 
     shards = max([1, *(-(-r.n // SHARD_ROWS) for r in counted)])
     shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))
@@ -104,10 +109,41 @@ def packed(sizes: DataFrame, bins: DataFrame) -> DataFrame:
     before = before.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy(*group).orderBy("doc_id", "piece")) - 1
     ranked = items.withColumn("within", within).join(before, group).withColumn("rank", F.col("before") + F.col("within"))
-    meets = ["bin_kind", "tokens"]
-    out = ranked.join(F.broadcast(places), meets).filter((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
-    pack = F.col("first_pack") + F.col("rank") - F.col("first_rank")
-    return out.select("bin_kind", "capacity", pack.alias("pack_id"), "place", "offset", "doc_id", "piece", "tokens")
+    out = "bin_kind string, capacity int, pack_id long, place int, offset int, " + f"doc_id {sizes.schema['doc_id'].dataType.simpleString()}, piece int, tokens int"
+    names = ["bin_kind", "capacity", "pack_id", "place", "offset", "doc_id", "piece", "tokens"]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, tokens, rank = batch.column("bin_kind"), batch.column("tokens"), batch.column("rank")
+            pack, place, offset = places.value.of(kind.to_pylist(), tokens.to_numpy(), rank.to_numpy())
+            yield pa.RecordBatch.from_arrays([kind, batch.column("capacity"), pa.array(pack), pa.array(place), pa.array(offset), batch.column("doc_id"), batch.column("piece"), tokens], names=names)
+
+    return ranked.select("bin_kind", "capacity", "doc_id", "piece", "tokens", "rank").mapInArrow(placed, out)
+
+
+class _Places:
+    """The places of all kinds of container in the order of kind, length and first rank. Ranks
+    of a length have no gaps, so all ranks laid end to end make one sorted array of starts."""
+
+    def __init__(self, kinds: list[tuple[str, int]], slots: dict[str, list[tuple]]) -> None:
+        self.kinds = {kind: i for i, (kind, _) in enumerate(kinds)}
+        self.base = np.zeros((len(kinds), 2 + max(c for _, c in kinds)), np.int64)
+        rows, total = [], 0
+        for kind, _ in kinds:
+            for length, first, end, pack, place, offset in sorted(slots[kind]):
+                if first == 0:
+                    self.base[self.kinds[kind], length] = total
+                rows.append((total, first, pack, place, offset))
+                total += end - first
+        table = np.array(rows, np.int64).reshape(-1, 5)
+        self.starts, self.first, self.pack = table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy()
+        self.place, self.offset = table[:, 3].astype(np.int32), table[:, 4].astype(np.int32)
+
+    def of(self, kinds: list[str], lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """pack, place, offset of the items with these ranks within their lengths."""
+        at = self.base[[self.kinds[k] for k in kinds], lengths] + ranks if len(kinds) else np.zeros(0, np.int64)
+        k = np.searchsorted(self.starts, at, "right") - 1
+        return self.pack[k] + ranks - self.first[k], self.place[k], self.offset[k]
 
 
 def pack(documents: DataFrame, bins: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

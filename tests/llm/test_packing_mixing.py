@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from inkwell.llm import mixing, packing
@@ -93,6 +94,37 @@ def test_mixed(spark, monkeypatch):
     assert mixing.mixed(df.limit(0), targets).count() == 0 and mixing.mixed(df, targets.limit(0)).count() == 0
 
 
+def test_a_total_asked_for(spark):
+    """A source that holds too little leaves its part open, the others keep theirs."""
+    df = spark.createDataFrame([(i, "big" if i < 900 else "tiny", 10) for i in range(910)], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 2)], "source string, target_share double, max_repeats int")
+    own = {r.source: r for r in mixing.reached(mixing.mixed(df, targets, block=20), targets).collect()}
+    assert own["big"].tokens == own["tiny"].tokens == 200 and own["big"].shortfall == own["tiny"].shortfall == 0
+    asked = {r.source: r for r in mixing.reached(mixing.mixed(df, targets, block=20, total=4000), targets, 4000).collect()}
+    assert (asked["big"].tokens, asked["big"].shortfall) == (2000, 0) and (asked["tiny"].tokens, asked["tiny"].shortfall, asked["tiny"].most_uses) == (200, 1800, 2)
+
+
+def test_shards_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 1)
+    monkeypatch.setattr(mixing, "SHARDS", 3)
+    df = spark.createDataFrame([(i, "a", 7) for i in range(100)], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert mixing.mixed(df, targets, block=10).count() >= 95  # half a document a shard
+
+
+def test_ranks_meet_their_places():
+    """The as-of search gives the place that a scan of all places gives."""
+    rng = random.Random(5)
+    kinds = [("a", 40), ("b", 17)]
+    slots = {k: packing.slots(packing.plan(Counter(rng.randint(1, c) for _ in range(300)), c)) for k, c in kinds}
+    places = packing._Places(kinds, slots)
+    asked = [(k, length, rng.randrange(first, end)) for k, _ in kinds for length, first, end, *_ in slots[k]]
+    pack, place, offset = places.of([k for k, _, _ in asked], np.array([n for _, n, _ in asked]), np.array([r for _, _, r in asked]))
+    for (kind, length, rank), *got in zip(asked, pack, place, offset):
+        (want,) = [(p + rank - first, at, o) for n, first, end, p, at, o in slots[kind] if n == length and first <= rank < end]
+        assert tuple(got) == want
+
+
 @pytest.mark.skipif(not __import__("os").path.exists(TOKENIZER), reason="no tokenizer here")
 def test_sizes(spark):
     df = spark.createDataFrame([(1, "hello world", "x"), (2, "", "y"), (3, None, "z"), (4, "<|endoftext|>", "w")], "doc_id bigint, text string, tokens string")
