@@ -7,8 +7,10 @@ the children of one level, so the number of steps is the depth of the grammar an
 data, everything stays in one stage in the JVM (variant functions) and nothing is shuffled.
 
 `nodes` gives the supertype table: the keys all variants share (record key, path, parent
-path, position, state, label). `variants` routes it to one typed table for each state and
-shape, which keep those keys and add the columns of their type.
+path, position, state, shape) and the label, which each type reads from a column of its own.
+`variants` routes it to the typed table of one state and shape, which keeps those keys and adds
+the columns of its type; `routed` does that for all of them in one pass, to be written by state
+and shape. `found` is the union of the typed tables on their common columns.
 
 Shapes: an array counts by its elements; a lone value in place of an array is element 0; null
 elements count as positions but give no row; text that holds a JSON object or array counts as
@@ -55,6 +57,8 @@ LOOKUP_ANSWER = [
 # Columns of the typed tables beside the common ones.
 TYPED_COLUMNS = {
     "priority": ["number", "country", "date", "kind"],
+    "region": ["country"],
+    "protection_type": ["kind_of_protection"],
     "country": ["country"],
     "protection_request": ["kind_of_protection"],
     "publication_id": ["document_id_type", "doc_number", "country", "kind", "date"],
@@ -151,23 +155,38 @@ def nodes(records: DataFrame, key: str, payload: str, rules: list[Rule] | None =
         out = out.select("record_key", F.explode(F.concat(own, *kids)).alias("e"))
         reached = below
     shape = F.when(_shape(F.col("node")) == "O", "object").otherwise("text")
-    member = F.try_variant_get(F.col("node"), F.concat(F.lit("$."), F.col("label_key")), "string")
-    label = F.when(shape == "object", member).otherwise(F.try_variant_get("node", "$", "string"))
+    # Routed by state: each type names its elements by a column of its own.
+    keys: dict[str, list[str]] = {}
+    for r in rules:
+        keys.setdefault(r.label, []).append(r.state)
+    label = F.when(shape == "text", F.try_variant_get("node", "$", "string"))
+    for name, states in keys.items():
+        label = label.when(F.col("state").isin(*states), F.try_variant_get("node", f"$['{name}']", "string"))
     return out.select("record_key", "path", "parent_path", "pos", "state", shape.alias("shape"), label.alias("label"), "node")
 
 
+def _own(state: str) -> list[Column]:
+    return [F.try_variant_get("node", f"$.{c}", "string").alias(f"{c}_value") for c in TYPED_COLUMNS.get(state, [])]
+
+
 def variants(table: DataFrame, state: str, shape: str = "object") -> DataFrame:
     """The typed table of one state and shape: common keys and parent link, then the type's
     own columns (null where an element lacks the member)."""
     rows = table.filter((F.col("state") == state) & (F.col("shape") == shape))
     common = ["record_key", "path", "parent_path", "pos", "label"]
-    if shape == "text":
-        return rows.select(*common)
-    own = [F.try_variant_get("node", f"$.{c}", "string").alias(f"{c}_value") for c in TYPED_COLUMNS.get(state, [])]
-    return rows.select(*common, *own)
+    return rows.select(*common, *([] if shape == "text" else _own(state)))
+
+
+def routed(table: DataFrame) -> DataFrame:
+    """All typed tables in one pass: the common keys, state, shape and one struct column for
+    each state with the type's own columns, null for elements of another type. Written with
+    `partitionBy("state", "shape")` each typed table is a folder of its own."""
+    common = ["record_key", "path", "parent_path", "pos", "state", "shape", "label"]
+    types = [F.when((F.col("state") == s) & (F.col("shape") == "object"), F.struct(*_own(s))).alias(s) for s in TYPED_COLUMNS]
+    return table.select(*common, *types)
 
 
 def found(records: DataFrame) -> DataFrame:
-    """Rows (raw_id, path, label) of all elements; distinct as raw_id is unique, so without a
-    shuffle."""
+    """Rows (raw_id, path, label) of the elements of all types; distinct as raw_id is unique, so
+    without a shuffle."""
     return nodes(records, "raw_id", "payload").select(F.col("record_key").alias("raw_id"), "path", "label")

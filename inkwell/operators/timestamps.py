@@ -43,7 +43,10 @@ MONTHS = {
 }
 
 SEP = "\u0001"
-FIRST_YEAR, LAST_YEAR = 1970, 2099  # of the offset intervals; other local years have no offset
+#: Years of the offset intervals. No zone had another offset before the first one; after the last
+#: one rules repeat with the calendar, so a later year takes the intervals of a like one of ALIKE.
+FIRST_YEAR, LAST_YEAR = 1840, 2130
+ALIKE = range(2101, 2131)
 
 #: Pattern and the numbers of its groups for year, month, day, hour, minute, second, fraction,
 #: half of day, zone. A month may be a name. First match wins.
@@ -167,12 +170,42 @@ def _months() -> Column:
     return F.create_map(*[F.lit(x) for n, words in MONTHS.items() for w in words.split() for x in (w, n)])
 
 
+def _new_year(year: Column) -> Column:
+    return F.make_date(year, F.lit(1), F.lit(1))
+
+
+def _day_of(us: Column) -> Column:
+    """The date of microseconds since 1970, whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int"))
+
+
+def _stamp(us: Column) -> Column:
+    rest = F.pmod(us, F.lit(86_400_000_000))
+    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    hour, minute, second = F.floor(rest / 3_600_000_000), F.pmod(F.floor(rest / 60_000_000), F.lit(60)), F.pmod(F.floor(rest / 1_000_000), F.lit(60))
+    micro = F.lpad(F.pmod(rest, F.lit(1_000_000)).cast("string"), 6, "0")
+    return F.concat(_day_of(us).cast("string"), F.lit("T"), two(hour), F.lit(":"), two(minute), F.lit(":"), two(second), F.lit("."), micro, F.lit("Z"))
+
+
+def _interval_year(year: Column) -> Column:
+    """The year whose intervals hold for a local year: one that begins on the same weekday and
+    has as many days, where it lies after all of them."""
+    like = {}
+    for y in ALIKE:
+        leap = y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
+        like.setdefault((7 if leap else 0) + dt.date(y, 1, 1).weekday(), y)
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    kind = F.when(leap, 7).otherwise(0) + F.weekday(_new_year(year))
+    later = F.get(F.array(*(F.lit(like[k]) for k in range(14))), kind)
+    return F.when(year > LAST_YEAR, later).otherwise(F.greatest(year, F.lit(FIRST_YEAR)))
+
+
 def offset_intervals(zones: DataFrame) -> DataFrame:
     """For each zone name in the one column of `zones`: its offset intervals, exploded by the
     local years they touch and gathered per (zone, local_year).
 
     intervals: array of struct(start_s, end_s of the local clock, offset_s, abbr). Names that
-    are no zones give no rows. Bounded by the zone database: below 600 zones times 130 years.
+    are no zones give no rows. Bounded by the zone database: below 600 zones times 290 years.
     """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,8 +247,10 @@ def _zone_years(name: str) -> list[tuple]:
     spans.append((start, end, *now))
     out = []
     for a, b, offset, abbr in spans:
-        first = dt.datetime.fromtimestamp(a + offset, utc).year
-        last = dt.datetime.fromtimestamp(b + offset - 1, utc).year
+        first = max(FIRST_YEAR, dt.datetime.fromtimestamp(a + offset, utc).year)
+        last = min(LAST_YEAR, dt.datetime.fromtimestamp(b + offset - 1, utc).year)
+        if a == begin:
+            a = -(10**12)  # for all years before
         out += [(name, y, a + offset, b + offset, offset, abbr) for y in range(first, last + 1)]
     return out
 
@@ -251,19 +286,23 @@ def normalise(values: DataFrame, feeds: DataFrame) -> DataFrame:
         .withColumn("abbr_given", F.when(instant & stated.isNull(), F.nullif(bare, F.lit(""))))
         .withColumn("local_us", F.when(instant, F.col("t_local_us")))
         .withColumn("at_zone", F.when(F.col("local_us").isNotNull() & F.col("stated_s").isNull(), F.coalesce(named, F.col("zone_name"))))
-        .withColumn("at_year", F.year(F.timestamp_seconds(F.floor(F.col("local_us") / 1_000_000))))
+        .withColumn("local_year", F.year(_day_of(F.col("local_us"))))
+        .withColumn("at_year", _interval_year(F.col("local_year")))
     )
     bracketed = values.filter(F.col("kind") == "instant").select(
         F.nullif(F.regexp_extract("raw", r"\[([A-Za-z0-9_+/-]+)\]\s*$", 1), F.lit("")).alias("zone")
     )
     zones = feeds.select(F.col("zone_name").alias("zone")).union(bracketed.filter("zone is not null")).distinct()
-    table = offset_intervals(zones)
+    table = offset_intervals(zones).withColumnRenamed("local_year", "interval_year")
     rows = rows.join(
         F.broadcast(table),  # bounded by the zone database, see offset_intervals
-        (rows["at_zone"] == table["zone"]) & (rows["at_year"] == table["local_year"]),
+        (rows["at_zone"] == table["zone"]) & (rows["at_year"] == table["interval_year"]),
         "left",
     )
-    local_s = F.floor(F.col("local_us") / 1_000_000)
+    # Local seconds in the year whose intervals count.
+    shift = F.when(F.col("local_year") > LAST_YEAR, F.datediff(_new_year(F.col("local_year")), _new_year(F.col("at_year"))).cast("long") * 86_400).otherwise(F.lit(0))
+    rows = rows.withColumn("local_s", F.floor(F.col("local_us") / 1_000_000) - shift)
+    local_s = F.col("local_s")
     hits = F.filter(
         "intervals",
         lambda i: (i["start_s"] <= local_s)
@@ -274,7 +313,7 @@ def normalise(values: DataFrame, feeds: DataFrame) -> DataFrame:
     one = F.when(F.size("hits") == 1, F.element_at("hits", 1)["offset_s"])
     offset = F.coalesce(F.col("stated_s").cast("long"), one)
     us = F.coalesce(F.col("epoch_us"), F.col("local_us") - offset * 1_000_000)
-    stamp = F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    stamp = _stamp(us)
     day = F.date_format("t_day", "yyyyMMdd")
     rows = rows.withColumn("utc_key", F.when(instant, stamp).otherwise(day))
     why = (

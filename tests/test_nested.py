@@ -41,6 +41,20 @@ def test_typed_tables_keep_their_parents(spark):
     assert nested.variants(table, "family_member").first().path == event.parent_path
 
 
+def test_the_typed_tables_are_all_elements(spark):
+    payload = {
+        "priority_data": [{"number": "A"}, "B"], "designated_states": {"regions": ["EP", {"country": "OA"}], "countries": {"country": "FR", "protection_requests": ["PAT"]}, "protection_types": [{"kind_of_protection": "U"}]},
+        "raw_source_refs": {"ops_biblio": {"publication_reference": {"document_ids": [{"doc_number": "1", "date": "20200101"}]}}, "available_documents": "x"},
+    }
+    df = spark.createDataFrame([(4, json.dumps(payload))], "raw_id bigint, payload string")
+    table = nested.nodes(df, "raw_id", "payload")
+    union = {(r.record_key, r.path, r.label) for state in nested.TYPED_COLUMNS for shape in ("object", "text") for r in nested.variants(table, state, shape).collect()}
+    assert union == {tuple(r) for r in nested.found(df).collect()} and len(union) == 9
+    routed = {r.path: r for r in nested.routed(table).collect()}
+    assert routed["designated_states.regions[1]"].region.country_value == "OA" and routed["designated_states.regions[0]"].region is None
+    assert routed["priority_data[0]"].priority.number_value == "A" and routed["priority_data[0]"].country is None
+
+
 def test_recursive_grammar_is_refused(spark):
     df = spark.createDataFrame([(1, "{}")], "raw_id bigint, payload string")
     with pytest.raises(ValueError, match="recursive"):

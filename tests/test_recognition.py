@@ -43,3 +43,12 @@ def test_rest_number(spark):
     df = spark.createDataFrame([("WO2020123456A1",), ("PCT/AT2025/060357",), ("EP1234567A1",)], "x string")
     got = [r.y for r in df.select(ids.normalized_number(F.col("x")).alias("r")).select(ids.rest_number(F.col("r")).alias("y")).collect()]
     assert got == ["WO20123456", "AT2025060357", None]
+
+
+def test_key_paths_of_any_depth(spark):
+    deep = '{"a": ' * 40 + "1" + "}" * 40
+    df = spark.createDataFrame([(1, deep, "v"), (2, "[]", "w"), (3, "nope", "x"), (4, None, "y"), (5, "7", "z")], "k bigint, p string, v string")
+    rows = paths.key_paths(df, "k", "p").collect()
+    assert len(rows) == 40 and max(r.path.count(".") for r in rows) == 39
+    assert [r.value for r in rows if r.path.count(".") == 39] == ["1"]
+    assert paths.key_paths(df.limit(0), "k", "p").count() == 0

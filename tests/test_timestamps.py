@@ -71,6 +71,37 @@ def test_offsets_against_the_zone_database(spark):
     assert [k for k, _ in keys(spark, rows)] == expected
 
 
+def test_years_before_and_after_the_intervals(spark):
+    """Local mean time, wars, and years far ahead come out as the zone database has them."""
+    rows, expected = [], []
+    for feed, zone in {f: z for f, z, _ in FEEDS}.items():
+        z = ZoneInfo(zone)
+        for year in (1000, 1701, 1839, 1840, 1899, 1920, 1945, 1969, 2099, 2100, 2130, 2131, 2200, 2296, 2397, 2400, 9998):
+            for month, day, hour in ((1, 1, 0), (3, 27, 2), (4, 8, 12), (7, 15, 9), (10, 27, 2), (11, 2, 1), (12, 31, 23)):
+                local = dt.datetime(year, month, day, hour, 30)
+                fits = {
+                    local.replace(tzinfo=z, fold=k).utcoffset()
+                    for k in (0, 1)
+                    if local.replace(tzinfo=z, fold=k).astimezone(dt.timezone.utc).astimezone(z).replace(tzinfo=None) == local
+                }
+                rows.append((local.isoformat(), "instant", feed))
+                expected.append(f"{local - fits.pop():%Y-%m-%dT%H:%M:%S.000000Z}".zfill(27) if len(fits) == 1 else None)
+    got = [k for k, _ in keys(spark, rows)]
+    assert [(r[0], r[2], a) for r, a in zip(rows, got)] == [(r[0], r[2], b) for r, b in zip(rows, expected)]
+
+
+def test_the_sessions_zone_does_not_matter(spark):
+    rows = [("2020-12-31 23:30", "instant", "mue"), ("1.1.2021", "day", "mue"), ("2021-01-01T00:30:00+14:00", "instant", None)]
+    expected = keys(spark, rows)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+        assert keys(spark, rows) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [k for k, _ in expected] == ["2020-12-31T22:30:00.000000Z", "20210101", "2020-12-31T10:30:00.000000Z"]
+
+
 def test_tables(spark):
     responses = spark.createDataFrame(
         [(1, "mue", "31.01.2020", "20200130", None, "x"), (2, None, None, "2/3/2020", "", "y"), (1, "mue", "31.01.2020", "20200130", None, "x")],
