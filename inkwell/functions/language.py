@@ -60,3 +60,11 @@ def code_from(sample: Column, scores: dict[str, Column], default: str = "en") ->
     for code, pattern in reversed(SCRIPTS):
         out = F.when(sample.rlike(pattern), code).otherwise(out)
     return out
+
+
+def detected_code(text: Column, hint: Column | None = None, default: str = "en") -> Column:
+    """The recogniser's code of a text: that of the hint if there is one, else by script, else
+    by markers, else the default."""
+    sample = sample_of(F.coalesce(text, F.lit("")))
+    found = code_from(sample, scores_of(sample), default)
+    return found if hint is None else F.when(F.coalesce(F.trim(hint), F.lit("")) != "", label_code(hint, default)).otherwise(found)

@@ -40,10 +40,18 @@ HEADINGS = {
 }
 # Patterns of page suffixes, heading separators, running lines, search reports.
 PAGE_SUFFIX = rf"{SPACE}*(?:(?:第{SPACE}*)?\d+{SPACE}*(?:/{SPACE}*\d+)?{SPACE}*(?:页|頁)|pages?{SPACE}*\d+(?:{SPACE}*of{SPACE}*\d+)?|\d+{SPACE}*/{SPACE}*\d+{SPACE}*pages?){SPACE}*$"
-HEADING_SEPARATORS = r"[\s\x{00A0}\x{3000}\x{00b7}\x{2022}\x{30fb}_\x{2013}\x{2014}-]+"
+HEADING_SEPARATORS = r"[\s\x{00b7}\x{2022}\x{30fb}_\-\x{2013}\x{2014}\x{00A0}\x{3000}]+"  # with the spaces that RE2 and Java don't count
 PATENT_HEADER = r"(?i)^(?:PCT[/ -][A-Z]{2}[ /-]?\d|[A-Z]{2}[ /-]?\d)[A-Z0-9/ .-]{4,}$"
 PAGE_LABEL = r"(?i)^(?:-?\s*\d+\s*-?|(?:第\s*)?\d+\s*(?:/\s*\d+)?\s*(?:页|頁)|pages?\s*\d+(?:\s*of\s*\d+)?|\d+\s*/\s*\d+\s*pages?)$"
 SEARCH_REPORT = r"(?i)international\s+search\s+report|european\s+search\s+report|internationaler\s+recherchenbericht|rapport\s+de\s+recherche"
+# What recognised pages carry besides their text: publication and application
+# numbers, and lines of a sheet count, a page number, a date, a pair of initials.
+PAGE_NUMBERS = r"(?i)\b(?:WO\s*\d{4}\s*/?\s*\d{4,6}|EP\s*\d{4,12}\s*[A-Z]\d{1,2}|PCT\s*/\s*[A-Z]{2}\s*\d{4}\s*/\s*\d{4,6})\b"
+PAGE_LINES = [r"\s*\d+\s*/\s*\d+\s*", r"\s*-\s*\d+\s*-\s*", r"\s*(?:19|20)\d{2}\s+\d{2}\s+\d{2}\s*", r"\s*[A-Za-z]{1,3}/[A-Za-z]{1,3}\s*"]
+# A figure named in text, a unit of a figure's text, a paragraph that labels one.
+FIGURE_NAMED = r"(?i)\bfig(?:ure)?\.?\s*\d+"
+FIGURE_UNIT = r"[A-Za-z]+|\d+(?:[./-]\d+)*"
+FIGURE_LABEL = r"(?i)^FIGS?\.\s+.+"
 # Traces of wrong decoding; the replacement character counts twice.
 MOJIBAKE = ["�", "Ã", "Â", "â€", "□", "�"]
 
@@ -164,15 +172,15 @@ def figure_like(line: Column) -> Column:
     """Whether a line reads as text of a figure: it has a digit and four units at most, or
     names a figure."""
     one = collapsed(line)
-    units = F.regexp_count(one, F.lit(r"[A-Za-z]+|\d+(?:[./-]\d+)*"))
-    return (one != "") & ~is_running_line(one) & one.rlike(r"\d") & ((units <= 4) | one.rlike(r"(?i)\bfig(?:ure)?\.?\s*\d+"))
+    units = F.regexp_count(one, F.lit(FIGURE_UNIT))
+    return (one != "") & ~is_running_line(one) & one.rlike(r"\d") & ((units <= 4) | one.rlike(FIGURE_NAMED))
 
 
 def drawing_like(text: Column) -> Column:
     """Whether recognised text stems from a drawing."""
     tokens = unit_tokens(text)
     short = F.size(F.filter(tokens, lambda t: t.rlike(r"^\p{Nd}") | (F.length(t) <= 4)))
-    named = text.rlike(r"(?i)\bfig(?:ure)?\.?\s*\d+")
+    named = text.rlike(FIGURE_NAMED)
     return (F.size(tokens) > 0) & text.rlike(r"\d") & (named | ((F.size(tokens) <= 30) & (short * 2 >= F.size(tokens))))
 
 
@@ -184,17 +192,15 @@ def containment(inner: Column, outer: Column) -> Column:
 
 def cleaned_page(text: Column) -> Column:
     """Recognised text without publication numbers, page marks and date lines."""
-    out = F.regexp_replace(
-        text, r"(?i)\b(?:WO\s*\d{4}\s*/?\s*\d{4,6}|EP\s*\d{4,12}\s*[A-Z]\d{1,2}|PCT\s*/\s*[A-Z]{2}\s*\d{4}\s*/\s*\d{4,6})\b", " "
-    )
-    for line in (r"\s*\d+\s*/\s*\d+\s*", r"\s*-\s*\d+\s*-\s*", r"\s*(?:19|20)\d{2}\s+\d{2}\s+\d{2}\s*", r"\s*[A-Za-z]{1,3}/[A-Za-z]{1,3}\s*"):
+    out = F.regexp_replace(text, PAGE_NUMBERS, " ")
+    for line in PAGE_LINES:
         out = F.regexp_replace(out, rf"(?m)^{line}$", " ")
     return collapsed(out)
 
 
 def drawing_labels(paragraphs: Column) -> Column:
     """Distinct normalised paragraphs that begin with `FIG. ` or `FIGS. `, in order."""
-    return F.array_distinct(F.filter(F.transform(paragraphs, normalized), lambda p: p.rlike(r"(?i)^FIGS?\.\s+.+")))
+    return F.array_distinct(F.filter(F.transform(paragraphs, normalized), lambda p: p.rlike(FIGURE_LABEL)))
 
 
 def confidence_band(confidence: Column) -> Column:

@@ -24,6 +24,19 @@ def search_path(number: Column) -> Column:
     return F.concat(F.lit("/published-data/search/biblio?q=pn%3D"), F.url_encode(number))
 
 
+def register_path(reference_type: Column, country: Column, number: Column) -> Column:
+    return F.concat(F.lit("/register/"), reference_type, F.lit("/epodoc/"), country, number, F.lit("/biblio"))
+
+
+def fulltext_path(constituent: str, lookup_number: Column) -> Column:
+    """Path of the description, the claims or the images of a publication."""
+    return F.concat(F.lit("/published-data/publication/epodoc/"), lookup_number, F.lit(f"/{constituent}"))
+
+
+def family_path(country: Column, number: Column, kind: Column) -> Column:
+    return F.concat(F.lit("/family/publication/docdb/"), country, F.lit("."), number, F.lit("."), F.coalesce(kind, F.lit("")), F.lit("/biblio"))
+
+
 def candidate_paths(reference_type: Column, lookup_number: Column, country: Column, number: Column, kind: Column) -> Column:
     """Distinct paths in the order in which they are tried."""
     full = F.concat(country, number)

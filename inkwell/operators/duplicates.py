@@ -30,13 +30,22 @@ def exact_classes(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return rows.join(classes, "digest").select(key, "class_id", "copies")
 
 
+def near_classes(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """key, class_id, copies, links: one row for each document with text; class_id is the
+    smallest key of the equal texts, links the number of other texts that are near it."""
+    pairs = near_pairs(documents, key, text, threshold)
+    links = pairs.select(F.explode(F.array("key_a", "key_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return exact_classes(documents, key, text).join(links, "class_id", "left").select(key, "class_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def near_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of class representatives (key_a, key_b, shared, jaccard); with exact_classes()
     they say which documents are near duplicates without listing pairs of copies."""
     rows = documents.filter(F.col(text).isNotNull() & (F.col(text) != ""))
     # Units are taken where the text is read and pass the shuffle in its place; behind it they
     # are a plain column, which the grams address by position.
-    rows = rows.select(key, F.sha2(F.col(text), 256).alias("digest"), tx.unit_tokens(F.col(text)).alias("tokens"))
+    rows = rows.select(key, F.col(text).alias("text"), F.sha2(F.col(text), 256).alias("digest"))
+    rows = tx.with_nfkc(rows, "text").select(key, "digest", tx.unit_tokens(F.col("text")).alias("tokens"))
     reps = rows.groupBy("digest").agg(F.min(key).alias(key), F.any_value("tokens").alias("tokens"))
     # Grams travel as 64-bit hashes; a collision within one pair of texts would need 2^-64.
     sets = reps.select(key, tx.five_grams(F.col("tokens")).alias("grams"))

@@ -32,8 +32,8 @@ def sectioned(rows: DataFrame, file_key: str, order: list[str], line: str = "lin
     first), is_heading and segment (number of headings so far). Heading rows are dropped
     unless `keep_headings`."""
     before = Window.partitionBy(file_key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = tx.heading_part(F.col(line))
-    rows = rows.withColumn("_own", own)
+    rows = tx.with_nfkc(rows.withColumn("_own", F.col(line)), "_own")  # full-width headings and digits
+    rows = rows.withColumn("_own", tx.heading_part(F.col("_own")))
     rows = rows.withColumn("part", F.coalesce(F.last("_own", ignorenulls=True).over(before), F.lit("unclassified")))
     rows = rows.withColumn("segment", F.sum(F.col("_own").isNotNull().cast("int")).over(before)).withColumn("is_heading", F.col("_own").isNotNull()).drop("_own")
     return rows if keep_headings else rows.filter(~F.col("is_heading"))
@@ -61,8 +61,10 @@ def lowest_confidence(confidence: Column) -> Column:
 
 def measured(drafts: DataFrame, file_key: str = "file_id", seq: str = "draft_id") -> DataFrame:
     """Drafts (file, part, seq, text, status, method, confidence) measured by file and part:
-    words, status (of the last draft with text, else of the last), method, confidence."""
+    words (of the text in NFKC), status, method, confidence. The last writer of a status is the
+    last draft with text, as blank ones write nothing; without any it is the last draft."""
     filled = F.trim(F.coalesce(F.col("text"), F.lit(""))) != ""
+    drafts = tx.with_nfkc(drafts, "text")
     d = drafts.withColumn("_words", F.coalesce(tx.count_units(F.col("text")), F.lit(0))).withColumn("_filled", filled)
     return d.groupBy(file_key, "part").agg(
         F.sum("_words").alias("word_count"),
@@ -100,6 +102,26 @@ def rolled_up(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.groupBy(*keys).agg(*sums, F.when(all_of("success"), "success").when(all_of("failed"), "failed").otherwise("partial").alias("status"))
 
 
+def marked_errors(parts: DataFrame, errors: DataFrame, file_key: str = "file_id") -> tuple[DataFrame, DataFrame]:
+    """`parts` as by measured() and `errors` (file_key, part, message): (parts, warnings). A part
+    without words takes the status `error` (method ocr, confidence none), one with words stays;
+    either way the error is a warning: file_key, warnings (how many), messages in order."""
+    hit = errors.select(file_key, "part").distinct().withColumn("_hit", F.lit(True))
+    rows = parts.join(hit, [file_key, "part"], "full")
+    lost = F.col("_hit").isNotNull() & (F.coalesce("word_count", F.lit(0)) == 0)
+    marks = {"status": "error", "method": "ocr", "confidence": "none"}
+    rows = rows.select(file_key, "part", F.coalesce("word_count", F.lit(0)).alias("word_count"), *(F.when(lost, F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in marks.items()))
+    return rows, errors.groupBy(file_key).agg(F.count("*").alias("warnings"), F.array_sort(F.collect_list("message")).alias("messages"))
+
+
+def downgraded(files: DataFrame, pairs: DataFrame, key: str = "file_id") -> DataFrame:
+    """`files` with file_status `partial` in place of `success` where the file is one of a pair
+    of duplicates (key_a, key_b); counts stay."""
+    twins = pairs.select(F.explode(F.array("key_a", "key_b")).alias(key)).distinct().withColumn("_twin", F.lit(True))
+    rows = files.join(twins, key, "left")
+    return rows.withColumn("file_status", F.when(F.col("_twin").isNotNull() & (F.col("file_status") == "success"), "partial").otherwise(F.col("file_status"))).drop("_twin")
+
+
 def cover_parts(pages: DataFrame, text: str = "text") -> DataFrame:
     """Adds abstract and figure_text of a cover page: the abstract is what follows the first
     abstract marker, up to the second or to another heading; figure text is taken from the

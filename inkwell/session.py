@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
-import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
         return set_dir
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), "inkwell-checkpoint")
-    os.makedirs(path, exist_ok=True)
-    return f"file://{path}"
+    return f"file://{_own_folder()}"
+
+
+@cache
+def _own_folder() -> str:
+    """A folder of this process, gone when it ends; for a local master only."""
+    path = tempfile.mkdtemp(prefix="inkwell-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,11 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for a table written by an operator."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Repartition to the number of shuffle partitions before work that is heavy per row;
     small files would otherwise put it all into one task."""

@@ -47,3 +47,10 @@ def test_exact_classes(spark):
     assert {tuple(r) for r in duplicates.exact_classes(df).collect()} == {(3, 1, 2), (1, 1, 2), (2, 2, 1)}
     assert duplicates.exact_classes(df.limit(0)).count() == 0
     assert duplicates.near_pairs(df.limit(0)).count() == 0
+
+
+def test_near_classes(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(5, base), (2, base), (3, base + " end"), (4, "other text"), (6, None), (7, base.replace("w1 ", "ｗ１ "))], "doc_id bigint, text string")
+    assert {tuple(r) for r in duplicates.near_classes(df).collect()} == {(5, 2, 2, 2), (2, 2, 2, 2), (3, 3, 1, 2), (4, 4, 1, 0), (7, 7, 1, 2)}
+    assert duplicates.near_classes(df.limit(0)).count() == 0

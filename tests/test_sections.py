@@ -47,3 +47,22 @@ def test_cover(spark):
     r = sections.cover_parts(spark.createDataFrame([(page,), ("no marker",)], "text string")).collect()
     assert (r[0].abstract, r[0].figure_text) == ("First line. Second line.", "FIG. 1")
     assert (r[1].abstract, r[1].figure_text) == ("", "")
+
+
+def test_full_width_headings_and_digits(spark):
+    pages = spark.createDataFrame([(1, 1, "Ｃｌａｉｍｓ\n１. Ａ valve ﬁt")], "file_id int, page_no int, text string")
+    rows = sections.sectioned(sections.lines(pages, "file_id", "page_no"), "file_id", ["page_no", "line_no"])
+    assert [(r.part, r.line) for r in rows.collect()] == [("claims", "１. Ａ valve ﬁt")]
+    drafts = spark.createDataFrame([(1, 1, "claims", "ｱ ﾊﾟ x", "found", "ocr", "high")], "file_id int, draft_id int, part string, text string, status string, method string, confidence string")
+    assert sections.measured(drafts).first().word_count == 3
+
+
+def test_errors_and_duplicates(spark):
+    parts = spark.createDataFrame([(1, "abstract", 5, "found", "xml", "high"), (1, "claims", 0, "missing", "none", "none")], "file_id int, part string, word_count bigint, status string, method string, confidence string")
+    errors = spark.createDataFrame([(1, "abstract", "b"), (1, "claims", "a"), (2, "claims", "c")], "file_id int, part string, message string")
+    rows, warnings = sections.marked_errors(parts, errors)
+    assert {(r.file_id, r.part, r.status, r.method) for r in rows.collect()} == {(1, "abstract", "found", "xml"), (1, "claims", "error", "ocr"), (2, "claims", "error", "ocr")}
+    assert {(r.file_id, r.warnings, tuple(r.messages)) for r in warnings.collect()} == {(1, 2, ("a", "b")), (2, 1, ("c",))}
+    files = spark.createDataFrame([(1, "success"), (2, "failed"), (3, "success"), (4, "partial")], "file_id int, file_status string")
+    pairs = spark.createDataFrame([(1, 2), (2, 4)], "key_a int, key_b int")
+    assert {tuple(r) for r in sections.downgraded(files, pairs).collect()} == {(1, "partial"), (2, "failed"), (3, "success"), (4, "partial")}

@@ -27,6 +27,25 @@ def test_stream_equals_batch(spark, tmp_path):
         map(tuple, latest(table, ["event_id"], ["created_at", "elapsed_ms"]).select("event_id", "elapsed_ms").collect())
     )
     assert events.current(spark, f"{tmp_path}/nowhere") is None
+    import os
+
+    assert len([x for x in os.listdir(f"{tmp_path}/store") if x.startswith("list=")]) <= 3
+
+
+def test_a_batch_touches_its_own_parts_only(spark, tmp_path):
+    import os
+
+    def put(n, rows):
+        spark.createDataFrame(rows, "k bigint, v bigint").coalesce(1).write.parquet(f"{tmp_path}/in/b{n}")
+        stream = spark.readStream.schema("k bigint, v bigint").parquet(f"{tmp_path}/in/*")
+        query = events.kept_latest(stream, f"{tmp_path}/s", ["k"], ["v"], parts=16).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    put(0, [(k, 0) for k in range(200)])
+    put(1, [(7, 5), (8, -1)])
+    assert {tuple(r) for r in events.current(spark, f"{tmp_path}/s").collect()} == {(k, 5 if k == 7 else 0) for k in range(200)}
+    assert len([x for x in os.listdir(f"{tmp_path}/s/version=1") if x.startswith("part=")]) <= 2
+    assert {tuple(r) for r in events.current(spark, f"{tmp_path}/s", before=1).collect()} == {(k, 0) for k in range(200)}
 
 
 def test_once(spark):

@@ -28,3 +28,15 @@ def test_nothing_else_imports_it():
     for path in (ROOT / "inkwell").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
             assert "inkwell.llm" not in path.read_text(encoding="utf-8"), path
+
+
+def test_the_other_tests_without_both_folders(tmp_path):
+    """The rest is copied without the two folders: everything imports, and tests pass."""
+    import shutil
+
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache")
+    shutil.copytree(ROOT, tmp_path / "rest", ignore=skip)
+    run = lambda *a: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *a], cwd=tmp_path / "rest", capture_output=True, text=True, timeout=600)
+    for args in (("tests/", "--collect-only"), ("tests/test_identifiers.py", "tests/test_integrity.py")):
+        done = run(*args)
+        assert done.returncode == 0, done.stdout + done.stderr
