@@ -31,11 +31,19 @@ SCRIPTS = [
 SAMPLE = 20_000  # characters that decide, as the standard has it
 
 
-def label_code(label: Column, default: str = "en") -> Column:
-    """The recogniser's code of a label, with or without region; `default` for others."""
+def _default_code(default: str | Column | None) -> Column:
+    if default is None:
+        return F.lit(None).cast("string")
+    if isinstance(default, str):
+        return F.lit(ALIASES.get(default, "en"))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), default), F.lit("en"))
+
+
+def label_code(label: Column, default: str | Column | None = "en") -> Column:
+    """The recogniser's code of a label, with or without region; that of `default` for others."""
     table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     plain = F.replace(F.lower(F.trim(F.coalesce(label, F.lit("")))), F.lit("-"), F.lit("_"))
-    return F.coalesce(F.element_at(table, plain), F.element_at(table, F.split_part(plain, F.lit("_"), F.lit(1))), F.lit(ALIASES.get(default, "en")))
+    return F.coalesce(F.element_at(table, plain), F.element_at(table, F.split_part(plain, F.lit("_"), F.lit(1))), _default_code(default))
 
 
 def tesseract_code(label: Column, default: str = "eng") -> Column:
@@ -52,9 +60,9 @@ def scores_of(sample: Column) -> dict[str, Column]:
     return {lang: sum((occurrences(sample, m) for m in marks), F.lit(0).cast("bigint")) for lang, marks in MARKERS.items()}
 
 
-def code_from(sample: Column, scores: dict[str, Column], default: str = "en") -> Column:
+def code_from(sample: Column, scores: dict[str, Column], default: str | Column | None = "en") -> Column:
     best = F.greatest(*scores.values())
-    out = F.lit(ALIASES.get(default, "en"))
+    out = _default_code(default)
     for lang in reversed(list(scores)):
         out = F.when((best > 0) & (scores[lang] == best), lang).otherwise(out)
     for code, pattern in reversed(SCRIPTS):
@@ -62,9 +70,9 @@ def code_from(sample: Column, scores: dict[str, Column], default: str = "en") ->
     return out
 
 
-def detected_code(text: Column, hint: Column | None = None, default: str = "en") -> Column:
+def detected_code(text: Column, hint: Column | None = None, default: str | Column | None = "en") -> Column:
     """The recogniser's code of a text: that of the hint if there is one, else by script, else
-    by markers, else the default."""
+    by markers, else the default (null, if that is None)."""
     sample = sample_of(F.coalesce(text, F.lit("")))
     found = code_from(sample, scores_of(sample), default)
     return found if hint is None else F.when(F.coalesce(F.trim(hint), F.lit("")) != "", label_code(hint, default)).otherwise(found)

@@ -115,14 +115,13 @@ def intake(files: DataFrame, key: str, name: str, size: str, most: int = 5, most
 def page_flags(listing: Column) -> Column:
     """Array of struct(page, part) of a page list: lines `<DP ... IMA=n AB|DE|CL|DR=1>`."""
     parts = {"AB": "abstract", "DE": "description", "CL": "claims", "DR": "description_drawings"}
+    names = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
     entries = F.regexp_extract_all(listing, F.lit(r"(?i)<DP\b([^>]*)>"), F.lit(1))
-
-    def flags(e: Column) -> Column:
-        page = F.regexp_extract(e, r"(?i)\bIMA=([^\s>]+)", 1)
-        each = F.array(*(F.when(e.rlike(rf"(?i)\b{k}=1\b"), F.struct(page.alias("page"), F.lit(v).alias("part"))) for k, v in parts.items()))
-        return F.filter(each, lambda x: x.isNotNull())
-
-    return F.filter(F.flatten(F.transform(entries, flags)), lambda x: x["page"] != "")
+    # The first flag of an entry says its part.
+    flags = F.transform(
+        entries, lambda e: F.struct(F.regexp_extract(e, r"(?i)\bIMA=([^\s>]+)", 1).alias("page"), F.element_at(names, F.upper(F.regexp_extract(e, r"(?i)\b(AB|DE|CL|DR)=1\b", 1))).alias("part"))
+    )
+    return F.filter(flags, lambda x: (x["page"] != "") & x["part"].isNotNull())
 
 
 def sheet_order(listing: Column, members: Column) -> Column:
