@@ -113,3 +113,79 @@ def rest_number(reference: Column) -> Column:
     normalized_number()): two-digit year for publications, as it is for applications."""
     doc = reference["doc_number"]
     return F.when(reference["country_code"] == "WO", F.concat(F.lit("WO"), F.substring(doc, 3, 20))).when(reference["country_code"] == "PCT", doc)
+
+
+def _some(x: Column) -> Column:
+    return F.nullif(x, F.lit(""))
+
+
+def _renumbered(reference: Column, country: Column, number: Column, kind: Column, display: Column | None = None) -> Column:
+    """`reference` as the publication of these parts: its number and lookup number follow them."""
+    kind = _some(kind)
+    plain = F.concat(country, number)
+    whole = F.concat(plain, F.coalesce(kind, F.lit("")))
+    parts = {
+        "normalized_number": whole, "display_number": whole if display is None else display, "country_code": country, "doc_number": number, "kind_code": kind,
+        "lookup_number": F.when((country == "EP") & kind.isNotNull(), F.concat(plain, F.lit("."), kind)).otherwise(plain), "reference_type": F.lit("publication"),
+    }
+    return F.struct(*(parts.get(f, reference[f]).alias(f) for f in FIELDS))
+
+
+def canonical(reference: Column, epodoc: Column, publication: Column) -> Column:
+    """A reference (struct of FIELDS) as the answer itself names it: by its epodoc id, else by the
+    publication it states (structs country, doc_number, kind), else as asked."""
+    pick = lambda c, own: F.coalesce(_some(epodoc[c]), _some(publication[c]), reference[own])
+    country = pick("country", "country_code")
+    return _renumbered(reference, country, without_country(pick("doc_number", "doc_number"), country), pick("kind", "kind_code"), reference["display_number"])
+
+
+def with_kind(reference: Column, kind: Column) -> Column:
+    """The European publication of that kind of the same document."""
+    return _renumbered(reference, F.lit("EP"), reference["doc_number"], kind)
+
+
+def published_as(reference: Column, publication: Column) -> Column:
+    """An application's publication as the register states it (struct country, doc_number, kind);
+    error `source_no_result` where it states none. Other references stay as they are."""
+    found = _renumbered(reference, F.coalesce(_some(publication["country"]), F.lit("EP")), publication["doc_number"], publication["kind"])
+    found = F.when(_some(publication["doc_number"]).isNotNull(), found).otherwise(_error("source_no_result"))
+    return F.when(reference["reference_type"] == "application", found).otherwise(reference)
+
+
+def application_kinds(kind: Column) -> Column:
+    """Kinds of publication that may hold the application as filed, in order."""
+    return F.when(kind.isin("A1", "A2"), F.array(kind)).otherwise(F.array(F.lit("A1"), F.lit("A2")))
+
+
+def publication_number(reference: Column, publication: Column) -> Column:
+    """Number of a publication: as selected, else that of a reference with a kind, else composed
+    of country, number and kind if all are known."""
+    country, number = F.coalesce(_some(publication["country"]), reference["country_code"]), F.coalesce(_some(publication["doc_number"]), reference["doc_number"])
+    return F.coalesce(_some(publication["selected_number"]), F.when(reference["kind_code"].isNotNull(), reference["normalized_number"]), F.concat(country, number, _some(publication["kind"])))
+
+
+def response_number(reference: Column, full: Column) -> Column:
+    """Number shown for an international publication: of an application that of its publication,
+    else as displayed, without kind."""
+    return F.when(reference["country_code"] == "PCT", _some(full)).otherwise(reference["display_number"])
+
+
+def pct_number(country: Column, number: Column) -> Column:
+    """`WO/2020/123456`, or `cc/number` for others; null if a part is missing."""
+    known = _some(country).isNotNull() & _some(number).isNotNull()
+    wo = (country == "WO") & (F.length(number) >= 10)
+    year = F.concat(F.lit("WO/"), F.substring(number, 1, 4), F.lit("/"), F.substring(number, 5, 1000))
+    return F.when(known, F.when(wo, year).otherwise(F.concat(country, F.lit("/"), number)))
+
+
+def service_identifiers(reference: Column) -> Column:
+    """Numbers under which a service may know a reference, in the order in which they are tried."""
+    with_its_kind = F.concat(reference["display_number"], reference["kind_code"])
+    tried = F.array(reference["normalized_number"], F.concat(F.lit("WO"), reference["doc_number"]), reference["display_number"], with_its_kind)
+    return F.array_distinct(F.filter(tried, lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def same_patent(a: Column, b: Column, source: str | None = None) -> Column:
+    """Whether two numbers, however written, are one patent; false where one isn't understood."""
+    x, y = (normalized_number(v, source) for v in (a, b))
+    return F.coalesce(x["error_code"].isNull() & y["error_code"].isNull() & (x["normalized_number"] == y["normalized_number"]), F.lit(False))

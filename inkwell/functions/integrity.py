@@ -59,3 +59,29 @@ def verified(key: bytes, purpose: str, receipt: Column, now: Column, ttl_seconds
 def iso_date(value: Column) -> Column:
     """YYYYMMDD as YYYY-MM-DD, anything else as it is."""
     return F.when(value.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(value, 1, 4), F.substring(value, 5, 2), F.substring(value, 7, 2))).otherwise(value)
+
+
+def iso_instant(at: Column) -> Column:
+    """A timestamp as text in UTC, whatever the session's zone."""
+    us = F.unix_micros(at)
+    rest = F.pmod(us, F.lit(86_400_000_000))
+    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int")).cast("string")
+    clock = F.concat(two(F.floor(rest / 3_600_000_000)), F.lit(":"), two(F.pmod(F.floor(rest / 60_000_000), F.lit(60))), F.lit(":"), two(F.pmod(F.floor(rest / 1_000_000), F.lit(60))))
+    return F.concat(day, F.lit("T"), clock, F.lit("Z"))
+
+
+def expires_at(now: Column, ttl_seconds: int) -> Column:
+    """When what is kept from now on runs out, a minute at the least; null for null."""
+    return iso_instant(F.timestamp_seconds(F.unix_seconds(now) + max(ttl_seconds, 60)))
+
+
+def bearer_matches(header: Column, key: str) -> Column:
+    """Whether an authorisation header bears the key. Digests are compared, not the texts."""
+    return F.coalesce(F.sha2(header, 256) == F.sha2(F.lit(f"Bearer {key}"), 256), F.lit(False))
+
+
+def error_body(code: Column, message: Column, source: Column, details: Column | None = None) -> Column:
+    """An error as JSON: {"error": {code, message, source, details}}."""
+    inner = F.struct(code.alias("code"), message.alias("message"), source.alias("source"), (F.lit(None).cast("string") if details is None else details).alias("details"))
+    return F.to_json(F.struct(inner.alias("error")), {"ignoreNullFields": "false"})

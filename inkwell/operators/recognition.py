@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import confidence_band
@@ -91,3 +91,19 @@ def first_success(attempts: DataFrame, key: str) -> DataFrame:
     before = F.filter("all", lambda w: w["rank"] <= F.col("r.rank"))
     warnings = F.array_distinct(F.flatten(F.transform(before, lambda w: F.coalesce(w["warnings"], F.array().cast("array<string>")))))
     return picked.select(key, "r.text", "r.confidence", "r.language", "r.provider", warnings.alias("warnings"))
+
+
+def installed(wanted: Column, present: list[str], default: str = "eng") -> Column:
+    """The wanted languages (array) that an engine has, in their order; its default if none."""
+    both = F.array_intersect(wanted, F.array(*map(F.lit, present)) if present else F.array().cast("array<string>"))
+    return F.when(F.size(both) > 0, both).otherwise(F.array(F.lit(default)))
+
+
+def diagnostics(results: DataFrame, name: str = "recognition") -> tuple[DataFrame, Observation]:
+    """`results` (RESULT) unchanged, and counts that are there when an action has run over it:
+    images, recognised, with_warnings, providers (sorted, distinct), mean confidence."""
+    seen = Observation(name)
+    return results.observe(
+        seen, F.count(F.lit(1)).alias("images"), F.count_if(F.trim("text") != "").alias("recognised"), F.count_if(F.size("warnings") > 0).alias("with_warnings"),
+        F.array_sort(F.collect_set("provider")).alias("providers"), F.avg("confidence").alias("confidence"),
+    ), seen

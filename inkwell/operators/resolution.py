@@ -14,6 +14,7 @@ NEXT_CANDIDATE = ["no_result"]
 NEXT_SOURCE = ["rate_limit", "unavailable", "invalid"]
 # Document codes of a publication in order of preference.
 PUBLICATION_CODES = ["PAMPH", "APBDY", "PUB", "A1", "A2"]
+ORIGINAL_CODES = ["PAMPH", "PUB", "A1", "A2"]  # of the older service
 
 
 def first_hit(requests: DataFrame, candidates: str, answers: DataFrame, key: str) -> DataFrame:
@@ -38,17 +39,17 @@ def with_fallback(primary: DataFrame, second: DataFrame, key: str, when: list[st
     )
 
 
-def code_rank(code: Column) -> Column:
+def code_rank(code: Column, codes: list[str] = PUBLICATION_CODES) -> Column:
     """Rank of a document code; unknown codes come last."""
-    table = F.create_map(*[F.lit(x) for i, c in enumerate(PUBLICATION_CODES) for x in (c, i)])
-    return F.coalesce(F.element_at(table, F.upper(code)), F.lit(len(PUBLICATION_CODES)))
+    table = F.create_map(*[F.lit(x) for i, c in enumerate(codes) for x in (c, i)])
+    return F.coalesce(F.element_at(table, F.upper(code)), F.lit(len(codes)))
 
 
-def publication_documents(documents: DataFrame, key: str) -> DataFrame:
+def publication_documents(documents: DataFrame, key: str, codes: list[str] = PUBLICATION_CODES) -> DataFrame:
     """Of each key's documents (document_id, document_code, pos) the publication: by code, then
     by position; of equal (document_id, document_code) the last one counts."""
     last = documents.groupBy(key, "document_id", "document_code").agg(F.max("pos").alias("pos"))
-    picked = last.groupBy(key).agg(F.min_by(F.struct("document_id", "document_code", "pos"), F.struct(code_rank(F.col("document_code")), "pos")).alias("d"))
+    picked = last.groupBy(key).agg(F.min_by(F.struct("document_id", "document_code", "pos"), F.struct(code_rank(F.col("document_code"), codes), "pos")).alias("d"))
     return picked.select(key, "d.*")
 
 

@@ -6,6 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +51,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def bounded(spark: SparkSession, seconds: float) -> Iterator[str]:
+    """Jobs started inside are cancelled after that many seconds, then TimeoutError; the tag that
+    it gives cancels them earlier (`cancelJobsWithTag`)."""
+    tag, late = f"bounded-{uuid.uuid4().hex}", threading.Event()
+    context = spark.sparkContext
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        yield tag
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"not done within {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Repartition to the number of shuffle partitions before work that is heavy per row;
     small files would otherwise put it all into one task."""
