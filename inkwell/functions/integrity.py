@@ -63,7 +63,7 @@ def iso_date(value: Column) -> Column:
 
 def iso_instant(at: Column) -> Column:
     """A timestamp as text in UTC, whatever the session's zone."""
-    us = F.unix_micros(at)
+    us = F.unix_micros(at.cast("timestamp"))
     rest = F.pmod(us, F.lit(86_400_000_000))
     two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int")).cast("string")
@@ -73,7 +73,7 @@ def iso_instant(at: Column) -> Column:
 
 def expires_at(now: Column, ttl_seconds: int) -> Column:
     """When what is kept from now on runs out, a minute at the least; null for null."""
-    return iso_instant(F.timestamp_seconds(F.unix_seconds(now) + max(ttl_seconds, 60)))
+    return iso_instant(F.timestamp_seconds(F.unix_seconds(now.cast("timestamp")) + max(ttl_seconds, 60)))
 
 
 def bearer_matches(header: Column, key: str) -> Column:

@@ -60,7 +60,8 @@ def latin_word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_units(spark: SparkSession, d: str) -> DataFrame:
-    tokens = table(spark, d, "documents").select(F.explode(tx.unit_tokens(F.col("text"))).alias("unit"))
+    docs = tx.with_nfkc(table(spark, d, "documents").select("text"), "text")
+    tokens = docs.select(F.explode(tx.unit_tokens(F.col("text"))).alias("unit"))
     counted = tokens.groupBy(F.lower("unit").alias("unit")).agg(F.count("*").alias("n"))
     return counted.orderBy(F.desc("n"), "unit").limit(100)
 
@@ -94,12 +95,14 @@ def cleaned_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drawing_pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ocr_pages").filter("text is not null").select("page_id", tx.drawing_like(F.col("text")).alias("drawing"))
+    pages = tx.with_nfkc(table(spark, d, "ocr_pages").filter("text is not null").select("page_id", "text"), "text")
+    return pages.select("page_id", tx.drawing_like(F.col("text")).alias("drawing"))
 
 
 def section_units(spark: SparkSession, d: str) -> DataFrame:
     rows = sections.lines(table(spark, d, "ocr_pages"), "file_id", "page_no")
     rows = sections.sectioned(rows, "file_id", ["page_no", "line_no"])
+    rows = tx.with_nfkc(rows, "line")
     return rows.groupBy("file_id", "part").agg(F.count("*").alias("lines"), F.sum(tx.count_units(F.col("line"))).alias("units"))
 
 
@@ -136,7 +139,7 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_containment(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "ocr_pages").filter("text is not null").select("file_id", "page_no", "page_id", "text")
+    pages = tx.with_nfkc(table(spark, d, "ocr_pages").filter("text is not null").select("file_id", "page_no", "page_id", "text"), "text")
     after = Window.partitionBy("file_id").orderBy("page_no", "page_id")
     rows = pages.withColumn("before", F.lag("text").over(after)).filter("before is not null")
     share = tx.containment(F.col("text"), F.col("before"))
@@ -198,8 +201,9 @@ def unlinked_responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def new_customers(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return store.inserted_if_absent(orders, table(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+    """Customers whose key no supplier has."""
+    taken = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"))
+    return store.inserted_if_absent(taken, table(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])
 
 
 def preferred_part(spark: SparkSession, d: str) -> DataFrame:
@@ -223,8 +227,9 @@ def bytes_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def expired_events(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "patent_lookup_events").select("event_id", "created_at")
-    now = rows.agg(F.max("created_at")).first()[0]
-    out = store.expired(rows, "created_at", F.lit(now).cast("timestamp"), 90 * 86400)
+    # A scalar subquery: the newest time is found when the plan runs, not while it is made.
+    now = rows.select("created_at").agg(F.max("created_at").cast("timestamp")).scalar()
+    out = store.expired(rows, "created_at", now, 90 * 86400)
     return out.groupBy(F.date_trunc("month", "created_at").alias("month")).agg(F.count("*").alias("expired"))
 
 
@@ -319,13 +324,21 @@ _WRONG = " + ".join(_sql_times("t", m) for m in tx.MOJIBAKE)
 _NUMBER_FIELDS = ", ".join(ids.FIELDS)
 _HEADING_VALUES = ", ".join(f"('{k}', '{p}')" for k, p in tx.heading_keys().items())
 _ALIAS_KEY = "regexp_replace(upper({x}), '[^A-Z0-9]', '', 'g')"
-_MEASURED = f"""
+MEASURED = f"""
     SELECT file_id, part, CAST(sum(w) AS BIGINT) AS word_count, max_by(status, (CAST(f AS INT), draft_id)) AS status,
       CASE count(DISTINCT CASE WHEN f AND coalesce(method, 'none') <> 'none' THEN method END) WHEN 0 THEN 'none'
         WHEN 1 THEN max(CASE WHEN f AND coalesce(method, 'none') <> 'none' THEN method END) ELSE 'mixed' END AS method,
       CASE min(CASE WHEN f THEN CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END END)
         WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'none' END AS confidence
     FROM (SELECT *, trim(coalesce(text, '')) <> '' AS f, coalesce({_sql_units('text')}, 0) AS w FROM part_drafts) GROUP BY file_id, part"""
+#: WITH clauses up to p: key_a, key_b, shared, jaccard of the near duplicates among distinct texts.
+NEAR = f"""WITH r AS (SELECT min(doc_id) AS k, text FROM documents WHERE text <> '' GROUP BY text), t AS (SELECT k, {_sql_tokens('text')} AS ts FROM r),
+    g AS (SELECT k, list_distinct(list_transform(range(1, len(ts) - 3), lambda i: lower(array_to_string(ts[i:i + 4], chr(1))))) AS gs FROM t WHERE len(ts) >= 5),
+    u AS (SELECT k, len(gs) AS n, unnest(gs) AS gram FROM g WHERE len(gs) >= 20), q AS (SELECT a.k AS key_a, b.k AS key_b, a.n AS na, b.n AS nb, count(*) AS shared FROM u a JOIN u b USING (gram) WHERE a.k < b.k GROUP BY ALL),
+    p AS (SELECT key_a, key_b, shared, round(shared / (na + nb - shared), 4) AS jaccard FROM q WHERE shared / (na + nb - shared) >= 0.8)"""
+_HEX = lambda pad: bytes(b ^ pad for b in RECEIPT_KEY.ljust(64, b"\0")).hex()
+_B64 = lambda x: f"translate(base64({x}), '+/=', '-_')"
+_SIGNED = _B64(f"unhex(sha256(unhex('{_HEX(0x5C)}') || unhex(sha256(unhex('{_HEX(0x36)}') || encode(payload)))))")
 _WORDS = ", ".join(f"CAST(coalesce(sum(word_count) FILTER (part = '{p}'), 0) AS BIGINT) AS {p}_words" for p in sections.PARTS)
 _BY_FILE = f"""
     SELECT f.*, document_text_words + drawing_words AS total_words,
@@ -333,7 +346,7 @@ _BY_FILE = f"""
     FROM (SELECT file_id, {_WORDS},
         CAST(coalesce(sum(word_count) FILTER (part IN ('abstract', 'description', 'claims', 'unclassified')), 0) AS BIGINT) AS document_text_words,
         CAST(coalesce(sum(word_count) FILTER (part IN ('abstract_drawing', 'description_drawings')), 0) AS BIGINT) AS drawing_words,
-        bool_or(status NOT IN ('missing', 'error')) AS has FROM ({_MEASURED}) GROUP BY file_id) f
+        bool_or(status NOT IN ('missing', 'error')) AS has FROM ({MEASURED}) GROUP BY file_id) f
     LEFT JOIN (SELECT file_id, sum(len(warnings)) AS warnings FROM ocr_pages GROUP BY file_id) USING (file_id)"""
 _FILE_COLUMNS = ", ".join(["file_id", *(f"{p}_words" for p in sections.PARTS), "document_text_words", "drawing_words", "total_words", "file_status"])
 
@@ -414,7 +427,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, len(u) > 0 AND regexp_matches(text, '\\d') AND (regexp_matches(text, '(?i)\\bfig(?:ure)?\\.?\\s*\\d+')
           OR (len(u) <= 30 AND len(list_filter(u, lambda x: regexp_matches(x, '^\\p{{Nd}}') OR length(x) <= 4)) * 2 >= len(u))) AS drawing
         FROM (SELECT page_id, text, {_sql_tokens('text')} AS u FROM ocr_pages WHERE text IS NOT NULL)""",
-    "part_measures": _MEASURED,
+    "part_measures": MEASURED,
     "file_words": f"SELECT {_FILE_COLUMNS} FROM ({_BY_FILE})",
     "type_rollup": f"""
         SELECT file_type, {', '.join(f'CAST(sum({p}_words) AS BIGINT) AS {p}_words' for p in sections.PARTS)}, CAST(sum(total_words) AS BIGINT) AS total_words, count(*) AS files,
@@ -467,7 +480,10 @@ ORACLE_SQL: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY loaded_at, created_at, outcome) = 1""",
     "linked_responses": "SELECT response_id, normalized_number FROM lookup_responses WHERE response_id IN (SELECT response_id FROM patent_lookup_events WHERE response_id IS NOT NULL)",
     "unlinked_responses": "SELECT response_id, normalized_number FROM lookup_responses WHERE response_id NOT IN (SELECT response_id FROM patent_lookup_events WHERE response_id IS NOT NULL)",
-    "new_customers": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "new_customers": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey IS NOT NULL)",
+    "near_duplicates": f"{NEAR} SELECT key_a, key_b, shared, jaccard FROM p",
+    "receipts": f"""SELECT n_nationkey, n_name, payload || '.' || {_SIGNED} AS receipt, true AS valid, false AS other_purpose FROM (SELECT *, {_B64("encode(body)")} AS payload FROM (
+        SELECT *, '{{"data":{{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}},"issued_at":1700000000,"purpose":"lookup"}}' AS body FROM nation))""",
     "preferred_part": """
         SELECT file_id, draft_id, part, status FROM part_drafts QUALIFY row_number() OVER (PARTITION BY file_id
           ORDER BY CASE part WHEN 'claims' THEN 0 WHEN 'description' THEN 1 WHEN 'abstract' THEN 2 WHEN 'unclassified' THEN 3 ELSE 9 END, draft_id) = 1""",

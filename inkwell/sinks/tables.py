@@ -96,4 +96,4 @@ def newest(documents: DataFrame, keys: list[str], at: str = "fetched_at", **want
     for column, value in wanted.items():
         if value is not None:
             documents = documents.filter(F.col(column) == value)
-    return first(documents.withColumn("_o", -F.unix_micros(F.col(at))), keys, ["_o"]).drop("_o")
+    return first(documents.withColumn("_o", -F.unix_micros(F.col(at).cast("timestamp"))), keys, ["_o"]).drop("_o")
