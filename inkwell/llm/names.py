@@ -8,7 +8,8 @@ tokens, permitting initials, nicknames and abbreviations. A class is linked to t
 class that it is aligned with, links are followed to their roots, and mentions of one root are
 one entity.
 
-Every full token of a name is indexed, each together with the first letters of the name's other
+The neighbourhoods are found among the distinct tokens; names then meet by whole tokens. Every
+full token of a name is indexed, each together with the first letters of the name's other
 tokens; those that are about as rare as its rarest are telling and look up the tokens of all
 other names. So neither common given names nor common words bring classes together, while
 `E. Moll` meets `Emil Moll` however frequent Moll is. Names whose telling tokens are all
@@ -340,14 +341,14 @@ def entities(mentions: DataFrame) -> DataFrame:
     letters = F.when(F.size("parts") > 1, F.array_distinct(F.transform(others, lambda p: F.substring(p["token"], 1, 1)))).otherwise(F.array(F.lit("")))
     full = classes.filter((F.size("parts") >= 2) | (F.col("class_kind") == "O")).withColumn("full", F.filter("parts", lambda p: ~p["token"].endswith(".")))
     full = full.withColumn("weight", F.struct(F.size("full").alias("full"), "n", "class")).withColumn("least", F.array_min("full.token_n")).withColumn("t", F.explode("full"))
-    index = full.select("class", "class_kind", "weight", "t.token", (F.col("t.token_n") <= RARE * F.col("least")).alias("telling"), F.explode(letters).alias("letter"))
-    index = index.withColumn("cut", F.explode(F.array_union(_deleted(F.col("token")), _deleted(F.regexp_replace("token", "([aou])e", "$1"))))).drop("token")
-    index = cut(index.groupBy("class", "class_kind", "weight", "letter", "cut").agg(F.max("telling").alias("telling")))
-
-    # Candidates: classes that share a form of a token that is telling in one of them, and the
-    # letter; each pair once, from the lighter class to the weightier one.
-    a, b = index.filter("telling").select("class_kind", "letter", "cut", F.col("weight").alias("x")), index.select("class_kind", "letter", "cut", F.col("weight").alias("y"))
-    met = a.join(b, ["class_kind", "letter", "cut"]).filter("x <> y").select(F.least("x", "y").alias("weight_a"), F.greatest("x", "y").alias("weight_b"))
+    index = full.select("class_kind", "weight", "t.token", (F.col("t.token_n") <= RARE * F.col("least")).alias("telling"), F.explode(letters).alias("letter"))
+    index = cut(index.groupBy("class_kind", "weight", "token", "letter").agg(F.max("telling").alias("telling")))
+
+    # Candidates: classes that have tokens within one edit, telling in one of them, and the letter;
+    # each pair once, from the lighter class to the weightier one.
+    met = index.filter("telling").join(_neighbours(index.select("class_kind", "token").distinct()), ["class_kind", "token"]).select("class_kind", "letter", F.col("other").alias("token"), F.col("weight").alias("x"))
+    met = met.join(index.select("class_kind", "letter", "token", F.col("weight").alias("y")), ["class_kind", "letter", "token"])
+    met = met.filter("x <> y").select(F.least("x", "y").alias("weight_a"), F.greatest("x", "y").alias("weight_b"))
     candidates = met.select(F.col("weight_a.class").alias("a"), F.col("weight_b.class").alias("b"), "weight_b").distinct()
     candidates = candidates.join(side.toDF("a", "ta", "ca", "fa"), "a").join(side.toDF("b", "tb", "cb", "fb"), "b")
     links = _verified(candidates).groupBy("a").agg(F.max_by("b", "weight_b").alias("parent"))
@@ -355,6 +356,19 @@ def entities(mentions: DataFrame) -> DataFrame:
     return spelt.join(roots.toDF("class", "root"), "class", "left").select("name", "kind", F.coalesce("root", "class").alias("entity"))
 
 
+def _neighbours(tokens: DataFrame) -> DataFrame:
+    """class_kind, token, other: the tokens (distinct) that `_match` may take for one, the token
+    itself included. Symmetric deletion on distinct tokens, so names meet by whole tokens."""
+    plain = lambda c: F.regexp_replace(c, "([aou])e", "$1")
+    forms = F.when(F.length("token") >= 4, F.array_union(_deleted(F.col("token")), _deleted(plain(F.col("token"))))).otherwise(F.array_distinct(F.array("token", plain(F.col("token")))))
+    cuts = tokens.select("class_kind", "token", F.explode(forms).alias("cut"))
+    both = cuts.join(cuts.withColumnRenamed("token", "other"), ["class_kind", "cut"])
+    a, b = F.col("token"), F.col("other")
+    long = (F.length(a) >= 4) & (F.length(b) >= 4)
+    fits = (a == b) | (plain(a) == plain(b)) | (long & (_close(a, b) | _close(plain(a), plain(b))))
+    return both.filter(fits).select("class_kind", "token", "other").distinct()
+
+
 def _followed(links: DataFrame) -> DataFrame:
     """(a, root): links to a weightier class followed to the end by pointer jumping; weights
     rise along a chain, so there are no cycles and the chain's length halves each round."""
