@@ -30,7 +30,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -51,7 +53,7 @@ RATE = 0.03  # misread words among all words
 PRIOR = 0.003  # probability of a confusion at one place before the corpus is looked at
 START = 0.03  # and from which the estimation sets out: too high a rate comes down, too low a one may not rise
 PRIOR_PLACES = 1000  # places in the corpus that weigh as much as that prior
-ROUNDS = 8  # of the estimation of the confusions
+ROUNDS = 6  # of the estimation of the confusions
 DOUBT = 20.0  # times the expected misreadings that a word's own count must exceed
 RATIO = 4  # times a word's count in distinct texts that an option must have, unless no right word looks like it
 SHORTEST = 2  # letters of the shortest right word
@@ -376,80 +378,100 @@ def _batch(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def _chains(r: dict) -> Iterator[list[dict]]:
-    """The neighbouring tokens of a run that have options, each chain with the words around it;
-    seq counts within the run."""
-    chain: list[dict] = []
-    for i, t in enumerate(r["tokens"]):
-        if t["options"] is None:
-            if chain:
-                chain[-1]["next"] = lm_form(t["word"])
-                yield chain
-            chain = []
-            continue
-        chain.append({**t, "seq": i, "prev": (lm_form(r["tokens"][i - 1]["word"]) if i else r["prev"]) if not chain else None, "next": None})
-    if chain:
-        chain[-1]["next"] = r["next"]
-        yield chain
-
-
-def _asked(chain: list[dict]) -> set[tuple[str, str]]:
+@dataclass(slots=True)
+class Token:
+    """A word of a chain with its options (text, shown, n, changed, chance); the first one of a
+    chain has prev and the last one next, the words around it."""
+
+    seq: int
+    word: str
+    other: str
+    total: int
+    options: list[tuple[str, str, int, bool, float]]
+    prev: str | None = None
+    next: str | None = None
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """(offsets, members) of a column of lists of structs, without a Python object a struct."""
+    offsets = column.offsets.to_numpy()
+    return offsets - offsets[0], column.flatten().flatten()
+
+
+def _chains(batch: pa.RecordBatch) -> Iterator[tuple[int, list[Token]]]:
+    """(row, chain) of the neighbouring tokens of a run that have options."""
+    at, (_, words, others, totals, options) = _flat(batch.column("tokens"))
+    words, others, totals, known = words.to_pylist(), others.to_pylist(), totals.to_pylist(), options.is_valid().to_pylist()
+    bounds, members = _flat(options)
+    held = list(zip(*(m.to_pylist() for m in members)))
+    prevs, nexts = batch.column("prev").to_pylist(), batch.column("next").to_pylist()
+    for row, (first, end) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        chain: list[Token] = []
+        for i in range(first, end):
+            if known[i]:
+                one = Token(i - first, words[i], others[i], totals[i], held[bounds[i] : bounds[i + 1]])
+                if not chain:
+                    one.prev = lm_form(words[i - 1]) if i > first else prevs[row]
+                chain.append(one)
+            elif chain:
+                chain[-1].next = lm_form(words[i])
+                yield row, chain
+                chain = []
+        if chain:
+            chain[-1].next = nexts[row]
+            yield row, chain
+
+
+def _asked(chain: list[Token]) -> set[tuple[str, str]]:
     """The bigrams that decoding a chain needs."""
     out = set()
-    for i, t in enumerate(chain):
-        texts = [o["text"] for o in t["options"]]
-        for before in [o["text"] for o in chain[i - 1]["options"]] if i else [t["prev"]]:
-            out.update((before, x) for x in texts if before is not None)
-    out.update((x["text"], chain[-1]["next"]) for x in chain[-1]["options"] if chain[-1]["next"] is not None)
+    before = [chain[0].prev] if chain[0].prev is not None else []
+    for t in chain:
+        texts = [o[0] for o in t.options]
+        out.update((b, x) for b in before for x in texts)
+        before = texts
+    if chain[-1].next is not None:
+        out.update((b, chain[-1].next) for b in before)
     return out
 
 
-def decode(chain: list[dict], pairs: dict[tuple[str, str], int]) -> list[str | None]:
+def decode(chain: list[Token], pairs: dict[tuple[str, str], int]) -> list[str | None]:
     """The displayed form chosen for each token of a chain (null: as it stands), by Viterbi.
-
-    A token has word, other, total, options (text, shown, n, changed, chance); the first one
-    prev and the last one next, the words around the chain. `pairs` counts bigrams."""
+    `pairs` counts bigrams."""
     best: list[list[tuple[float, int]]] = []
+    before: list[tuple[str | None, float]] = [(chain[0].prev, SMOOTH)]  # texts and weights of contexts
     for i, token in enumerate(chain):
-        opts, total = token["options"], max(token["total"], 1)
-        share = {o["text"]: o["chance"] for o in opts if o["changed"]}
-        broken = token["other"] != "\u0001"
-
-        def own(o: dict, mine: float, of: dict[str, float], loo: int) -> float:
-            """Counts of an option, those of the word as it stands less what its misreadings
-            and this very token explain."""
-            if o["changed"] or (broken and not share):
-                return mine
-            if _NO_WORD.search(o["text"]):
-                return 0.0
-            explained = sum(DOUBT * s * of.get(t, 0.0) for t, s in share.items())
-            return max(0.0, mine - (0 if broken else loo) - explained)
-
-        unigram = {o["text"]: o["n"] for o in opts}
-        before = chain[i - 1]["options"] if i else [None]
-        last = i + 1 == len(chain) and token["next"] is not None
+        total, broken = max(token.total, 1), token.other != "\u0001"
+        share = [(t, p) for t, _, _, changed, p in token.options if changed]
+        last = i + 1 == len(chain) and token.next is not None
         row = []
-        for o in opts:
-            p = own(o, o["n"], unigram, 1) / total + UNSEEN
-            after = {t: pairs.get((t, token["next"]), 0) for t in unigram} if last else {}
-            tail = (own(o, after[o["text"]], after, 1) + SMOOTH * 1e-4) / (o["n"] + SMOOTH) if last else 1.0
-            chance = share[o["text"]] if o["changed"] else 1 - RATE
-            here, scored = math.log(chance) + math.log(tail), []
-            for j, b in enumerate(before):
-                key = b["text"] if b else token["prev"]
-                pair = {t: pairs.get((key, t), 0) for t in unigram}
-                size = SMOOTH + (b["n"] if b else 0)
-                like = math.log((own(o, pair[o["text"]], pair, 1) + SMOOTH * p) / size)
-                scored.append((like + here + (best[-1][j][0] if b else 0.0), j))
+        for text, _, n, changed, chance in token.options:
+            # Counts of the word as it stands are less by what its misreadings and this very
+            # token explain; a word that can be none has none.
+            whole, never = changed or (broken and not share), not changed and _NO_WORD.search(text) is not None
+
+            def own(mine: float, of) -> float:
+                if whole:
+                    return mine
+                return 0.0 if never else max(0.0, mine - (0 if broken else 1) - sum(DOUBT * p * of(t) for t, p in share))
+
+            p = own(n, lambda t: next(o[2] for o in token.options if o[0] == t)) / total + UNSEEN
+            here = math.log(chance if changed else 1 - RATE)
+            if last:
+                here += math.log((own(pairs.get((text, token.next), 0), lambda t: pairs.get((t, token.next), 0)) + SMOOTH * 1e-4) / (n + SMOOTH))
+            scored = []
+            for j, (key, size) in enumerate(before):
+                like = math.log((own(pairs.get((key, text), 0), lambda t: pairs.get((key, t), 0)) + SMOOTH * p) / size)
+                scored.append((like + here + (best[-1][j][0] if i else 0.0), j))
             row.append(max(scored, key=lambda x: (x[0], -x[1])))
         best.append(row)
+        before = [(o[0], SMOOTH + o[2]) for o in token.options]
     out: list[str | None] = [None] * len(chain)
     at = None
     for i in range(len(chain) - 1, -1, -1):
-        row, opts = best[i], chain[i]["options"]
-        k = at if at is not None else max(range(len(row)), key=lambda x: (row[x][0], not opts[x]["changed"], -x))
-        o = opts[k]
-        out[i] = o["shown"] if o["changed"] or chain[i]["other"] != "\u0001" else None
+        row, options = best[i], chain[i].options
+        k = at if at is not None else max(range(len(row)), key=lambda x: (row[x][0], not options[x][3], -x))
+        out[i] = options[k][1] if options[k][3] or chain[i].other != "\u0001" else None
         at = row[k][1] if i else None
     return out
 
@@ -470,10 +492,13 @@ def findings(texts: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                rows += [(r["uid"], *q) for chain in _chains(r) for q in _asked(chain)]
-            yield _batch(rows, [pa.int64(), pa.string(), pa.string()], ["uid", "prev", "word"])
+            rows, prevs, words = [], [], []
+            for row, chain in _chains(batch):
+                for prev, word in _asked(chain):
+                    rows.append(row)
+                    prevs.append(prev)
+                    words.append(word)
+            yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(rows, pa.int64())), pa.array(prevs, pa.string()), pa.array(words, pa.string())], names=["uid", "prev", "word"])
 
     asked = runs.select("uid", "prev", "next", "tokens").mapInArrow(ask, "uid long, prev string, word string")
     bigrams = counted.filter("prev is not null").select("prev", "word", "n")
@@ -484,13 +509,17 @@ def findings(texts: DataFrame) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                pairs = {(p["prev"], p["word"]): p["n"] for p in r["pairs"] or []}
-                for chain in _chains(r):
-                    for t, shown in zip(chain, decode(chain, pairs)):
-                        if shown is not None:
-                            rows.append((r["rec"], r["rec_id"], r["line_no"], r["seq"] + t["seq"], "misread" if t["other"] == "\u0001" else "hyphen", t["word"], shown))
+            at, (prevs, words, counts) = _flat(batch.column("pairs"))
+            said = list(zip(zip(prevs.to_pylist(), words.to_pylist()), counts.to_pylist()))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("rec", "rec_id", "line_no", "seq"))))
+            rows, of, pairs = [], -1, {}
+            for row, chain in _chains(batch):
+                if row != of:
+                    of, pairs = row, dict(said[at[row] : at[row + 1]])
+                for t, shown in zip(chain, decode(chain, pairs)):
+                    if shown is not None:
+                        rec, rec_id, line, seq = keys[row]
+                        rows.append((rec, rec_id, line, seq + t.seq, "misread" if t.other == "\u0001" else "hyphen", t.word, shown))
             yield _batch(rows, types, names)
 
     chosen = runs.join(answered, "uid", "left").mapInArrow(choose, "rec string, rec_id bigint, line_no int, seq int, kind string, word string, repaired string")
