@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +130,17 @@ class Model:
     bias: np.ndarray
     temperature: float
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Rows of 32 bytes: only differences of scores matter, so the last language is 0. Built
+        once in each worker."""
+        out = np.zeros((2**BITS + 1, len(LANGUAGES) - 1), np.float32)
+        out[:-1] = self.weights[:, :-1] - self.weights[:, -1:]
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities (texts x languages) and the number of letters' n-grams."""
         # The weights of the n-grams at a position are added up, then those of a text by
@@ -137,10 +148,7 @@ class Model:
         if not texts:
             return np.zeros((0, len(LANGUAGES))), np.zeros(0)
         codes, marks = _codes(texts)
-        # Only differences of scores matter, so the last language is 0 and rows of the table
-        # are 32 bytes.
-        table = np.zeros((2**BITS + 1, len(LANGUAGES) - 1), np.float32)
-        table[:-1] = self.weights[:, :-1] - self.weights[:, -1:]
+        table = self.table
         at = np.zeros((len(codes), len(LANGUAGES) - 1), np.float32)
         row, total = np.empty_like(at), np.zeros(len(texts))
         for ids in _hashed(codes):
@@ -301,8 +309,10 @@ def segments(texts: DataFrame, model: Model) -> DataFrame:
     """`texts` has rec, rec_id, label, mixed (whether paragraphs are judged one by one), text.
     Rows rec, rec_id, label, seg_no, lang, confidence, n_segments of each run."""
     schema = "rec string, rec_id bigint, label string, seg_no int, lang string, confidence double, n_segments int"
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2 ** BITS rows
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             rows = [r for r in batch.to_pylist() if r["text"]]
             out, part, size = [], [], 0
