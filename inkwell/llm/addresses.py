@@ -83,7 +83,8 @@ AFTER = {
 }
 COMPOUND = {"strasse": "strasse str", "weg": "weg wg", "allee": "allee", "platz": "platz pl", "gasse": "gasse", "damm": "damm", "ufer": "ufer"}
 SIDES = {"n": "north", "s": "south", "e": "east", "w": "west", "north": "north", "south": "south", "east": "east", "west": "west"}
-TOWN_ENDS = {"falls", "springs", "heights", "city", "beach", "hills", "park", "grove"}
+# States that stand before a postcode.
+STATES = set("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split())
 
 
 def _table(values: dict[str, str]) -> dict[str, str]:
@@ -200,6 +201,8 @@ def parse(address: str | None, country: str | None, before_first: bool = True) -
             given = given or named
             continue
         segments.append(s.replace("c/", "c ").split())
+    if segments:
+        given, segments[-1] = _without_country(segments[-1], given)
     first["country"] = given
     at, spans = _street(segments, before_first)
     out = []
@@ -233,8 +236,21 @@ def _without_postcode(text: str, given: str) -> tuple[str, str, str]:
     m = codes[0]
     head = text[: m.start()]
     state = re.search(r"(?<=[\s,])([A-Z]{2})\s*$", head)  # IL 62701, DE 10117
-    hint = _COUNTRY.get((m.group(1) or (state.group(1) if state else "")).lower(), "")
-    return given or hint, (head[: state.start()] if state else head) + " ; " + text[m.end() :], m.group(2)
+    before = state.group(1) if state else ""
+    hint = _COUNTRY.get((m.group(1) or before).lower(), "")
+    known = before in STATES and len(m.group(2)) == 5 or bool(before and hint) and given in ("", hint)
+    return given or hint, (head[: state.start()] if known else head) + " ; " + text[m.end() :], m.group(2)
+
+
+def _without_country(words: list[str], given: str) -> tuple[str, list[str]]:
+    """(country, words without a country at their end that no separator sets off). A code of two
+    letters is one only where it says the country that is given, or none is."""
+    for k in (4, 3, 2, 1):
+        said = re.sub(r"[^a-z]+", " ", " ".join(words[-k:])).strip()
+        code = _COUNTRY.get(said) if len(words) > k and len(said) > 1 else None
+        if code and not any(c.isdigit() for w in words[-k:] for c in w) and (len(said) > 3 or given in ("", code)):
+            return given or code, words[:-k]
+    return given, words
 
 
 def _beside_street(text: str, m: re.Match) -> bool:
@@ -338,7 +354,7 @@ def _type_after(words: list[str], town: bool) -> list[tuple[str, str, set[int]]]
         kind = _type_of(w, _AFTER)
         if not kind or not i or _number(words[i - 1]) or not re.search(r"[a-z]{3}", words[i - 1]):
             continue
-        while i + 1 < len(words) and _type_of(words[i + 1], _AFTER) and words[i + 1].strip(".") not in LINKS:
+        while i + 1 < len(words) and words[i + 1].strip(".") in _AFTER and words[i + 1].strip(".") not in LINKS:
             i += 1
             kind = _type_of(words[i], _AFTER)
         marks = [k for k in range(i) if _number(words[k]) or words[k].strip(".#") in ("no", "nr", "")]

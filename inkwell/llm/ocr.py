@@ -53,7 +53,7 @@ RATE = 0.03  # misread words among all words
 PRIOR = 0.003  # probability of a confusion at one place before the corpus is looked at
 START = 0.03  # and from which the estimation sets out: too high a rate comes down, too low a one may not rise
 PRIOR_PLACES = 1000  # places in the corpus that weigh as much as that prior
-ROUNDS = 6  # of the estimation of the confusions
+ROUNDS = 4  # of the estimation of the confusions
 DOUBT = 20.0  # times the expected misreadings that a word's own count must exceed
 RATIO = 4  # times a word's count in distinct texts that an option must have, unless no right word looks like it
 SHORTEST = 2  # letters of the shortest right word

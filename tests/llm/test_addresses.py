@@ -85,3 +85,15 @@ def test_a_missing_country_is_that_of_the_gazetteer(spark):
     rows = [("Ringstrasse 5, 1010 Neustadt", "AT")] * 3 + [("Ringstrasse 5, 1010 Neustadt", "")]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "rep_id bigint, address string, country string")
     assert {r.building for r in addresses.buildings(df).collect()} == {0}
+
+
+@pytest.mark.parametrize(
+    ("address", "country", "street", "town"),
+    [
+        ("9845 Dakramont Floor 3 3 rue Gribravax Belgium", "Belgium", "gribravax", "dakramont"), ("21608 Miposumont Gebäude B 27 r. Stofogus fr", "fr", "stofogus", "miposumont"),
+        ("48 DURIBROT AV 28441", "USA", "duribrot", ""), ("66 Drizoluk Boulevard Drike Falls 41645 USA", "USA", "drizoluk", "drike falls"), ("5 Oak Street, Springfield IL 62701", "", "oak", "springfield"),
+    ],
+)
+def test_countries_states_and_types_end_where_they_should(address, country, street, town):
+    (p,) = {(p["street"], p["town"]) for p in addresses.hypotheses(address, country)}
+    assert p == (street, town)
