@@ -327,13 +327,18 @@ def _in_table(table: bytes, word: str) -> bool:
     return True
 
 
+_NO_MARKS = dict.fromkeys((1, 2, 3), "\ufffd")  # these set off the parts of a run
+
+
 def _emit(texts: DataFrame, table: Broadcast) -> DataFrame:
     """Running lines and runs of all texts: rec, rec_id, line_no, seq, kind (`header`,
-    `pageno`, `run`), prev, next, run. A run holds neighbouring words of a line that may have
-    options or are broken, seq is the place of its first one."""
-    schema = "rec string, rec_id bigint, line_no int, seq int, kind string, prev string, next string, run array<struct<word:string,other:string>>"
-    names = ["rec", "rec_id", "line_no", "seq", "kind", "prev", "next", "run"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("word", pa.string()), ("other", pa.string())]))]
+    `pageno`, `run`), run. A run holds neighbouring words of a line that may have options or are
+    broken, each with what it is joined with a hyphen (U+0001 for words that aren't broken), and
+    before them the words around it; parts are set off by U+0002, a missing word is U+0003. seq
+    is the place of its first word."""
+    schema = "rec string, rec_id bigint, line_no int, seq int, kind string, run string"
+    names = ["rec", "rec_id", "line_no", "seq", "kind", "run"]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = table.value, {}
@@ -343,13 +348,13 @@ def _emit(texts: DataFrame, table: Broadcast) -> DataFrame:
                 if not text:
                     continue
                 stream = []
-                for t in tokens(text):
+                for t in tokens(text.translate(_NO_MARKS)):
                     if t[1] in ("word", "hyphen"):
                         stream.append(t)
                     else:
-                        rows.append((rec, key, t[0], 0, t[1], None, None, None))
+                        rows.append((rec, key, t[0], 0, t[1], None))
                 forms = [lm_form(t[2]) for t in stream]
-                run: list[dict] = []
+                run: list[str] = []
                 for k, (line, kind, word, other) in enumerate(stream):
                     may = kind == "hyphen"
                     if not may:
@@ -357,11 +362,12 @@ def _emit(texts: DataFrame, table: Broadcast) -> DataFrame:
                         if may is None:
                             may = known[word] = _in_table(bits, word)
                     if may:
-                        run.append({"word": word, "other": other if kind == "hyphen" else "\u0001"})
+                        run += (word, other if kind == "hyphen" else "\u0001")
                     if run and (not may or k + 1 == len(stream) or stream[k + 1][0] != line):
                         end = k if may else k - 1
-                        start = end - len(run) + 1
-                        rows.append((rec, key, stream[end][0], start, "run", forms[start - 1] if start else None, forms[end + 1] if end + 1 < len(forms) else None, run))
+                        start = end - len(run) // 2 + 1
+                        around = (forms[start - 1] if start else "\u0003", forms[end + 1] if end + 1 < len(forms) else "\u0003")
+                        rows.append((rec, key, stream[end][0], start, "run", "\u0002".join((*around, *run))))
                         run = []
                 if len(rows) > 50_000:
                     yield _batch(rows, types, names)
@@ -482,11 +488,14 @@ def findings(texts: DataFrame) -> DataFrame:
     counted = cut(counts(texts))
     opts = cut(options(counted))
     table = texts.sparkSession.sparkContext.broadcast(_bit_table(opts.filter("other = '\u0001'").select("word")))
-    emitted = cut(_emit(texts, table).withColumn("uid", F.monotonically_increasing_id()))
-    at = F.struct("rec", "rec_id", "line_no", "seq", "prev", "next").alias("at")
-    words = emitted.filter("kind = 'run'").select("uid", at, F.posexplode("run").alias("i", "t")).select("uid", "at", "i", "t.word", "t.other")
-    # A skewed word (a misreading in a third of all rows) is split by adaptive execution.
-    with_options = words.join(opts, ["word", "other"], "left")
+    emitted = cut(_emit(texts, table))
+    # Equal runs, as in copies of a page, are decoded once.
+    distinct = cut(emitted.filter("kind = 'run'").select("run").distinct().withColumn("uid", F.monotonically_increasing_id()))
+    part = F.split("run", "\u0002")
+    around = F.struct("run", *(F.nullif(part[k], F.lit("\u0003")).alias(c) for k, c in enumerate(("prev", "next")))).alias("at")
+    words = distinct.withColumn("p", part).select("uid", around, F.posexplode(F.transform(F.sequence(F.lit(1), (F.size("p") / 2 - 1).cast("int")), lambda k: F.struct(F.get("p", (2 * k).cast("int")).alias("word"), F.get("p", (2 * k + 1).cast("int")).alias("other")))).alias("i", "t"))
+    # A skewed word is split by adaptive execution.
+    with_options = words.select("uid", "at", "i", "t.word", "t.other").join(opts, ["word", "other"], "left")
     runs = with_options.groupBy("uid").agg(F.any_value("at").alias("at"), F.array_sort(F.collect_list(F.struct("i", "word", "other", "total", "options"))).alias("tokens"))
     runs = cut(runs.filter(F.exists("tokens", lambda t: t["options"].isNotNull())).select("uid", "at.*", "tokens"))
 
@@ -504,27 +513,27 @@ def findings(texts: DataFrame) -> DataFrame:
     bigrams = counted.filter("prev is not null").select("prev", "word", "n")
     answered = asked.join(bigrams, ["prev", "word"]).groupBy("uid").agg(F.collect_list(F.struct("prev", "word", "n")).alias("pairs"))
 
-    names = ["rec", "rec_id", "line_no", "seq", "kind", "word", "repaired"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    names = ["run", "i", "kind", "word", "repaired"]
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, (prevs, words, counts) = _flat(batch.column("pairs"))
             said = list(zip(zip(prevs.to_pylist(), words.to_pylist()), counts.to_pylist()))
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("rec", "rec_id", "line_no", "seq"))))
+            keys = batch.column("run").to_pylist()
             rows, of, pairs = [], -1, {}
             for row, chain in _chains(batch):
                 if row != of:
                     of, pairs = row, dict(said[at[row] : at[row + 1]])
                 for t, shown in zip(chain, decode(chain, pairs)):
                     if shown is not None:
-                        rec, rec_id, line, seq = keys[row]
-                        rows.append((rec, rec_id, line, seq + t.seq, "misread" if t.other == "\u0001" else "hyphen", t.word, shown))
+                        rows.append((keys[row], t.seq, "misread" if t.other == "\u0001" else "hyphen", t.word, shown))
             yield _batch(rows, types, names)
 
-    chosen = runs.join(answered, "uid", "left").mapInArrow(choose, "rec string, rec_id bigint, line_no int, seq int, kind string, word string, repaired string")
+    chosen = runs.join(answered, "uid", "left").mapInArrow(choose, "run string, i int, kind string, word string, repaired string")
+    placed = emitted.filter("kind = 'run'").drop("kind").join(chosen, "run").select("rec", "rec_id", "line_no", (F.col("seq") + F.col("i")).alias("seq"), "kind", "word", "repaired")
     plain = emitted.filter("kind <> 'run'").select("rec", "rec_id", "line_no", "seq", "kind", F.lit("").alias("word"), F.lit("").alias("repaired"))
-    return plain.unionByName(chosen)
+    return plain.unionByName(placed)
 
 
 def stacked(pages: DataFrame, drafts: DataFrame) -> DataFrame:
