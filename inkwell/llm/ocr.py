@@ -61,6 +61,8 @@ SMOOTH = 5.0  # weight of the unigram in the bigram likelihood
 UNSEEN = 1e-9
 TABLE_BITS = 26  # of the table that says which words have options: 8 MB
 
+_NO_MARKS = dict.fromkeys((1, 2, 3), "\ufffd")  # these set off the parts of keys and runs
+
 _D = r"[0-9OoIl]"
 _PUB = rf"(?:[A-Z]{{2}}\s?[/-]?\s?{_D}{{1,4}}(?:[\s./,-]{{0,2}}{_D}){{2,14}}(?:\s?[ABCTU]{_D}?)?)"
 _PCT = rf"(?:PCT\s?/\s?[A-Z]{{2}}\s?{_D}{{2,4}}\s?/\s?{_D}{{3,7}})"
@@ -78,6 +80,10 @@ _NO_WORD = re.compile(r"[\d(]")  # no right word holds these beside letters
 _NUMERAL = re.compile(r"[\d.,/%°x×()-]+[a-z]?")
 
 
+def _unmarked(text: str) -> str:
+    return text.translate(_NO_MARKS) if "\u0001" in text or "\u0002" in text or "\u0003" in text else text
+
+
 def running(line: str) -> str | None:
     """`header` or `pageno` if the line is running matter, else None."""
     if HEADER.match(line):
@@ -173,48 +179,62 @@ def _correctable(word: str) -> bool:
     return not _NUMERAL.fullmatch(word) and any(c.isalpha() for c in word)
 
 
+WORD, PAIR, BROKEN = 0, 1, 2  # what a count is of
+
+
 def counts(texts: DataFrame) -> DataFrame:
-    """(prev, word, other, n, once): words (prev null), bigrams (prev set) and broken words
-    (other set) of all texts, added up within each batch before the shuffle; once counts those
-    of equal texts once."""
+    """(kind, key, n, once): words, bigrams (`first U+0002 second`) and broken words (`joined
+    U+0002 with its hyphen`) of all texts, added up within each batch before the shuffle; once
+    counts those of equal texts once (words only)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
         once: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            keys = list(seen)
-            arrays = [pa.array([k[j] for k in keys], pa.string()) for j in range(3)]
-            numbers = [pa.array([c[k] for k in keys], pa.int64()) for c in (seen, once)]
-            batch = pa.RecordBatch.from_arrays([*arrays, *numbers], names=["prev", "word", "other", "n", "once"])
-            seen.clear()
-            once.clear()
-            return batch
+            keys = [k for c in seen for k in c]
+            kinds = np.repeat(np.array([WORD, PAIR, BROKEN], np.int8), [len(c) for c in seen])
+            n = pa.array([x for c in seen for x in c.values()], pa.int64())
+            alone = pa.array([once[k] for k in seen[WORD]] + [0] * (len(keys) - len(seen[WORD])), pa.int64())
+            for c in (*seen, once):
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys, pa.string()), n, alone], names=["kind", "key", "n", "once"])
 
         for batch in batches:
             for text, copies in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist()):
                 if not text:
                     continue
+                found: tuple[list[str], list[str], list[str]] = ([], [], [])
                 prev = None
-                for _, kind, word, other in tokens(text):
-                    if kind == "hyphen":
-                        seen[(None, word, other)] += copies
-                        prev = word
-                    elif kind == "word":
-                        form = lm_form(word)
-                        seen[(None, form, None)] += copies
-                        once[(None, form, None)] += 1
+                for _, kind, word, other in tokens(_unmarked(text)):
+                    if kind == "word":
+                        form = word if word.isalpha() else lm_form(word)
+                        found[WORD].append(form)
                         if prev is not None:
-                            seen[(prev, form, None)] += copies
+                            found[PAIR].append(f"{prev}\u0002{form}")
                         prev = form
-                if len(seen) > 400_000:
+                    elif kind == "hyphen":
+                        found[BROKEN].append(f"{word}\u0002{other}")
+                        prev = word
+                once.update(found[WORD])
+                for counter, keys in zip(seen, found):
+                    if copies == 1:
+                        counter.update(keys)
+                    else:
+                        for k in keys:
+                            counter[k] += copies
+                if len(seen[PAIR]) > 300_000:
                     yield flush()
-        if seen:
+        if any(seen):
             yield flush()
 
     distinct = spread(texts.groupBy("text").agg(F.count("*").alias("copies")))
-    rows = distinct.mapInArrow(count, "prev string, word string, other string, n long, once long")
-    return rows.groupBy("prev", "word", "other").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
+    rows = distinct.mapInArrow(count, "kind tinyint, key string, n long, once long")
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
+
+
+def _vocabulary(counted: DataFrame) -> DataFrame:
+    return counted.filter(F.col("kind") == WORD).select(F.col("key").alias("word"), "n", "once")
 
 
 def _tried(counted: DataFrame) -> DataFrame:
@@ -222,7 +242,8 @@ def _tried(counted: DataFrame) -> DataFrame:
     nothing speaks for the word), text, shown, path (numbers of confusions, empty for the word
     as it stands), n (count of text in the corpus); own_once and known_once count distinct
     texts."""
-    observed = counted.filter("prev is null").select("word", "other", "once")
+    parts = F.split("key", "\u0002")
+    observed = counted.filter(F.col("kind") != PAIR).select(parts[0].alias("word"), F.when(F.col("kind") == BROKEN, parts[1]).alias("other"), "once")
 
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +264,7 @@ def _tried(counted: DataFrame) -> DataFrame:
     names = ["word", "other", "own_n", "own_once", "text", "shown", "path"]
     types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
     tried = observed.mapInArrow(undo, "word string, other string, own_n long, own_once long, text string, shown string, path array<int>")
-    known = counted.filter("prev is null and other is null").select(F.col("word").alias("text"), "n", F.col("once").alias("known_once"))
+    known = _vocabulary(counted).select(F.col("word").alias("text"), "n", F.col("once").alias("known_once"))
     return tried.join(known, "text", "left")
 
 
@@ -266,7 +287,7 @@ def confusion_rates(counted: DataFrame, hits: DataFrame) -> list[float]:
                         total[k] += n * word.count(meant)
         yield _batch(list(enumerate(total)), [pa.int32(), pa.int64()], ["k", "n"])
 
-    vocabulary = counted.filter("prev is null and other is null").select("word", "once")
+    vocabulary = _vocabulary(counted).select("word", "once")
     # One row for each confusion.
     at = {r.k: r.n for r in vocabulary.mapInArrow(places, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     words = hits.filter(f"other is null and size(path) = 1 and known_once >= {RATIO} * own_once").groupBy("word").agg(
@@ -292,7 +313,7 @@ def options(counted: DataFrame) -> DataFrame:
     """For each distinct word or broken word that has options: (word, other, total, options)
     with options an array of struct(text, shown, n, changed, chance), chance the probability
     that text is read as the word."""
-    total = counted.filter("prev is null and other is null").agg(F.sum("n")).first()[0] or 0
+    total = _vocabulary(counted).agg(F.sum("n")).first()[0] or 0
     hits = cut(_tried(counted))
     rate = F.array(*(F.lit(r) for r in confusion_rates(counted, hits)))
     chance = F.aggregate("path", F.lit(1.0), lambda p, k: p * F.get(rate, k))
@@ -327,9 +348,6 @@ def _in_table(table: bytes, word: str) -> bool:
     return True
 
 
-_NO_MARKS = dict.fromkeys((1, 2, 3), "\ufffd")  # these set off the parts of a run
-
-
 def _emit(texts: DataFrame, table: Broadcast) -> DataFrame:
     """Running lines and runs of all texts: rec, rec_id, line_no, seq, kind (`header`,
     `pageno`, `run`), run. A run holds neighbouring words of a line that may have options or are
@@ -348,7 +366,7 @@ def _emit(texts: DataFrame, table: Broadcast) -> DataFrame:
                 if not text:
                     continue
                 stream = []
-                for t in tokens(text.translate(_NO_MARKS)):
+                for t in tokens(_unmarked(text)):
                     if t[1] in ("word", "hyphen"):
                         stream.append(t)
                     else:
@@ -428,20 +446,20 @@ def _chains(batch: pa.RecordBatch) -> Iterator[tuple[int, list[Token]]]:
             yield row, chain
 
 
-def _asked(chain: list[Token]) -> set[tuple[str, str]]:
+def _asked(chain: list[Token]) -> set[str]:
     """The bigrams that decoding a chain needs."""
     out = set()
     before = [chain[0].prev] if chain[0].prev is not None else []
     for t in chain:
         texts = [o[0] for o in t.options]
-        out.update((b, x) for b in before for x in texts)
+        out.update(f"{b}\u0002{x}" for b in before for x in texts)
         before = texts
     if chain[-1].next is not None:
-        out.update((b, chain[-1].next) for b in before)
+        out.update(f"{b}\u0002{chain[-1].next}" for b in before)
     return out
 
 
-def decode(chain: list[Token], pairs: dict[tuple[str, str], int]) -> list[str | None]:
+def decode(chain: list[Token], pairs: dict[str, int]) -> list[str | None]:
     """The displayed form chosen for each token of a chain (null: as it stands), by Viterbi.
     `pairs` counts bigrams."""
     best: list[list[tuple[float, int]]] = []
@@ -464,10 +482,10 @@ def decode(chain: list[Token], pairs: dict[tuple[str, str], int]) -> list[str |
             p = own(n, lambda t: next(o[2] for o in token.options if o[0] == t)) / total + UNSEEN
             here = math.log(chance if changed else 1 - RATE)
             if last:
-                here += math.log((own(pairs.get((text, token.next), 0), lambda t: pairs.get((t, token.next), 0)) + SMOOTH * 1e-4) / (n + SMOOTH))
+                here += math.log((own(pairs.get(f"{text}\u0002{token.next}", 0), lambda t: pairs.get(f"{t}\u0002{token.next}", 0)) + SMOOTH * 1e-4) / (n + SMOOTH))
             scored = []
             for j, (key, size) in enumerate(before):
-                like = math.log((own(pairs.get((key, text), 0), lambda t: pairs.get((key, t), 0)) + SMOOTH * p) / size)
+                like = math.log((own(pairs.get(f"{key}\u0002{text}", 0), lambda t: pairs.get(f"{key}\u0002{t}", 0)) + SMOOTH * p) / size)
                 scored.append((like + here + (best[-1][j][0] if i else 0.0), j))
             row.append(max(scored, key=lambda x: (x[0], -x[1])))
         best.append(row)
@@ -501,25 +519,24 @@ def findings(texts: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, prevs, words = [], [], []
+            rows, keys = [], []
             for row, chain in _chains(batch):
-                for prev, word in _asked(chain):
-                    rows.append(row)
-                    prevs.append(prev)
-                    words.append(word)
-            yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(rows, pa.int64())), pa.array(prevs, pa.string()), pa.array(words, pa.string())], names=["uid", "prev", "word"])
+                asked = _asked(chain)
+                keys += asked
+                rows += [row] * len(asked)
+            yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], names=["uid", "key"])
 
-    asked = runs.select("uid", "prev", "next", "tokens").mapInArrow(ask, "uid long, prev string, word string")
-    bigrams = counted.filter("prev is not null").select("prev", "word", "n")
-    answered = asked.join(bigrams, ["prev", "word"]).groupBy("uid").agg(F.collect_list(F.struct("prev", "word", "n")).alias("pairs"))
+    asked = runs.select("uid", "prev", "next", "tokens").mapInArrow(ask, "uid long, key string")
+    bigrams = counted.filter(F.col("kind") == PAIR).select("key", "n")
+    answered = asked.join(bigrams, "key").groupBy("uid").agg(F.collect_list(F.struct("key", "n")).alias("pairs"))
 
     names = ["run", "i", "kind", "word", "repaired"]
     types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, (prevs, words, counts) = _flat(batch.column("pairs"))
-            said = list(zip(zip(prevs.to_pylist(), words.to_pylist()), counts.to_pylist()))
+            at, (asked_keys, numbers) = _flat(batch.column("pairs"))
+            said = list(zip(asked_keys.to_pylist(), numbers.to_pylist()))
             keys = batch.column("run").to_pylist()
             rows, of, pairs = [], -1, {}
             for row, chain in _chains(batch):
