@@ -141,13 +141,16 @@ def deletions(word: str) -> list[str]:
 _GROUP = {"avenue": "avenue", "avenida": "avenue", "plaza": "place", "place": "place", "platz": "place"}
 
 
+_LONG_TYPES = {id(t): sorted({k for k in t.values() if len(k) >= 5}) for t in (_BEFORE, _AFTER)}
+
+
 def _type_of(word: str, table: dict[str, str]) -> str | None:
     w = word.strip(".")
     if w in table:
         return table[w]
     if len(w) >= 5:
-        for t in set(table.values()):
-            if len(t) >= 5 and near(w, t):
+        for t in _LONG_TYPES[id(table)]:
+            if -2 < len(t) - len(w) < 2 and near(w, t):
                 return t
     return None
 
@@ -169,11 +172,10 @@ def hypotheses(address: str | None, country: str | None) -> list[dict]:
     """The readings of an address: several where a type such as `av` may belong to the name
     before or after it, or where nothing parts street and town. Those without street or number
     are left out."""
-    out = []
-    for before_first in (True, False):
-        for p in parse(address, country, before_first):
-            if p["street"] and p["number"] and p not in out:
-                out.append(p)
+    out: list[dict] = []
+    for p in parse(address, country):
+        if p["street"] and p["number"] and p not in out:
+            out.append(p)
     return out
 
 
@@ -183,7 +185,7 @@ def _given(country: str | None) -> str:
     return _COUNTRY.get(word, word)
 
 
-def parse(address: str | None, country: str | None, before_first: bool = True) -> list[dict]:
+def parse(address: str | None, country: str | None) -> list[dict]:
     """Readings with street (name), type, side, number, unit, town, postcode, country; empty
     strings where a part is missing."""
     first = dict.fromkeys(("street", "type", "side", "number", "unit", "town", "postcode", "country"), "")
@@ -204,18 +206,18 @@ def parse(address: str | None, country: str | None, before_first: bool = True) -
     if segments:
         given, segments[-1] = _without_country(segments[-1], given)
     first["country"] = given
-    at, spans = _street(segments, before_first)
     out = []
-    for name, kind, used, number in spans:
-        p = dict(first, street=name, type=kind, number=number)
-        words = p["street"].split()
-        if len(words) > 1 and words[0].strip(".") in SIDES and kind in _AFTER.values():
-            p["side"], p["street"] = SIDES[words[0].strip(".")], " ".join(words[1:])
-        rest: list[str] = []
-        for i, words in enumerate(segments):
-            rest += [w for k, w in enumerate(words) if i != at or k not in used] + [";"]
-        _town(rest, p)
-        out.append(p)
+    for at, spans in dict.fromkeys((_street(segments, True), _street(segments, False))):
+        for name, kind, used, number in spans:
+            p = dict(first, street=name, type=kind, number=number)
+            words = p["street"].split()
+            if len(words) > 1 and words[0].strip(".") in SIDES and kind in _AFTER.values():
+                p["side"], p["street"] = SIDES[words[0].strip(".")], " ".join(words[1:])
+            rest: list[str] = []
+            for i, words in enumerate(segments):
+                rest += [w for k, w in enumerate(words) if i != at or k not in used] + [";"]
+            _town(rest, p)
+            out.append(p)
     return out
 
 
@@ -299,7 +301,7 @@ def _town(rest: list[str], out: dict) -> None:
     out["town"] = max(named, key=len, default="").replace(".", "")
 
 
-def _street(segments: list[list[str]], before_first: bool) -> tuple[int, list[tuple[str, str, set[int], str]]]:
+def _street(segments: list[list[str]], before_first: bool) -> tuple[int, tuple[tuple[str, str, frozenset[int], str], ...]]:
     """(index of the segment that holds the street, its readings as name, type, positions used,
     number): by a type before or after the name, by a compound, else by a number alone."""
     order = (_type_before, _type_after) if before_first else (_type_after, _type_before)
@@ -309,18 +311,18 @@ def _street(segments: list[list[str]], before_first: bool) -> tuple[int, list[tu
             town = any(i != at and any(re.search(r"[a-z]{3}", w) for w in other) and not any(c.isdigit() for w in other for c in w) for i, other in enumerate(segments))
             spans = find(words, town)
             if spans:
-                return at, [_numbered(words, name.strip(" .-'"), kind, used) for name, kind, used in spans]
-    return -1, []
+                return at, tuple(_numbered(words, name.strip(" .-'"), kind, used) for name, kind, used in spans)
+    return -1, ()
 
 
-def _numbered(words: list[str], name: str, kind: str, used: set[int]) -> tuple[str, str, set[int], str]:
+def _numbered(words: list[str], name: str, kind: str, used: set[int]) -> tuple[str, str, frozenset[int], str]:
     """Adds the house number of the segment: the one next to the street, else the first."""
     at = [i for i, w in enumerate(words) if i not in used and _number(w)]
     if not at:
-        return name, kind, used, ""
+        return name, kind, frozenset(used), ""
     i = min(at, key=lambda i: min(abs(i - k) for k in used))
     used = used | {i} | ({i - 1} if i and words[i - 1].strip(".") in ("no", "nr", "n") else set())
-    return name, kind, used, _number(words[i])
+    return name, kind, frozenset(used), _number(words[i])
 
 
 def _cuts(words: list[str], start: int, end: int, town: bool, from_left: bool) -> list[tuple[int, int]]:
