@@ -56,14 +56,18 @@ def unlinked_records(tables: dict[str, DataFrame], links: DataFrame, key: str =
         if key in rows.columns:
             removed[name], kept[name] = linked(rows, targets, [key]), unlinked(rows, targets, [key])
     documents = removed.get("documents")
-    one = lambda df, *a: df.agg(*a)
-    counts = one(tables["patents"], F.count("*").alias("patents")).join(one(linked_keys, F.count("*").alias("linked")), how="full", on=F.lit(True))
-    counts = counts.join(one(targets, F.count("*").alias("targets")), how="full", on=F.lit(True))
+    counted = [tables["patents"].agg(F.count("*").alias("patents")), linked_keys.agg(F.count("*").alias("linked")), targets.agg(F.count("*").alias("targets"))]
     if documents is not None:
-        counts = counts.join(one(documents, F.count("*").alias("documents"), F.coalesce(F.sum(F.coalesce(F.col(size), F.lit(0))), F.lit(0)).cast("bigint").alias("bytes")), how="full", on=F.lit(True))
+        total = F.coalesce(F.sum(F.coalesce(F.col(size), F.lit(0))), F.lit(0)).cast("bigint")
+        counted.append(documents.agg(F.count("*").alias("documents"), total.alias("bytes")))
         if "request_files" in tables:
             named = linked(documents.select("document_id"), tables["request_files"], ["document_id"])
-            counts = counts.join(one(named, F.countDistinct("document_id").alias("referenced")), how="full", on=F.lit(True))
+            counted.append(named.agg(F.countDistinct("document_id").alias("referenced")))
+    # One row of each count, put side by side by an aggregate.
+    rows = counted[0]
+    for more in counted[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    counts = rows.agg(*(F.max(c).alias(c) for c in rows.columns))
     return Cleanup(kept, removed, counts)
 
 
