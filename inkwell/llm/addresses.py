@@ -545,3 +545,11 @@ def found(records: DataFrame) -> DataFrame:
     rows = cut(buildings(records).select("rep_id", "building"))
     a, b = rows.toDF("rep_id_a", "building"), rows.toDF("rep_id_b", "building")
     return a.join(b, "building").filter("rep_id_a < rep_id_b").select("rep_id_a", "rep_id_b")
+
+
+def probed(records: DataFrame, every: int = 50) -> DataFrame:
+    """query_id, rep_id: for each record whose id is divisible by `every` all other records at its
+    building, searched among all rows."""
+    rows = cut(buildings(records).select("rep_id", "building"))
+    asked = rows.filter(F.col("rep_id") % every == 0).select(F.col("rep_id").alias("query_id"), "building")
+    return asked.join(rows, "building").filter("query_id <> rep_id").select("query_id", "rep_id")

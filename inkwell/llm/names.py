@@ -397,3 +397,11 @@ def found(mentions: DataFrame) -> DataFrame:
     rows = cut(linked(mentions).filter("mentions > 1").select("mention_id", "entity_id"))
     a, b = rows.toDF("mention_id_a", "entity_id"), rows.toDF("mention_id_b", "entity_id")
     return a.join(b, "entity_id").filter("mention_id_a < mention_id_b").select("mention_id_a", "mention_id_b")
+
+
+def probed(mentions: DataFrame, every: int = 50) -> DataFrame:
+    """query_id, mention_id: for each mention whose id is divisible by `every` all other mentions
+    of its entity, searched among all rows."""
+    rows = cut(linked(mentions).select("mention_id", "entity_id"))
+    asked = rows.filter(F.col("mention_id") % every == 0).select(F.col("mention_id").alias("query_id"), "entity_id")
+    return asked.join(rows, "entity_id").filter("query_id <> mention_id").select("query_id", "mention_id")

@@ -42,6 +42,14 @@ def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked(table(spark, sf_dir, "party_names"))
 
 
+def p2_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.probed(table(spark, sf_dir, "party_names"))
+
+
+def p6_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.probed(table(spark, sf_dir, "representatives"))
+
+
 def p6_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.buildings(table(spark, sf_dir, "representatives"))
 
@@ -72,6 +80,6 @@ def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_entities, p3_found, p3_looks, p4_found, p4_texts, p6_found, p6_buildings, p7_found, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_masked)
+    for f in (p2_found, p2_entities, p2_probe, p3_found, p3_looks, p4_found, p4_texts, p6_found, p6_buildings, p6_probe, p7_found, p8_packs, p8_fill, p9_mix, p9_shares, p10_found, p10_masked)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -85,6 +85,7 @@ def test_a_missing_country_is_that_of_the_gazetteer(spark):
     rows = [("Ringstrasse 5, 1010 Neustadt", "AT")] * 3 + [("Ringstrasse 5, 1010 Neustadt", "")]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "rep_id bigint, address string, country string")
     assert {r.building for r in addresses.buildings(df).collect()} == {0}
+    assert {tuple(r) for r in addresses.probed(df, 2).collect()} == {(a, b) for a in (0, 2) for b in range(4) if a != b}
 
 
 @pytest.mark.parametrize(

@@ -175,5 +175,6 @@ def test_names_of_one_token(spark):
 
 def test_entities_of_mentions(spark):
     rows = [(5, "inventors", "Ingrid Pulotes"), (3, "applicants", "Pulotes, Ingrid"), (9, "inventors", "Robert Pulotes"), (4, "inventors", None), (1, "inventors", "")]
-    got = {tuple(r) for r in names.linked(spark.createDataFrame(rows, "mention_id bigint, field string, name string")).collect()}
-    assert got == {(5, 3, 2), (3, 3, 2), (9, 9, 1)}
+    df = spark.createDataFrame(rows, "mention_id bigint, field string, name string")
+    assert {tuple(r) for r in names.linked(df).collect()} == {(5, 3, 2), (3, 3, 2), (9, 9, 1)}
+    assert {tuple(r) for r in names.probed(df, 3).collect()} == {(3, 5)}
