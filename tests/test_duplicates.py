@@ -2,6 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from inkwell.functions import text as tx
 from inkwell.operators import duplicates
 
 
@@ -54,3 +59,67 @@ def test_near_classes(spark):
     df = spark.createDataFrame([(5, base), (2, base), (3, base + " end"), (4, "other text"), (6, None), (7, base.replace("w1 ", "ｗ１ "))], "doc_id bigint, text string")
     assert {tuple(r) for r in duplicates.near_classes(df).collect()} == {(5, 2, 2, 2), (2, 2, 2, 2), (3, 3, 1, 2), (4, 4, 1, 0), (7, 7, 1, 2)}
     assert duplicates.near_classes(df.limit(0)).count() == 0
+
+
+def test_near_pairs_at_the_threshold_of_any_length(spark):
+    rng = random.Random(8)
+    texts = []
+    for n in (24, 40, 64, 90, 150, 300, 700, 1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for share in (0.07, 0.09, 0.1, 0.11, 0.111, 0.112, 0.12, 0.13, 0.2):
+            # One side is longer by new words, or a run is put in place of another.
+            texts.append(" ".join([*words, *(f"x{rng.randrange(10**6)}" for _ in range(round(n * share * 2)))]))
+            other, k = list(words), rng.randrange(n // 2)
+            other[k : k + max(0, round(n * share) - 4)] = [f"y{rng.randrange(10**6)}" for _ in range(max(0, round(n * share) - 4))]
+            texts.append(" ".join(other))
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    expected = {}
+    for i, a in enumerate(sets):
+        for j, b in list(enumerate(sets))[i + 1 :]:
+            s = len(a & b) / len(a | b)
+            if min(len(a), len(b)) >= duplicates.MIN_GRAMS and s >= 0.8:
+                expected[(i, j)] = round(s, 4)
+    assert len(expected) > 70
+    assert {(r.key_a, r.key_b): r.jaccard for r in duplicates.near_pairs(df).collect()} == expected
+
+
+def test_near_pairs_write_less_than_their_budget(spark):
+    """Disk is four times the table; whole sets were shuffled several times before."""
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(3000)]
+    lines = [" ".join(rng.choice(words) for _ in range(9)) for _ in range(1000)]
+    texts = [" ".join(rng.choice(lines) + f" {rng.randrange(100)}" for _ in range(100)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    duplicates.near_pairs(df).collect()
+    assert written() - before < 4 * sum(map(len, texts))
+
+
+def test_units_for_candidates(spark):
+    texts = ["[0001] The valve[00123]  opens [12] [x]", "[0002]\u3000発明の 図1 と弁 （２）", "don't read-only a/b ﬁne ｆｕｌｌ ① e\u0301te\u0301", "ΣΑΣ İstanbul Straße", "한국어 vale 12\u00a0mm", "-", " ", "a" * 20]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string")
+    whole = tx.with_nfkc(rows, "text").select("doc", tx.unit_tokens(F.col("text")).alias("units"))
+    assert sorted(map(tuple, duplicates._units(rows).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_windows_and_pieces(monkeypatch):
+    monkeypatch.setattr(duplicates, "ROWS", 3)
+    monkeypatch.setattr(duplicates, "UNITS", 12)
+    rows = [[1, 2, 3, 4, 5, 6], [], [1, 2, 3, 4], [2, 3, 4, 5, 6], list(range(40)), [1, 2, 3, 4, 5], [7]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], ["units"])
+    pieces = list(duplicates._pieces(iter([batch.slice(1), batch])))
+    assert [x for p in pieces for x in p.column("units").to_pylist()] == rows[1:] + rows
+    assert all(len(p) <= 3 for p in pieces)
+    row, h = duplicates._windows(batch.column("units"))
+    assert row.tolist() == [0, 0, 3, *[4] * 36, 5]
+    assert h[1] == h[2] and h[0] == h[-1] and h[0] != h[1]
+    assert np.array_equal(np.concatenate(list(duplicates._grams(iter([batch.slice(3)])))), h[2:])
