@@ -113,6 +113,34 @@ def test_near_classes_write_less_than_their_budget(spark):
     assert written_for_each_byte(spark, duplicates.near_classes) < 4
 
 
+def shuffle_blocks(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return sum(blocks.apply(i).name().startswith("shuffle") for i in range(blocks.length()))
+
+
+def test_near_classes_drop_the_shuffles_of_their_steps(spark):
+    base = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join([*base, *["end"] * (i // 2)])) for i in range(8)], "doc_id bigint, text string")
+    before = shuffle_blocks(spark)
+    planned = duplicates.near_classes(df)
+    assert shuffle_blocks(spark) <= before
+    assert planned.count() == 8
+
+
+def test_tables_of_hashes(spark, monkeypatch):
+    h = np.array([1, 2, 2, 3, 3, 3], np.uint64) << np.uint64(60)
+    ids = np.array([0, 1, 255, 256, 70000], np.uint32)
+    assert duplicates._unpacked(duplicates._packed(ids)).tolist() == ids.tolist()
+    docs = spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "doc bigint").repartition(3)
+    for gathered in (duplicates.GATHERED, 0):
+        monkeypatch.setattr(duplicates, "GATHERED", gathered)
+        asked = np.array([0, 1, 2, 3], np.uint64) << np.uint64(60)
+        table = duplicates._table(docs, duplicates._documents, 2).value
+        assert table.count(asked).tolist() == [0, 1, 2, 3]
+        assert table.has(asked).tolist() == [False, False, True, True]
+        assert duplicates._table(docs, duplicates._documents, 1).value.has(asked).tolist() == [False, True, True, True]
+
+
 def test_units_for_candidates(spark):
     texts = ["[0001] The valve[00123]  opens [12] [x]", "[0002]\u3000発明の 図1 と弁 （２）", "don't read-only a/b ﬁne ｆｕｌｌ ① e\u0301te\u0301", "ΣΑΣ İstanbul Straße", "한국어 vale 12\u00a0mm", "-", " ", "a" * 20]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string")
